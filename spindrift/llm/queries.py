@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, urls
+from . import common, mixing, secrets, urls
 
 #: host, path, verdict of the production rules.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -17,6 +17,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
+    n = [F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("bigint").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    spans = secrets.digest(F.concat("base", "added"))
+    return found.select("row.doc_id", *n, F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), "n_owned", "n_shared")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.only(common.table(spark, sf_dir, "pages"), "page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -25,10 +32,36 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op8_secret_scans": op8_secret_scans,
     "op9_url_filters": op9_url_filters,
 }
 
 SQL: dict[str, str] = {
+    "op8_secret_scans": r"""
+WITH pat(kind, name, p, g) AS (VALUES
+  (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), (1, 'access', 'AKIA[A-Z0-9]{16,}', 0),
+  (2, 'hex', '[0-9a-f]{24,}', 0), (3, 'owned', '[A-Za-z0-9+/_-]{20,}', 0)),
+d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+m AS (SELECT rid, doc_id, source, kind, name, unnest(regexp_extract_all(text, p, 0)) AS w, unnest(regexp_extract_all(text, p, 2)) AS v,
+        unnest(string_split_regex(text, p)) AS gap, generate_subscripts(string_split_regex(text, p), 1) AS i
+      FROM d, pat WHERE g = 2 UNION ALL
+      SELECT rid, doc_id, source, kind, name, unnest(regexp_extract_all(text, p, 0)), unnest(regexp_extract_all(text, p, 0)),
+        unnest(string_split_regex(text, p)), generate_subscripts(string_split_regex(text, p), 1) FROM d, pat WHERE g = 0),
+s AS (SELECT *, sum(length(gap) + coalesce(length(w), 0)) OVER (PARTITION BY rid, kind ORDER BY i) - coalesce(length(w), 0) AS a,
+        sum(length(gap) + coalesce(length(w), 0)) OVER (PARTITION BY rid, kind ORDER BY i) AS b FROM m),
+base AS (SELECT * FROM s WHERE w IS NOT NULL AND (kind IN (1, 2) OR kind = 0 AND length(v) >= 6)),
+more AS (SELECT * FROM s WHERE w IS NOT NULL AND kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+         AND len(list_distinct(string_split(v, ''))) >= 12 AND NOT EXISTS (SELECT 1 FROM base WHERE base.rid = s.rid AND base.a < s.b AND s.a < base.b)),
+c AS (FROM base UNION ALL FROM more),
+own AS (SELECT v, count(DISTINCT coalesce(source, '?')) AS n_owners FROM c GROUP BY v),
+j AS (SELECT c.*, n_owners FROM c JOIN own USING (v)),
+r AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
+        string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (kind < 3 OR n_owners < 2) AS spans,
+        count(DISTINCT v) FILTER (n_owners < 2) AS n_owned, count(DISTINCT v) FILTER (n_owners >= 2) AS n_shared FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN r USING (rid)
+""",
     "op9_url_filters": """
 WITH rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
                                  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
