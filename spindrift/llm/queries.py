@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, mixing, secrets, urls
+from . import common, decontam, mixing, secrets, simhash, urls
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return found.select("key.doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
 
 #: host, path, verdict of the production rules.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_secret_scans": op8_secret_scans,
     "op9_url_filters": op9_url_filters,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
