@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, mixing, secrets, simhash, urls
+from . import common, decontam, langid, mixing, secrets, simhash, urls
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -18,6 +18,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    profiles = langid.learn_profiles(docs.where(common.crc_rem("doc_id", 5) != 0))
+    found = langid.predict(docs.select("doc_id", "text"), profiles, keep_text=False)
+    return found.select("doc_id", F.coalesce(common.crc_rem("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
 
@@ -42,6 +49,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_secret_scans": op8_secret_scans,
