@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, mixing, secrets, simhash, urls
+from . import common, decontam, langid, mixing, secrets, simhash, toxicity, urls
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -35,6 +35,15 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+    labels = common.only(common.table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    learnt = common.crc_rem("doc_id", 3) != 1
+    model = toxicity.learn(docs.where(learnt), labels.where(learnt))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(common.crc_rem("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
     n = [F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("bigint").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
@@ -52,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
     "op9_url_filters": op9_url_filters,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
