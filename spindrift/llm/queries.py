@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, mixing, secrets, simhash, toxicity, urls
+from . import common, decontam, langid, lm, mixing, secrets, simhash, toxicity, urls
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -35,6 +35,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = lm.learn(docs.where(common.crc_rem("doc_id", 7) != 2))
+    found = lm.score(docs, model)
+    held_out = F.coalesce(common.crc_rem("doc_id", 7) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     labels = common.only(common.table(spark, sf_dir, "labels"), "doc_id", "toxic")
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
     "op9_url_filters": op9_url_filters,
