@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, lm, mixing, secrets, simhash, toxicity, urls
+from . import common, decontam, langid, lm, mixing, secrets, simhash, suffix, toxicity, urls
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -43,6 +43,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     labels = common.only(common.table(spark, sf_dir, "labels"), "doc_id", "toxic")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
     "op9_url_filters": op9_url_filters,
