@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, lm, mixing, secrets, simhash, suffix, toxicity, urls
+from . import common, decontam, langid, lm, media, mixing, secrets, simhash, suffix, toxicity, urls
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -29,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.render(common.only(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))).withColumnRenamed("image", "vec_id")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     found = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"))
@@ -72,6 +76,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op3_media_columns": op3_media_columns,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
