@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import broadcast_if_small, checkpoint
 
 #: Kinds in the order in which spans that start together are listed; owned spans come from the ownership counts.
 KINDS = ("assign", "access", "hex", "owned")
@@ -103,7 +103,17 @@ def masked(text: Column, spans: Column, mark: str = "<secret>") -> Column:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """docs with the base and owned spans of every text masked; rows without one stay as they are."""
-    keyed = docs.withColumn("secret_text", F.col(f"`{text}`"))
-    found = scan(keyed, text, owner, repo).select("row.*", F.concat("base", "added").alias("secret_spans"))
-    return found.withColumn(text, F.when(F.size("secret_spans") > 0, masked(F.col("secret_text"), F.col("secret_spans"))).otherwise(F.col("secret_text"))).select(*[F.col(f"`{n}`") for n in docs.columns])
+    """docs with the base and owned spans of every text masked; rows without one stay as they are.
+
+    Base spans are found again where the text is; only the few documents with owned ones meet those by a join, without their text
+    moving unless there are very many.
+    """
+    c = lambda n: F.col(f"`{n}`")
+    key = F.struct(c(repo).alias("repo"), c(owner).alias("owner"), F.xxhash64(c(text)).alias("tag"))
+    found = scan(docs.select(key.alias("secret_key"), c(owner).alias("owner"), c(repo).alias("repo"), c(text).alias("text")), "text", "owner", "repo")
+    owned = found.where(F.size("added") > 0).groupBy("row.secret_key").agg(F.first("added").alias("secret_added"))
+    owned = broadcast_if_small(checkpoint(owned))
+    spans = F.concat(candidates(c(text))[0], F.coalesce("secret_added", F.array().cast(f"array<{SPAN}>")))
+    rows = docs.withColumn("secret_key", key).join(owned, "secret_key", "left").withColumn("secret_spans", spans)
+    new = F.when(F.size("secret_spans") > 0, masked(c(text), F.col("secret_spans"))).otherwise(c(text))
+    return rows.withColumn(text, new).select(*[c(n) for n in docs.columns])
