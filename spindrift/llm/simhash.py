@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, checkpoint
 
 SEED = 42
-#: Fingerprints to a tree; larger buckets are cut.
-SHARD = 1024
+#: Fingerprints to a tree; larger buckets are cut. Buckets up to SMALL are compared row by row, many buckets at once.
+SHARD, SMALL = 1024, 12
+#: Documents with one fingerprint from which they get its component by a broadcast of such fingerprints, not by a shuffle.
+HOT = 1000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -143,6 +145,21 @@ def connect(rows: np.ndarray, part: np.ndarray, left: int, right: int, radius: i
     return label
 
 
+def _near(rows: np.ndarray, size: np.ndarray, radius: int) -> list[np.ndarray]:
+    """Edges (a0, ..., b0, ...) between the rows of the same small bucket, each against those that follow it."""
+    out = []
+    for lag in range(1, SMALL):
+        first = np.flatnonzero((size[:-lag] <= SMALL) & (rows[:-lag, :4] == rows[lag:, :4]).all(axis=1)) if lag < len(rows) else np.empty(0, np.int64)
+        if not len(first):
+            break
+        a, b = rows[first, 5:], rows[first + lag, 5:]
+        # Of a cut bucket's pair of parts, rows of the same part meet in that part's own task.
+        apart = (rows[first, 2] == rows[first, 3]) | (rows[first, 4] != rows[first + lag, 4])
+        ok = apart & (hamming(np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)) <= radius)
+        out.append(np.concatenate([a[ok], b[ok]], axis=1))
+    return out
+
+
 def _stars(n_words: int, radius: int):
     """Batches of (table, key, left, right, part, f0, ...), sorted by the first four, -> (a0, ..., b0, ...) star edges."""
     names = [f"{s}{i}" for s in "ab" for i in range(n_words)]
@@ -158,8 +175,10 @@ def _stars(n_words: int, radius: int):
             ends = np.append(np.flatnonzero((held[1:, :4] != held[:-1, :4]).any(axis=1)) + 1, len(held))
             whole = ends if b is None else ends[:-1]  # the last group may go on in the next batch
             starts = np.concatenate(([0], whole[:-1])) if len(whole) else whole
-            out = []
-            for s, e in zip(starts[(many := whole - starts > 1)].tolist(), whole[many].tolist(), strict=True):
+            size, out = whole - starts, []
+            if len(whole) and size.min() <= SMALL:
+                out += _near(held[: whole[-1]], np.repeat(size, size), radius)
+            for s, e in zip(starts[(many := size > SMALL)].tolist(), whole[many].tolist(), strict=True):
                 rows = np.ascontiguousarray(held[s:e, 5:]).view(np.uint64)
                 first = connect(rows, held[s:e, 4], int(held[s, 2]), int(held[s, 3]), radius)
                 if len(linked := np.flatnonzero(first != np.arange(e - s))):
@@ -249,22 +268,33 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     prints = checkpoint(fingerprints(named.select("key.doc_id", "key.tag", "text"), "text", shingle, n_words))
     # Nulls order last: the least key of a component is its smallest id.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    nodes = checkpoint(prints.groupBy(*f).agg(F.min(order).alias("least")))
+    nodes = checkpoint(prints.groupBy(*f).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")))
     if masks is None:
         masks = exact_masks(radius, nodes.count())
     found = links(nodes, masks, radius)
     n = len(f)
     edges = found.select(F.struct(*[F.col(f"a{i}").alias(f"f{i}") for i in range(n)]).alias("a"), F.struct(*[F.col(f"b{i}").alias(f"f{i}") for i in range(n)]).alias("b"))
     labels = components(edges)
-    named_nodes = nodes.select(F.struct(*f).alias("node"), "least")
+    named_nodes = nodes.select(F.struct(*f).alias("node"), "least", "n")
     inside = labels.join(named_nodes, "node")
     least = inside.groupBy("label").agg(F.min("least").alias("first"))
     firsts = inside.join(least, "label").select("node", "first")
-    of = named_nodes.join(firsts, "node", "left").select("node", F.coalesce("first", "least").alias("first"))
-    rows = prints.withColumn("node", F.struct(*f)).join(of, "node")
+    of = named_nodes.join(firsts, "node", "left").select("node", "n", F.coalesce("first", "least").alias("first"))
+    of, rows = checkpoint(of), prints.withColumn("node", F.struct(*f))
+    hot = broadcast_if_small(of.where(F.col("n") >= HOT).select("node", "first"))
+    rows = rows.join(hot, "node").unionByName(rows.join(hot, "node", "left_anti").join(of.where(F.col("n") < HOT).select("node", "first"), "node"))
     return rows.select(F.struct("doc_id", "tag").alias("key"), *f, F.col("first.doc_id").alias("component_id"), F.col("first.tag").alias("component_tag"))
 
 
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs that stay: of each component of near_duplicates() the document of the smallest id; of equal rows, one."""
+    found = near_duplicates(docs, text, doc_id, **how)
+    first = F.col("key.doc_id").eqNullSafe(F.col("component_id")) & (F.col("key.tag") == F.col("component_tag"))
+    stay = found.where(first).select("key").distinct()
+    keyed = docs.withColumn("near_key", F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag")))
+    return keyed.join(stay, F.col("near_key") == F.col("key"), "left_semi").dropDuplicates(["near_key"]).drop("near_key")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, n_words: int = 4, tables: int = 64, bits: int = 16) -> DataFrame:
     """cluster() at the radius that a Jaccard similarity of shingle sets stands for.
 
