@@ -1,0 +1 @@
+"""Column functions: text, line diffs, untyped JSON, source items."""

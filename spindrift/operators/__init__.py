@@ -1,0 +1 @@
+"""Relational operators of the engine: each takes and returns DataFrames."""

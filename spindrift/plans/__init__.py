@@ -1,0 +1 @@
+"""Whole plans: the registered queries, the staged pipeline and its command line."""
