@@ -90,14 +90,14 @@ def _texts(*columns: pd.Series):
 
 @_arrow("struct<before:array<int>,after:array<int>>")
 def changed_lines(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([changed(a, b) for a, b in _texts(before, after)], columns=["before", "after"])
+    return pd.DataFrame([changed(a, b) for a, b in _texts(before, after)], columns=["before", "after"], dtype=object)
 
 
 @_arrow("struct<before:string,after:string>")
 def diff_span(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """The context window of either side around its changed lines."""
     found = [(changed(a, b), a, b) for a, b in _texts(before, after)]
-    return pd.DataFrame([(window(a, x), window(b, y)) for (x, y), a, b in found], columns=["before", "after"])
+    return pd.DataFrame([(window(a, x), window(b, y)) for (x, y), a, b in found], columns=["before", "after"], dtype=object)
 
 
 @_arrow(PLACED)

@@ -1,0 +1 @@
+"""Sources and sinks: git repositories, the file layout of a dataset, configuration."""

@@ -1,0 +1 @@
+"""Stateful streams: a bounded store, a decayed state, and commits diffed as they arrive."""
