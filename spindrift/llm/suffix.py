@@ -30,7 +30,7 @@ from .common import checkpoint
 
 WIDTH, GRAM = 100, 32
 #: Segments that a task sorts at once before they are dealt; segments to a bucket beyond which it is dealt string by string.
-HELD, LARGE = 400_000, 8192
+HELD, LARGE = 400_000, 2048
 #: Bytes to a suffix array.
 SHARD = 1 << 18
 #: Stands for a null id, which orders last; longest stretch that is hashed at once.
