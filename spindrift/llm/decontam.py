@@ -132,5 +132,5 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated rows, columns and values as they were."""
     bad = contamination(docs, bench, window).where("contaminated").select("key").distinct()
-    bad = broadcast_if_small(checkpoint(bad))
-    return docs.withColumn("bench_key", doc_key()).join(bad, F.col("bench_key") == F.col("key"), "left_anti").drop("bench_key")
+    bad = broadcast_if_small(checkpoint(bad.withColumnRenamed("key", "bench_key")))
+    return docs.withColumn("bench_key", doc_key()).join(bad, "bench_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

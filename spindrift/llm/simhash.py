@@ -290,9 +290,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how)
     """The rows of docs that stay: of each component of near_duplicates() the document of the smallest id; of equal rows, one."""
     found = near_duplicates(docs, text, doc_id, **how)
     first = F.col("key.doc_id").eqNullSafe(F.col("component_id")) & (F.col("key.tag") == F.col("component_tag"))
-    stay = found.where(first).select("key").distinct()
+    stay = found.where(first).select(F.col("key").alias("near_key")).distinct()
     keyed = docs.withColumn("near_key", F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag")))
-    return keyed.join(stay, F.col("near_key") == F.col("key"), "left_semi").dropDuplicates(["near_key"]).drop("near_key")
+    return keyed.join(stay, "near_key", "left_semi").dropDuplicates(["near_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, n_words: int = 4, tables: int = 64, bits: int = 16) -> DataFrame:
