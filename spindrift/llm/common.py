@@ -42,7 +42,7 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
     df should be cheap to count: a checkpoint or an aggregate of one.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def crc_rem(doc_id: Column | str, modulus: int) -> Column:

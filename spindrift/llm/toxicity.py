@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised classifier (operator 7).
 
-A logistic model over the distinct words of a text and the beginnings of its words. Labelled texts that mention a group are copied
+A logistic model over the distinct words of a text and the beginnings of its words, with how many words share one. Labelled texts that mention a group are copied
 with the group's term swapped for another of its kind, and the squared difference of the two scores is added to the loss, so that
 what the model learns can't rest on which group is named: a neutral mention stays neutral. An l1 penalty keeps only the weights that
 the labels need, so long texts don't gather noise and the model is small enough to travel with every task.
@@ -8,7 +8,8 @@ the labels need, so long texts don't gather noise and the model is small enough
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import cache
 
 import numpy as np
@@ -31,6 +32,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("frauen", "männer"), ("muslime", "christen", "juden"),
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
+#: How many different words of a text with one beginning are told apart.
+LEVELS = 4
 #: Words that are kept in a task's cache of looked-up words.
 CACHE = 400_000
 
@@ -51,6 +54,20 @@ def features(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(word)] + [xxhash.xxh3_64_intdigest(word[:n], n) for n in STEMS if len(word) >= n]
 
 
+_STEP, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def level(feature: int, n: int) -> int:
+    """The feature of n or more different words that share one; the feature itself for one."""
+    return (feature + (n - 1) * _STEP) & _MASK
+
+
+def text_features(words: Iterable[bytes]) -> list[int]:
+    """The features of different words, each at every level that enough words reach; sorted."""
+    seen = Counter(f for w in words for f in features(w))
+    return sorted({level(f, j) for f, n in seen.items() for j in range(1, min(n, LEVELS) + 1)})
+
+
 def swaps(groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> dict[bytes, bytes]:
     return {a.encode(): group[(i + 1) % len(group)].encode() for group in groups for i, a in enumerate(group)}
 
@@ -117,8 +134,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
             found, other = [], []
             for t in b.column(0):
                 words = text_words(t.as_py())
-                found.append(sorted({f for w in words for f in features(w)}))
-                other.append(sorted({f for w in words for f in features(swap.get(w, w))}) if not swap.keys().isdisjoint(words) else [])
+                found.append(text_features(words))
+                other.append(text_features({swap.get(w, w) for w in words}) if not swap.keys().isdisjoint(words) else [])
             as_lists = lambda x: pa.array([np.array(r, np.uint64).view(np.int64) for r in x], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(1), as_lists(found), as_lists(other)], names=["toxic", "own", "other"])
 
@@ -131,19 +148,20 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
 class Scorer:
     def __init__(self, model: tuple[float, Mapping[int, float]]):
         self.bias, self.weights = model
+        self.bases = {level(f, 1 - j) for f in self.weights for j in range(LEVELS)}
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def score(self, text: str | None) -> float:
-        """1 / (1 + exp(-(bias + weights of the text's distinct features))); the bias alone for a text without words."""
-        hit: set[int] = set()
+        """1 / (1 + exp(-(bias + weights of the text's features))); the bias alone for a text without words."""
+        hit: Counter[int] = Counter()
         for w in text_words(text):
             if (f := self.known.get(w)) is None:
                 if len(self.known) >= CACHE:
                     self.known.clear()
-                f = self.known[w] = tuple(x for x in features(w) if x in self.weights)
+                f = self.known[w] = tuple(x for x in features(w) if x in self.bases)
             if f:
                 hit.update(f)
-        z = self.bias + sum(self.weights[x] for x in sorted(hit))
+        z = self.bias + sum(self.weights.get(level(x, j), 0.0) for x in sorted(hit) for j in range(1, min(hit[x], LEVELS) + 1))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
