@@ -477,22 +477,22 @@ s AS (SELECT q.vec_id AS query_id, q.head, t.vec_id AS slot, list_inner_product(
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, slot) AS rank FROM s)"""
 
 
-@query(f"WITH {_KNN.format(h='0', parts='x')} SELECT query_id, head::INT AS head, rank::INT AS rank, slot, round(score, 4) AS score FROM r WHERE rank <= 8")
+@query(f"WITH {_KNN.format(h='0', parts='x')} SELECT query_id, head::INT AS head, rank::INT AS rank, slot, round(score, 4) + 0.0 AS score FROM r WHERE rank <= 8")
 def knn_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = memory.retrieve(_store(spark, sf_dir), _queries(spark, sf_dir), n=8)
-    return found.select("query_id", "head", "rank", "slot", F.round("score", 4).alias("score"))
+    return found.select("query_id", "head", "rank", "slot", (F.round("score", 4) + F.lit(0.0)).alias("score"))
 
 
-@query(f"WITH {_KNN.format(h='0, 1, 2, 3', parts='x[1:16], x[17:32], x[33:48], x[49:64]')} SELECT query_id, head::INT AS head, rank::INT AS rank, slot, round(score, 4) AS score FROM r WHERE rank <= 2")
+@query(f"WITH {_KNN.format(h='0, 1, 2, 3', parts='x[1:16], x[17:32], x[33:48], x[49:64]')} SELECT query_id, head::INT AS head, rank::INT AS rank, slot, round(score, 4) + 0.0 AS score FROM r WHERE rank <= 2")
 def knn_multihead(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = memory.retrieve(_store(spark, sf_dir, 4), _queries(spark, sf_dir, 4), n=2)
-    return found.select("query_id", "head", "rank", "slot", F.round("score", 4).alias("score"))
+    return found.select("query_id", "head", "rank", "slot", (F.round("score", 4) + F.lit(0.0)).alias("score"))
 
 
 @query("""WITH t AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT pos // 4 AS chunk_no, pos % 4 AS j, x FROM t WHERE pos // 4 < (SELECT count(*) // 4 FROM t)),
 n AS (SELECT count(DISTINCT chunk_no) AS n FROM c), e AS (SELECT chunk_no, unnest(x) AS y, generate_subscripts(x, 1) AS d, j FROM c), m AS (SELECT chunk_no, d, avg(y) AS y FROM e GROUP BY ALL),
 half AS (SELECT n, n // 2 AS first, n - n // 2 AS second FROM n), cap AS (SELECT *, (n * 3) // 4 AS most FROM half), g AS (SELECT *, CASE WHEN first + second >= most THEN least(least(2 * second, most // 2), first) ELSE 0 END AS gone FROM cap)
-SELECT (chunk_no - gone)::BIGINT AS slot, list(round(y, 4) ORDER BY d) AS rep FROM m, g WHERE chunk_no >= gone GROUP BY ALL""")
+SELECT (chunk_no - gone)::BIGINT AS slot, list(round(y, 4) + 0.0 ORDER BY d) AS rep FROM m, g WHERE chunk_no >= gone GROUP BY ALL""")
 def memory_append_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors in two appends to a store that holds three quarters of them."""
     v = _vectors(spark, sf_dir)
@@ -502,7 +502,7 @@ def memory_append_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = memory.chunk(tokens, config)
     first, second = chunks.where(F.col("chunk_no") < n // 2), chunks.where(F.col("chunk_no") >= n // 2).withColumn("chunk_no", F.col("chunk_no") - n // 2)
     store = memory.append(memory.append(None, first, config), second, config)
-    return store.select("slot", F.transform("rep", lambda x: F.round(x, 4)).alias("rep"))
+    return store.select("slot", F.transform("rep", lambda x: F.round(x, 4) + F.lit(0.0)).alias("rep"))
 
 
 @query(f"""WITH {_KNN.format(h='0', parts='x')}, t AS (SELECT r.query_id, r.slot, exp(list_inner_product(q.e, k.e) / sqrt(64) - max(list_inner_product(q.e, k.e) / sqrt(64)) OVER (PARTITION BY r.query_id)) AS w, k.e AS e FROM r JOIN v q ON q.vec_id = r.query_id JOIN v k ON k.vec_id = r.slot WHERE rank <= 8),
@@ -515,7 +515,7 @@ def external_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), g AS (SELECT vec_id, exp(x[1]) AS a, CASE WHEN vec_id % 2 = 0 THEN exp(x[2]) ELSE 0 END AS b, exp(x[3]) AS c, x FROM e)
-SELECT vec_id, round(a / (a + b + c), 4) AS g0, round(b / (a + b + c), 4) AS g1, round(c / (a + b + c), 4) AS g2, round((a * x[4] + b * x[5] + c * x[6]) / (a + b + c), 4) AS fused FROM g""")
+SELECT vec_id, round(a / (a + b + c), 4) AS g0, round(b / (a + b + c), 4) AS g1, round(c / (a + b + c), 4) AS g2, round((a * x[4] + b * x[5] + c * x[6]) / (a + b + c), 4) + 0.0 AS fused FROM g""")
 def gated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     logits = F.slice("embedding", 1, 3)
@@ -523,7 +523,7 @@ def gated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = F.array(one(3), F.when(F.col("vec_id") % 2 == 0, one(4)), one(5))
     g = memory.gate(logits, F.transform(sources, lambda s: s.isNotNull()))
     rounded = [F.round(F.get(g, F.lit(i)), 4).alias(f"g{i}") for i in range(3)]
-    return v.select("vec_id", *rounded, F.round(F.get(memory.fuse(logits, sources), F.lit(0)), 4).alias("fused"))
+    return v.select("vec_id", *rounded, (F.round(F.get(memory.fuse(logits, sources), F.lit(0)), 4) + F.lit(0.0)).alias("fused"))
 
 
 @query("""WITH g AS (SELECT l, r FROM range(1, 49) t(l), (SELECT unnest([NULL, 1, 2, 6, 12, 36]) AS r)), n AS (SELECT l, r, CASE WHEN r IS NULL THEN greatest(1, l // 6) ELSE least(r, l) END AS k FROM g)
