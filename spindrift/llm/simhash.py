@@ -135,9 +135,9 @@ def connect(rows: np.ndarray, part: np.ndarray, left: int, right: int, radius: i
             of = np.unique(of)
             label[np.isin(label, of)] = of[0]
 
-    if len(rows) == 2:
-        if hamming(rows[:1], rows[1])[0] <= radius:
-            label[1] = 0
+    # What the first row links needs no tree; in a bucket of one dense group that is all.
+    label[hamming(rows, rows[0]) <= radius] = 0
+    if not label.any() or len(rows) == 2:
         return label
     trees, queries = np.flatnonzero(part == left), np.flatnonzero(part == right)
     for row, near in BKTree(rows[trees]).search(rows[queries], radius):
@@ -179,10 +179,10 @@ def _stars(n_words: int, radius: int):
             if len(whole) and size.min() <= SMALL:
                 out += _near(held[: whole[-1]], np.repeat(size, size), radius)
             for s, e in zip(starts[(many := size > SMALL)].tolist(), whole[many].tolist(), strict=True):
-                rows = np.ascontiguousarray(held[s:e, 5:]).view(np.uint64)
-                first = connect(rows, held[s:e, 4], int(held[s, 2]), int(held[s, 3]), radius)
+                group = held[s:e][np.lexsort(held[s:e, 5:].T)]  # by value: the stars of different tables share their centres
+                first = connect(np.ascontiguousarray(group[:, 5:]).view(np.uint64), group[:, 4], int(group[0, 2]), int(group[0, 3]), radius)
                 if len(linked := np.flatnonzero(first != np.arange(e - s))):
-                    out.append(np.concatenate([held[s:e, 5:][linked], held[s:e, 5:][first[linked]]], axis=1))
+                    out.append(np.concatenate([group[:, 5:][linked], group[:, 5:][first[linked]]], axis=1))
             held = held[whole[-1] :] if len(whole) else held
             if out:
                 edges = np.concatenate(out)
@@ -274,7 +274,10 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     found = links(nodes, masks, radius)
     n = len(f)
     edges = found.select(F.struct(*[F.col(f"a{i}").alias(f"f{i}") for i in range(n)]).alias("a"), F.struct(*[F.col(f"b{i}").alias(f"f{i}") for i in range(n)]).alias("b"))
-    labels = components(edges)
+    # A fingerprint has a star per table and pair of shards at most. All of these are one set: hang them on its least member, so that
+    # the stars of a group of very many near copies become one edge each before the rounds.
+    own = edges.groupBy("a").agg(F.collect_set("b").alias("b")).select(F.array_union("b", F.array("a")).alias("set"))
+    labels = components(own.select(F.explode("set").alias("a"), F.array_min("set").alias("b")))
     named_nodes = nodes.select(F.struct(*f).alias("node"), "least", "n")
     inside = labels.join(named_nodes, "node")
     least = inside.groupBy("label").agg(F.min("least").alias("first"))
