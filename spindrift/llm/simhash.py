@@ -2,26 +2,27 @@
 
 Each document gets a fingerprint of one or more 64-bit words from its word shingles. Fingerprints that can be within the radius are
 brought together by table keys: masks of a fingerprint's bits. With a small radius the masks are exact: the bits are cut into
-radius + k blocks, two fingerprints within the radius agree on k of them at least, and every choice of k blocks is a table. With a
-wide radius the masks are fixed samples of bits, as many as the wished recall takes. In a bucket (one table, one key) a BK-tree over
-its fingerprints, children keyed by the integer Hamming distance to their parent, answers all of the bucket's queries together and
+radius + k blocks, two fingerprints within the radius agree on k of them at least, and every choice of k blocks is a table.
+In a bucket (one table, one key) a BK-tree over its fingerprints, children keyed by the integer Hamming distance to their parent, answers all of the bucket's queries together and
 follows only edges within the radius of a query's distance. A bucket of more than ``SHARD`` fingerprints is cut into shards, one
 tree each, and every pair of shards is a task of its own. A task returns a star for each connected set it finds, never all pairs.
 
 Equal fingerprints are one node from the start, so copies cost one row. Trees stay with the task that owns their shard: they grow
 with the corpus, so broadcasting them has no size bound. Components follow from the stars by joins, with a checkpoint each round.
+
+A similarity of shingle sets (the pipeline's stage) can't be read off fingerprints: sets meet by bands of least hashes, and each link
+is counted on the sets themselves.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint
@@ -31,6 +32,11 @@ SEED = 42
 SHARD, SMALL = 1024, 12
 #: Documents with one fingerprint from which they get its component by a broadcast of such fingerprints, not by a shuffle.
 HOT = 1000
+#: Bands of least hashes and hashes to a band, by which similar shingle sets meet; what rounding may take from a bound on counts.
+BANDS, ROWS, SLACK = 32, 5, 1e-6
+
+_rng = np.random.default_rng(SEED)
+_XOR, _ODD = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64), _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -202,18 +208,6 @@ def exact_masks(radius: int, n: int) -> list[list[int]]:
     return [[sum(block[i] for i in chosen)] for chosen in itertools.combinations(range(blocks), agree)]
 
 
-def sampled_masks(n_words: int, tables: int, bits: int, seed: int = SEED) -> list[list[int]]:
-    """A fixed choice of bits for each of so many tables."""
-    rng = np.random.default_rng(seed)
-    picks = [rng.choice(64 * n_words, bits, replace=False) for _ in range(tables)]
-    return [[sum(1 << int(p % 64) for p in pick if p // 64 == w) for w in range(n_words)] for pick in picks]
-
-
-def radius_for(similarity: float, n_bits: int) -> int:
-    """Differing bits to expect of two texts whose sets of shingles have this Jaccard similarity."""
-    return math.floor(n_bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -289,19 +283,131 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     return rows.select(F.struct("doc_id", "tag").alias("key"), *f, F.col("first.doc_id").alias("component_id"), F.col("first.tag").alias("component_tag"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that stay: of each component of near_duplicates() the document of the smallest id; of equal rows, one."""
-    found = near_duplicates(docs, text, doc_id, **how)
-    first = F.col("key.doc_id").eqNullSafe(F.col("component_id")) & (F.col("key.tag") == F.col("component_tag"))
-    stay = found.where(first).select(F.col("key").alias("near_key")).distinct()
-    keyed = docs.withColumn("near_key", F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag")))
-    return keyed.join(stay, "near_key", "left_semi").dropDuplicates(["near_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def min_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of shingle hashes: two sets agree on one with a probability of their Jaccard similarity ** ROWS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(shingles), 1 << 12):
+        least = np.minimum(least, ((shingles[a : a + (1 << 12)] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1))
+    bands, key = least.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) ^ bands[:, r])
+    return key.view(np.int64)
+
+
+def _signatures(named: DataFrame, shingle: int) -> DataFrame:
+    """key, s (a hash of the set of shingles), size and keys of rows (key, text); an empty set has no keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).cast(pa.large_binary() if pa.types.is_large_string(b.column(1).type) else pa.binary())
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in texts]
+            s = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            keys = [min_keys(x) if len(x) else np.empty(0, np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "s", "size", "keys"])
+
+    return named.mapInArrow(run, f"key {named.schema['key'].dataType.simpleString()}, s bigint, size bigint, keys array<bigint>")
+
+
+def _sets(named: DataFrame, shingle: int) -> DataFrame:
+    """s and set, the shingle hashes, of rows (s, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).cast(pa.large_binary() if pa.types.is_large_string(b.column(1).type) else pa.binary())
+            for a in range(0, len(b), 200):
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in texts[a : a + 200]]
+                yield pa.RecordBatch.from_arrays([b.column(0)[a : a + 200], pa.array(sets, pa.list_(pa.int64()))], names=["s", "set"])
+
+    return named.select("s", "text").mapInArrow(run, "s bigint, set array<bigint>")
+
+
+def _unlinked(similarity: float):
+    """Batches of (key, s, size, label), sorted by key, -> all pairs (a, b) of a key with different labels and fitting sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                got = np.stack([np.asarray(c) for c in b.columns], axis=1)
+                held = got if held is None else np.concatenate([held, got])
+            if held is None or not len(held):
+                continue
+            ends = np.append(np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1, len(held))
+            whole = ends if b is None else ends[:-1]  # the last group may go on in the next batch
+            out, n = [], 0
+            for s, e in itertools.pairwise([0, *whole.tolist()]):
+                for i in range(s, e - 1):
+                    rest = held[i + 1 : e]
+                    ok = (rest[:, 3] != held[i, 3]) & (np.minimum(rest[:, 2], held[i, 2]) >= similarity * np.maximum(rest[:, 2], held[i, 2]) - SLACK)
+                    if ok.any():
+                        other = rest[ok, 1]
+                        out.append(np.stack([np.minimum(other, held[i, 1]), np.maximum(other, held[i, 1])], axis=1))
+                        n += len(other)
+                    if n > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=["a", "b"])
+                        out, n = [], 0
+            held = held[whole[-1] :] if len(whole) else held
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=["a", "b"])
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, n_words: int = 4, tables: int = 64, bits: int = 16) -> DataFrame:
-    """cluster() at the radius that a Jaccard similarity of shingle sets stands for.
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this Jaccard similarity or more, counted exactly."""
+    left, right = (sets.select(F.col("s").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    need = (F.size("set_a") + F.size("set_b")) * (similarity / (1 + similarity)) - SLACK
+    return checkpoint(pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("set_a", "set_b")) >= need).select("a", "b"))
 
-    The wider fingerprint narrows the spread of the estimate; a link at exactly the radius shares no table with a probability of
-    (1 - (1 - radius / 256) ** bits) ** tables, under one in a hundred, and closer ones far less.
+
+def _label(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (key, s, size) of the keys that several components share, with their component as label."""
+    labels = components(linked)
+    rows = rows.select("key", "s", "size").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("key", "s", "size", F.coalesce("label", "s").alias("label"))
+    here = Window.partitionBy("key")
+    return checkpoint(rows.withColumn("low", F.min("label").over(here)).withColumn("high", F.max("label").over(here)).where("low < high").select("key", "s", "size", "label"))
+
+
+def _centre_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Each s of rows (key, s, size, label) with the least centre of its keys; a key's centre is the first row of its least label."""
+    met = rows.withColumn("c", F.min(F.struct("label", "s", "size")).over(Window.partitionBy("key")))
+    met = met.where((F.col("label") != F.col("c.label")) & (F.least("size", "c.size") >= similarity * F.greatest("size", "c.size") - SLACK))
+    return met.groupBy(F.col("s").alias("b")).agg(F.min("c.s").alias("a"))
+
+
+def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """s, doc_id, tag and first: every set of shingles, its first document, and the first document (doc_id, tag) of its component.
+
+    Links are pairs of shingle sets whose Jaccard similarity, counted exactly, is ``similarity`` or more. They are looked for among
+    the sets that share a band of ROWS least hashes; a pair at 0.8 shares none of BANDS with a probability of (1 - 0.8 ** ROWS) **
+    BANDS, three in a million. Two rounds test each set against one centre of its keys, so that a large group is joined at the cost
+    of its size; the last one tests all pairs of a key that are still in different components. Null and empty texts have the empty set.
     """
-    return cluster(docs, text, doc_id, shingle, radius_for(similarity, 64 * n_words), n_words, sampled_masks(n_words, tables, bits))
+    named = docs.select(F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag")).alias("key"), F.col(f"`{text}`").alias("text"))
+    prints = checkpoint(_signatures(named, shingle))
+    order = F.struct(F.col("key.doc_id").isNull().alias("none"), F.col("key.doc_id").alias("doc_id"), F.col("key.tag").alias("tag"))
+    nodes = checkpoint(prints.groupBy("s").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    rows = nodes.select(F.explode("keys").alias("key"), "s", "size").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    rows = checkpoint(rows.where("n > 1").select("key", "s", "size", F.col("s").alias("label")))
+    # Only sets that share a key are needed whole, each from its first document.
+    wanted = nodes.join(rows.select("s").distinct(), "s", "left_semi").select("s", F.col("least.doc_id").alias("first_id"), F.col("least.tag").alias("first_tag"))
+    wanted = broadcast_if_small(checkpoint(wanted))
+    texts = named.join(wanted, F.col("key.doc_id").eqNullSafe(F.col("first_id")) & (F.col("key.tag") == F.col("first_tag"))).select("s", "text")
+    sets = checkpoint(_sets(texts, shingle).dropDuplicates(["s"]))
+    linked = _similar(_centre_pairs(rows, similarity), sets, similarity)
+    left = _label(rows, linked)
+    linked = linked.unionByName(_similar(_centre_pairs(left, similarity), sets, similarity))
+    left = _label(left, linked)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_unlinked(similarity), "a bigint, b bigint").distinct()
+    labels = components(linked.unionByName(_similar(pairs, sets, similarity)))
+    of = nodes.select("s", "least").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("s", "least", F.coalesce("label", "s").alias("label"))
+    firsts = of.groupBy("label").agg(F.min("least").alias("first"))
+    return of.join(firsts, "label").select("s", F.col("least.doc_id").alias("doc_id"), F.col("least.tag").alias("tag"), F.struct("first.doc_id", "first.tag").alias("first"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs that stay: of each component of similar_sets() the document of the smallest id; of equal rows, one."""
+    stay = similar_sets(docs, text, doc_id, **how).select(F.col("first").alias("near_key")).distinct()
+    keyed = docs.withColumn("near_key", F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag")))
+    return keyed.join(stay, "near_key", "left_semi").dropDuplicates(["near_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -230,3 +230,36 @@ def test_pipeline(spark):
     assert masked.columns == docs.columns and masked.count() == clean.count()
     mixed = corpus_pipeline.mix_sources(spark, masked, SMALL)
     assert mixed.columns == [*docs.columns, "copy"] and mixed.groupBy("doc_id").count().where("count > 3").count() == 0
+
+
+def test_near_duplicates_at_the_stated_similarity(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows, want = [], set()
+    for k in range(60):  # sets of 90 shingles in a row of 94 words: 80 or 79 of 100 or 101 are common
+        body, add = [word() for _ in range(94)], 10 if k % 2 else 11
+        rows += [(10 * k, " ".join(body)), (10 * k + 1, " ".join([*body[add:], *[word() for _ in range(add)]]))]
+        want |= {10 * k} if k % 2 else {10 * k, 10 * k + 1}
+    line = " ".join(word() for _ in range(12))  # one line 60 times does not make texts alike
+    rows += [(1000 + i, "\n".join([line] * 60 + [" ".join(word() for _ in range(300))])) for i in range(2)]
+    base = [word() for _ in range(200)]  # a chain: every text is like the next only
+    rows += [(2000 + i, " ".join(base[8 * i : 8 * i + 84])) for i in range(12)]
+    rows += [(3000, None), (3001, " "), (None, "one two"), (3002, "ONE two"), (3002, "ONE two")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.doc_id for r in simhash.keep_one(d).collect()]
+    assert sorted(got) == sorted(want | {1000, 1001, 2000, 3000, 3002})
+    assert simhash.keep_one(d.where("false")).count() == 0
+
+
+def test_large_group_of_near_copies_against_a_loop(spark):
+    rng = random.Random(13)
+    base, rows = [f"v{i}" for i in range(100)], []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(100), rng.randrange(0, 6)):
+            w[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(96)} for i, t in rows}
+    label = reach(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(label.values())
