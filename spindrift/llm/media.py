@@ -5,8 +5,9 @@ of the patch's centre of mass) and give 128 bits, which survive crops, overlays,
 meet through Hamming tables: fixed samples of bits, joined on equal values. Two images are linked if enough of the corners they share
 agree on one similarity transform (scale, turn, shift).
 
-Images of equal bytes are one image from the start. In a table's bucket of more than ``ALL_PAIRS`` images each image is paired with the
-first and with the next one only, which keeps the images of the bucket connected without listing their pairs.
+Images of equal bytes are one image from the start. In a table's bucket all pairs of corners are compared; a bucket of more than
+``SHARD`` corners is cut into shards, and every pair of shards is a task of its own. Links are counted, so the work on a group of edited
+copies grows with the square of its size.
 """
 
 from __future__ import annotations
@@ -19,19 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import broadcast_if_small, checkpoint
 from .simhash import components
 
 #: Corners to an image and level, levels of the pyramid, tests, tables and bits to a table.
 CORNERS, LEVELS, TESTS, TABLES, BITS = 20, 2, 128, 6, 32
 #: Largest distance of matching descriptors, corners that must agree, tolerance in pixels.
 RADIUS, AGREE, TOLERANCE = 16, 5, 3.0
-ALL_PAIRS = 32
+#: Corners of a bucket to a task, pairs compared at once.
+SHARD, BLOCK = 1024, 1 << 18
 REACH = 14
 
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, 7.0, (TESTS, 2, 2)), -11, 11)
 _TABLES = np.stack([_rng.choice(TESTS, BITS, replace=False) for _ in range(TABLES)])
+#: The bits of each table, as two words.
+_MASKS = np.array([[sum(1 << int(b % 64) for b in t if b // 64 == w) for w in range(2)] for t in _TABLES], np.uint64)
 _DISC = np.array([(y, x) for y in range(-6, 7) for x in range(-6, 7) if x * x + y * y <= 36])
 
 
@@ -162,24 +166,33 @@ MATCH = "left bigint, right bigint, lx double, ly double, ls double, la double,
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(table, key, image, x, y, scale, angle, bits0, bits1) sorted by the first three -> MATCH rows."""
+    """(table, key, left, right, part, image, x, y, scale, angle, bits0, bits1) sorted by the first four -> MATCH rows.
+
+    All pairs between the parts left and right (or within one) are compared. A pair is given by the first table that it shares.
+    """
     out, n = [], 0
-    for g in _groups(batches, 2, 2):
-        image = np.ascontiguousarray(g[:, 2]).view(np.int64)
-        m = len(g)
-        if m <= ALL_PAIRS:
-            i, j = np.triu_indices(m, 1)
-        else:
-            i, j = np.concatenate((np.zeros(m - 1, int), np.arange(m - 1))), np.concatenate((np.arange(1, m), np.arange(1, m)))
-        bits = np.ascontiguousarray(g[:, 7:9]).view(np.uint64)
-        ok = (image[i] != image[j]) & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= RADIUS)
-        i, j = i[ok], j[ok]
-        if len(i):
-            out.append(np.column_stack([g[i, 2], g[j, 2], g[i, 3:7], g[j, 3:7]]))
-            n += len(i)
-        if n >= 20_000:
-            yield _matches(np.concatenate(out))
-            out, n = [], 0
+    for g in _groups(batches, 4, 2):
+        table, _, first, second = np.ascontiguousarray(g[0, :4]).view(np.int64).tolist()
+        part, image = (np.ascontiguousarray(g[:, k]).view(np.int64) for k in (4, 5))
+        bits = np.ascontiguousarray(g[:, 10:12]).view(np.uint64)
+        lows, highs = np.flatnonzero(part == first), np.flatnonzero(part == second)
+        step = max(1, BLOCK // max(len(highs), 1))
+        for a in range(0, len(lows), step):
+            i, j = np.repeat(lows[a : a + step], len(highs)), np.tile(highs, len(lows[a : a + step]))
+            if first == second:
+                i, j = i[i < j], j[i < j]
+            differ = bits[i] ^ bits[j]
+            ok = (image[i] != image[j]) & (np.bitwise_count(differ).sum(axis=1) <= RADIUS)
+            for mask in _MASKS[:table]:
+                ok &= (differ & mask).any(axis=1)
+            i, j = i[ok], j[ok]
+            i, j = np.where(image[i] < image[j], i, j), np.where(image[i] < image[j], j, i)
+            if len(i):
+                out.append(np.column_stack([g[i, 5], g[j, 5], g[i, 6:10], g[j, 6:10]]))
+                n += len(i)
+            if n >= 20_000:
+                yield _matches(np.concatenate(out))
+                out, n = [], 0
     if out:
         yield _matches(np.concatenate(out))
 
@@ -231,10 +244,17 @@ def copies(images: DataFrame) -> DataFrame:
     rows = checkpoint(images.select("image", F.sha2(F.coalesce(F.col("bytes"), F.lit(b"")), 256).alias("digest")))
     same = rows.groupBy("digest").agg(F.min("image").alias("first"))
     firsts = images.select("image", "bytes").join(same.where("first is not null").select(F.col("first").alias("image")).distinct(), "image").dropDuplicates(["image"])
-    found = corners(firsts)
+    found = checkpoint(corners(firsts))
     keyed = F.explode(F.array(*[F.struct(F.lit(t).cast("bigint").alias("table"), _table_key(t).alias("key")) for t in range(TABLES)]))
-    tables = found.select(keyed.alias("k"), *[c.split()[0] for c in CORNER.split(", ")]).select("k.table", "k.key", *[c.split()[0] for c in CORNER.split(", ")])
-    dealt = tables.repartition(parts, "table", "key").sortWithinPartitions("table", "key", "image")
+    names, by = [c.split()[0] for c in CORNER.split(", ")], ["table", "key", "left", "right"]
+    tables = found.select(keyed.alias("k"), *names).select("k.table", "k.key", *names)
+    sizes = tables.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
+    large = broadcast_if_small(checkpoint(sizes.select("table", "key", F.ceil(F.col("n") / SHARD).alias("parts"))))
+    tables = tables.join(large, ["table", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    tables = tables.withColumn("part", F.pmod(F.xxhash64("image", "x", "y", "scale"), F.col("parts")))
+    pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("left"), F.greatest(o, F.col("part")).alias("right")))
+    tables = tables.withColumn("pair", F.explode(pair)).select("table", "key", "pair.left", "pair.right", "part", *names)
+    dealt = tables.repartition(parts, *by).sortWithinPartitions(*by)
     matched = dealt.mapInArrow(_match, MATCH).repartition(parts, "left", "right").sortWithinPartitions("left", "right")
     links = checkpoint(matched.mapInArrow(_consensus, "left bigint, right bigint, agree bigint"))
     labels = components(links.select(F.col("left").alias("a"), F.col("right").alias("b")))

@@ -263,3 +263,40 @@ def test_large_group_of_near_copies_against_a_loop(spark):
     label = reach(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(label.values())
+
+
+def corner_matches(a, b):
+    """Rows for agreeing() of two images' corners that share a table and lie within the radius."""
+    differ = np.ascontiguousarray(a[:, None, 4:6]).view(np.uint64) ^ np.ascontiguousarray(b[None, :, 4:6]).view(np.uint64)
+    bit = np.unpackbits(np.ascontiguousarray(differ).view(np.uint8), axis=2, bitorder="little")
+    meet = (bit[:, :, media._TABLES] == 0).all(axis=3).any(axis=2) & (bit.sum(axis=2) <= media.RADIUS)
+    i, j = np.nonzero(meet)
+    return np.unique(np.column_stack([a[i, :4], b[j, :4]]), axis=0)
+
+
+def test_large_groups_of_edited_copies(spark):
+    rng = np.random.default_rng(14)
+    pictures = [media._picture(0, 0, rng.normal(size=64).tolist(), 96) for _ in range(2)]
+    images = [(i, media.encode(pictures[i % 2] * rng.uniform(0.7, 0.9) + 20 + rng.normal(0, 3, (96, 96)))) for i in range(90)]
+    got = {r.image: r for r in media.copies(spark.createDataFrame(images, "image long, bytes binary")).collect()}
+    found = [media.describe(media.decode(b)) for _, b in images]
+    links = [(a, b) for a in range(90) for b in range(a) if len(m := corner_matches(found[b], found[a])) and media.agreeing(m) >= media.AGREE]
+    assert len(links) > 2 * 45 * 44 // 2 * 0.9
+    for i in range(90):
+        assert got[i].class_id == i % 2 and got[i].n_links == sum(i in pair for pair in links)
+
+
+def test_shards_of_a_bucket_leave_no_pair_out():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    bits = rng.integers(0, 2**63, 2, dtype=np.int64) ^ (np.int64(1) << rng.integers(0, 63, (120, 2)))
+    rows, want = [], set()
+    for left, right in ((0, 0), (0, 1), (1, 1)):
+        rows += [(0, 7, left, right, i % 2, i // 2, float(i), 0.0, 1.0, 0.0, *bits[i].tolist()) for i in range(120) if i % 2 in (left, right)]
+    for i in range(120):
+        want |= {(i, j) for j in range(i + 1, 120) if i // 2 != j // 2}
+    names = ["table", "key", "left", "right", "part", "image", "x", "y", "scale", "angle", "bits0", "bits1"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    got = [(int(r["lx"]), int(r["rx"])) for b in media._match(iter([batch.slice(0, 50), batch.slice(50)])) for r in b.to_pylist()]
+    assert len(got) == len(want) and set(got) == want
