@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .text import used_imports
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<line>//[^\n]*)|(?P<block>/\*)|(?P<raw>b?r(?P<hash>\#*)"(?:.|\n)*?"(?P=hash))|(?P<string>[bc]?"(?:\\(?:.|\n)|[^"\\])*")"""
@@ -18,10 +21,17 @@ _TOKEN = re.compile(
     re.X,
 )
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
-#: Keywords that begin an item, and the node types that they stand for (fixed values).
-KINDS = {"struct": "struct_item", "enum": "enum_item", "union": "union_item", "trait": "trait_item", "mod": "mod_item", "const": "const_item", "static": "static_item", "type": "type_item"}
+#: The kind of an item as its id has it, and the node type that its row names (fixed values).
+KINDS = {
+    "struct": "struct_item", "enum": "enum_item", "union": "union_item", "trait": "trait_item", "mod": "mod_item", "const": "const_item", "static": "static_item", "type": "type_item",
+    "impl": "impl_item", "function": "function_item", "function_signature": "function_signature_item", "foreign_mod": "foreign_mod_item", "macro": "macro_definition",
+}
+#: Keywords that begin an item and are followed by its name.
+NAMED = ("struct", "enum", "union", "trait", "mod", "const", "static", "type")
 QUALIFIERS = {"pub", "async", "unsafe", "const", "extern", "default", "auto"}
-PARENTS = {"struct_item", "impl_item", "trait_item", "mod_item"}
+#: The node type of a file's own row (a fixed value).
+MODULE = "module_declarations"
+PARENTS = {"struct", "impl", "trait", "mod"}
 
 
 def tokens(source: str) -> list[tuple[str, str, int, int]]:
@@ -117,8 +127,8 @@ class _File:
         return self.slice(first, last - 1) if last > first else None
 
     def add(self, kind: str, name: str | None, parent: str | None, a: int, b: int) -> None:
-        short = kind.replace("_item", "").replace("_definition", "")
-        self.items.append({"id": f"{self.file}::{parent + '::' if parent else ''}{short}::{name or 'unknown'}", "kind": kind, "parent": parent, "code": self.slice(a, b)})
+        path = [self.file, *([parent] if parent else []), kind, name or "unknown"]
+        self.items.append({"id": "::".join(path), "kind": KINDS[kind], "parent": parent, "code": self.slice(a, b)})
 
     def walk(self, i: int, stop: int, parent: str | None) -> None:
         while i < stop:
@@ -133,7 +143,7 @@ class _File:
                 i += 1
             elif self.text(i + 1) == "!" and x == "macro_rules" and self.text(i + 3) in _CLOSE:
                 last = self.pair[i + 3]
-                self.add("macro_definition", self.text(i + 2), parent, i, last)
+                self.add("macro", self.text(i + 2), parent, i, last)
                 i = last + 1
             elif self.text(i + 1) == "!" and self.text(i + 2) in _CLOSE:
                 i = self.pair[i + 2] + 1
@@ -158,7 +168,7 @@ class _File:
                 if self.text(i + 1 + quoted) == "{":
                     body = i + 1 + quoted
                     last = self.pair[body]
-                    self.add("foreign_mod_item", f"extern_{then.strip(chr(34))}" if quoted else "extern", parent, a, last)
+                    self.add("foreign_mod", f"extern_{then.strip(chr(34))}" if quoted else "extern", parent, a, last)
                     self.walk(body + 1, last, parent)
                     return last + 1
                 i += 1 + quoted
@@ -177,16 +187,16 @@ class _File:
             if body < 0 or self.text(a - 1) in (":", "=", ">", "(", ",", "&", "+", "<"):
                 return None  # a type, not an item
             of = self.impl_type(i + 1, body)
-            self.add("impl_item", of, parent, a, last)
+            self.add("impl", of, parent, a, last)
             self.walk(body + 1, last, of)
             return last + 1
         if x == "fn" and named:
             body, last = self.end(i, stop)
-            self.add("function_item" if body >= 0 else "function_signature_item", name, parent, a, last)
+            self.add("function" if body >= 0 else "function_signature", name, parent, a, last)
             if body >= 0:
                 self.walk(body + 1, last, parent)
             return last + 1
-        if x in KINDS and named and (x != "union" or self.text(i + 2) in ("{", "<", "where")):
+        if x in NAMED and named and (x != "union" or self.text(i + 2) in ("{", "<", "where")):
             if x == "const" and self.text(a - 1) in ("*", "<", ","):
                 return None  # a pointer or a parameter
             if x == "static" and name == "mut":
@@ -194,36 +204,27 @@ class _File:
             body, last = self.end(i, stop, body=x not in ("const", "static", "type"))
             if x == "type" and not any(self.text(k) == "=" for k in range(i, last)):
                 return last + 1  # a trait's own type
-            kind = KINDS[x]
-            self.add(kind, name, parent, a, last)
+            self.add(x, name, parent, a, last)
             if x in ("const", "static"):
                 self.walk(i + 2, last, parent)
             elif body >= 0 and x not in ("enum", "struct", "union"):
-                self.walk(body + 1, last, name if kind in PARENTS else parent)
+                self.walk(body + 1, last, name if x in PARENTS else parent)
             return last + 1
         return None
 
 
-def used_imports(code: str, imports: list[str]) -> list[str]:
-    """Sorted imports whose last name, or one of a braced list, occurs in the code."""
-    out = set()
-    for i in imports:
-        last = i.replace(";", "").split("::")[-1].strip()
-        names = [n.strip() for n in last.replace("{", "").replace("}", "").split(",")] if "{" in last else [last]
-        if any(n in code for n in names):
-            out.add(i)
-    return sorted(out)
-
-
 def extract(source: str, file: str) -> list[dict]:
-    """Rows id, kind, parent, code, file, imports, extern_crates, attributes in the order of the source, a module row first."""
+    """Rows id, kind, parent, code, file, imports, extern_crates, attributes in the order of the source, a module row first.
+
+    imports are all of the file's; which of them an item uses is a column expression of extract_items().
+    """
     f = _File(source, file)
     f.walk(0, len(f.t), None)
     rows = []
     if f.crates or f.attributes or f.imports:
-        rows.append({"id": f"{file}::module", "kind": "module_declarations", "parent": None, "code": "\n".join([*f.crates, *f.attributes, *f.imports]), "file": file, "imports": f.imports, "extern_crates": f.crates, "attributes": f.attributes})
+        rows.append({"id": f"{file}::module", "kind": MODULE, "parent": None, "code": "\n".join([*f.crates, *f.attributes, *f.imports]), "file": file, "imports": f.imports, "extern_crates": f.crates, "attributes": f.attributes})
     for item in f.items:
-        rows.append(item | {"file": file, "imports": used_imports(item["code"], f.imports), "extern_crates": None, "attributes": None})
+        rows.append(item | {"file": file, "imports": f.imports, "extern_crates": None, "attributes": None})
     return rows
 
 
@@ -235,8 +236,6 @@ def extract_items(files: DataFrame, extensions: tuple[str, ...] = (".rs",)) -> D
 
     A file that can't be read gives one row with an error and no id; null contents are empty files.
     """
-    from pyspark.sql import functions as F
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in ITEMS.split(", ")]
         for frame in frames:
@@ -252,4 +251,5 @@ def extract_items(files: DataFrame, extensions: tuple[str, ...] = (".rs",)) -> D
     wanted = F.lit(False)
     for e in extensions:
         wanted = wanted | F.endswith(F.col("file_path"), F.lit(e))
-    return files.where(wanted).select("repo", "commit_no", "file_path", "content").mapInPandas(run, ITEMS)
+    items = files.where(wanted).select("repo", "commit_no", "file_path", "content").mapInPandas(run, ITEMS)
+    return items.withColumn("imports", F.when(F.col("parent").isNull() & (F.col("kind") == MODULE), F.col("imports")).otherwise(used_imports(F.col("code"), F.col("imports"))))
