@@ -96,55 +96,116 @@ def test_held_out_toxicity(spark):
     assert np.mean([r.score for r in got if r.toxic]) > np.mean([r.score for r in clean]) + 0.3
 
 
+def some_words(rng, n):
+    """Input rows of n words, one to three each."""
+    size = rng.integers(1, 4, n)
+    return lm.Lists(rng.integers(0, 30, size.sum()), np.cumsum(size) - size, size)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.ones(20)).items()}
-    x, y = rng.integers(0, 20, (2, lm.WINDOW)), rng.integers(0, 20, (2, lm.WINDOW))
+    w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.ones(20), 30).items()}
+    words = some_words(rng, 25)
+    x, y = rng.integers(0, 25, (2, lm.WINDOW)), rng.integers(0, 20, (2, lm.WINDOW))
     ok = rng.random(x.shape) < 0.8
-    _, g = lm.gradient(w, x, y, ok)
+    _, g = lm.gradient(w, words, x, y, ok)
     for k in w:
-        i = (int(x[0, 0]), 3) if k == "emb" else tuple(int(rng.integers(0, s)) for s in w[k].shape)
+        i = (int(words.flat[words.start[x[0, 0]]]), 3) if k == "emb" else tuple(int(rng.integers(0, s)) for s in w[k].shape)
         e = 1e-5
         w[k][i] += e
-        a, _ = lm.gradient(w, x, y, ok)
+        a, _ = lm.gradient(w, words, x, y, ok)
         w[k][i] -= 2 * e
-        b, _ = lm.gradient(w, x, y, ok)
+        b, _ = lm.gradient(w, words, x, y, ok)
         w[k][i] += e
         assert (a - b) / (2 * e) == pytest.approx(g[k][i], rel=1e-3, abs=1e-8)
 
 
 def test_attention_looks_back_only():
-    w = lm.start_weights(np.ones(20), seed=1)
-    x = np.random.default_rng(1).integers(0, 20, (1, lm.WINDOW))
-    a, _ = lm.forward(w, x)
+    w, rng = lm.start_weights(np.ones(20), 30, seed=1), np.random.default_rng(1)
+    words, x = some_words(rng, 20), rng.integers(0, 20, (1, lm.WINDOW))
+    a, _ = lm.forward(w, words, x)
     x[0, 20:] = 3
-    b, _ = lm.forward(w, x)
+    b, _ = lm.forward(w, words, x)
     assert np.allclose(a[0, :20], b[0, :20]) and not np.allclose(a[0, 20:], b[0, 20:])
 
 
 def test_each_position_is_scored_once():
     rng = np.random.default_rng(2)
-    w = lm.start_weights(rng.random(20) * 50, seed=2)
+    w, words = lm.start_weights(rng.random(20) * 50, 30, seed=2), some_words(rng, 40)
     lengths = np.array([0, 1, 5, lm.WINDOW - 1, lm.WINDOW, lm.WINDOW + 1, 3 * lm.WINDOW, 200])
-    classes = rng.integers(0, 20, lengths.sum())
-    got, at = lm.nll(w, classes, lengths, batch=3), 0
+    at, classes = rng.integers(0, 40, lengths.sum()), rng.integers(0, 20, lengths.sum())
+    reader = lm.Reader(w)
+    for part in np.array_split(np.arange(40), 3):
+        reader.add(words.vectors(w["emb"], part))
+    got, done = reader.nll(at, classes, lengths, batch=3), 0
     for n, total in zip(lengths, got, strict=True):
-        seq, at = classes[at : at + n], at + n
-        inputs, targets, want = np.append(0, seq), np.append(seq, 0), 0.0
+        seq, aims, done = at[done : done + n], classes[done : done + n], done + n
+        inputs, targets, want = np.append(0, seq), np.append(aims, 0), 0.0
         for i in range(n + 1):
             k = 0 if i < lm.WINDOW else -(-(i - lm.WINDOW + 1) // (lm.WINDOW - lm.CONTEXT))
             first = k * (lm.WINDOW - lm.CONTEXT)
             x = np.zeros((1, lm.WINDOW), int)
             x[0, : i - first + 1] = inputs[first : i + 1]
-            y, _ = lm.forward(w, x)
+            y, _ = lm.forward(w, words, x)
             want -= float(lm.log_probs(w, y[0, i - first : i - first + 1])[0, targets[i]])
         assert total == pytest.approx(want, rel=1e-4)
 
 
-def test_class_shares_add_up():
-    counts = np.random.default_rng(3).integers(0, 100, 600)
-    c = lm.Classes.make(counts)
-    assert np.allclose(np.bincount(c.of, np.exp(c.inside), c.n)[np.bincount(c.of, minlength=c.n) > 0], 1) and c.of[-1] == 0
+def test_shares_by_hand():
+    """The chance of a word in its cluster, from plain counts; a cluster's words have at most all of it."""
+    rng, cut = np.random.default_rng(3), lm.CLUSTERS * (lm.BEFORE + 2)
+    ids_of = [rng.integers(0, 12, rng.integers(1, 4)) for _ in range(60)]
+    ids_of = [np.array(x) for x in sorted({tuple(i.tolist()) for i in ids_of})]
+    rows = 1 + np.arange(20) // 2  # two ids share a row
+    cls = lm.SINGLES + rng.integers(0, 2, len(ids_of))
+    counts, id_counts = rng.integers(1, 9, len(ids_of)), rng.integers(0, 50, 20)
+    sizes, flat = np.array([len(i) for i in ids_of]), np.concatenate(ids_of)
+    steps = Counter()
+    for c, i in zip(cls - lm.SINGLES, ids_of, strict=True):
+        steps.update(zip([c] * (len(i) + 1), [0, *rows[i]], [*rows[i], 0], strict=True))
+    keys, times = np.unique(lm.spelling_keys(cls - lm.SINGLES, rows[flat], sizes), return_counts=True)
+    assert keys.max() < cut * lm.N_ROWS and {(int(k) // lm.N_ROWS // (lm.BEFORE + 2), int(k) // lm.N_ROWS % (lm.BEFORE + 2), int(k) % lm.N_ROWS): n for k, n in zip(keys, times, strict=True)} == steps
+    n, types = (np.bincount(cls, x, lm.N_CLASSES).astype(int) for x in (counts, np.ones(len(cls))))
+    shares = lm.Shares.make(n, types, keys, times, id_counts, rows)
+    common = Counter()
+    for (_, _, r), k in steps.items():
+        common[r] += k
+    total = sum(common.values()) + lm.N_ROWS
+
+    def chance(c, ids):
+        p, before = 1.0, 0
+        for r, i in [*zip(rows[ids], ids, strict=True), (0, None)]:
+            own = sum(k for (d, _, x), k in steps.items() if d == c and x == r)
+            whole = sum(k for (d, _, _), k in steps.items() if d == c)
+            alone = (own + lm.COMMON * (common[r] + 1) / total) / (whole + lm.COMMON)
+            here = [k for (d, b, _), k in steps.items() if d == c and b == before]
+            p *= (steps[c, before, r] + len(here) * alone) / (sum(here) + len(here)) if here else alone
+            if i is not None:
+                p *= (id_counts[i] + 1) / (id_counts[rows == r] + 1).sum()
+            before = r
+        return p
+
+    got = shares.spelled(cls, flat, rows[flat], sizes)
+    for c, i, g in zip(cls, ids_of, got, strict=True):
+        assert g == pytest.approx((types[c] + 1) * chance(c - lm.SINGLES, i))
+    inside = np.exp(shares.inside(cls, counts, got))
+    assert all(inside[cls == c].sum() <= 1 for c in set(cls.tolist())) and np.allclose(inside, (counts + got) / (n[cls] + types[cls] + 1))
+    strange = shares.spelled(np.array([lm.SINGLES + 5]), np.array([19]), rows[[19]], np.array([1]))
+    assert 0 < strange[0] < 1
+
+
+def test_windows_are_drawn_whole(spark):
+    words = [f"w{i}" for i in range(100)]
+    d = spark.createDataFrame([(" ".join(words[:n]),) for n in (0, 1, 31, 32, 63, 100)] + [(None,)], "text string")
+    got = lm.draw_windows(d, share=1.0, rounds=3).collect()
+    assert {r.turn for r in got} <= {0, 1, 2} and all(len(r.words.split(b" ")) <= lm.WINDOW + 1 for r in got)
+    assert sum(len(r.words.split(b" ")) - 1 for r in got) == sum(n + 1 for n in (0, 1, 31, 32, 63, 100, 0))
+    assert lm.draw_windows(d.where("false")).count() == 0
+
+
+def test_model_beats_the_word_counts(spark):
+    got = QUERIES["op5_lm_scoring"](spark, "/root/testdata/sf0.1").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()
+    assert len(got) == 2 and all(r.score > r.base for r in got)
 
 
 @pytest.mark.parametrize("frequent", [lm.FREQUENT, 30])
@@ -165,5 +226,10 @@ def test_base_scores_by_hand(spark, monkeypatch, frequent):
         words = texts[r.doc_id]
         assert r.n_tokens == len(words) and r.n_known == sum(counts[w] > 0 for w in words) and r.train_tokens == n
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)) and r.score < 0
+    met = lm._Words(model.classes, counts, model.shares, model.weights)
+    for r in got:
+        at = met.look(texts[r.doc_id][:-1])
+        want = (met.inside[at].sum() - met.reader.nll(at, met.cls[at], np.array([len(at)]))[0]) / math.log(10)
+        assert r.score == pytest.approx(want, rel=1e-4)
     empty = lm.learn(d.where("false"), rounds=1)
     assert {round(r.base_score, 9) for r in lm.score(d, empty).where("n_tokens = 1").collect()} == {0.0} and lm.score(d.where("false"), model).count() == 0
