@@ -194,6 +194,16 @@ def test_shares_by_hand():
     assert 0 < strange[0] < 1
 
 
+def test_words_are_encoded_as_if_alone():
+    with open(lm.VOCABULARY, "rb") as f:
+        pieces = lm.Pieces(f.read())
+    plain = [b"the", b"(the)", b"", b"a1234567b", "é!é".encode(), "\u0301x".encode(), b"...", "日本語12".encode(), "👍🏽".encode(), b"x" * 300]
+    for words in (plain, [*plain, "a\u00a0b".encode(), "\u3000".encode(), b"end"], [b""], []):
+        flat, sizes = pieces(words)
+        want = [pieces.encode(" " + w.decode()) if w else [] for w in words]
+        assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
 def test_windows_are_drawn_whole(spark):
     words = [f"w{i}" for i in range(100)]
     d = spark.createDataFrame([(" ".join(words[:n]),) for n in (0, 1, 31, 32, 63, 100)] + [(None,)], "text string")
