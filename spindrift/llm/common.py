@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +39,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if a count shows at most ``most`` rows; else leaves the join to a shuffle that AQE splits.
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def store(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df written to a table of its own in the shared folder, and what removes that again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
+
+
+def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Marks df for broadcast if a count shows at most ``most`` (BROADCAST_ROWS) rows; else leaves the join to a shuffle that AQE splits.
 
     df should be cheap to count: a checkpoint or an aggregate of one.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def crc_rem(doc_id: Column | str, modulus: int) -> Column:
