@@ -1,9 +1,10 @@
 """Cropped and edited copies of images by local descriptors (operator 3).
 
-Corners are found on a pyramid of scales; around each, binary intensity tests are turned by the corner's own orientation (the direction
-of the patch's centre of mass) and give 128 bits, which survive crops, overlays, quarter turns and changes of brightness. Descriptors
-meet through Hamming tables: fixed samples of bits, joined on equal values. Two images are linked if enough of the corners they share
-agree on one similarity transform (scale, turn, shift).
+Corners are found on a pyramid of scales: every place whose corner strength is the greatest within ``APART`` pixels, so their number
+grows with the picture's area and a crop has the corners that the whole picture has there. Around each, binary intensity tests are
+turned by the corner's own orientation (the direction of the patch's centre of mass) and give 128 bits, which survive crops, overlays,
+quarter turns and changes of brightness. Descriptors meet through Hamming tables: fixed samples of bits, joined on equal values. Two
+images are linked if enough of the corners they share agree on one similarity transform (scale, turn, shift).
 
 Images of equal bytes are one image from the start. In a table's bucket all pairs of corners are compared; a bucket of more than
 ``SHARD`` corners is cut into shards, and every pair of shards is a task of its own. Links are counted, so the work on a group of edited
@@ -12,25 +13,31 @@ copies grows with the square of its size.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint
 from .simhash import components
 
-#: Corners to an image and level, levels of the pyramid, tests, tables and bits to a table.
-CORNERS, LEVELS, TESTS, TABLES, BITS = 20, 2, 128, 6, 32
+#: Pixels within which a corner is the strongest, levels of the pyramid, tests, tables and bits to a table.
+APART, LEVELS, TESTS, TABLES, BITS = 5, 2, 128, 6, 32
 #: Largest distance of matching descriptors, corners that must agree, tolerance in pixels.
 RADIUS, AGREE, TOLERANCE = 16, 5, 3.0
 #: Corners of a bucket to a task, pairs compared at once.
 SHARD, BLOCK = 1024, 1 << 18
-REACH = 14
+#: Pixels that a corner keeps from the edge; rows of a picture that are held at once, and rows more to either side.
+REACH, STRIP, MARGIN = 14, 512, 24
 
+#: Magic number, width, height and maximum of a picture, comments between them.
+_HEAD = re.compile(rb"P([56])" + rb"(?:\s|#[^\n]*\n)+(\d{1,9})" * 3 + rb"\s")
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, 7.0, (TESTS, 2, 2)), -11, 11)
 _TABLES = np.stack([_rng.choice(TESTS, BITS, replace=False) for _ in range(TABLES)])
@@ -40,28 +47,16 @@ _DISC = np.array([(y, x) for y in range(-6, 7) for x in range(-6, 7) if x * x +
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
-    """A grey image (rows, columns) of binary netpbm bytes (P5, or P6 by its mean); None if they are none."""
-    if not raw or raw[:2] not in (b"P5", b"P6"):
+    """A grey image (rows, columns) of binary netpbm bytes of 8 bits (P5, or P6 by its mean), 0 to 255; None if they are none."""
+    head = _HEAD.match(raw or b"")
+    if not head:
         return None
-    fields, at = [], 2
-    while len(fields) < 3 and at < len(raw):
-        while at < len(raw) and raw[at : at + 1].isspace():
-            at += 1
-        if raw[at : at + 1] == b"#":
-            at = raw.find(b"\n", at) + 1 or len(raw)
-            continue
-        end = at
-        while end < len(raw) and raw[end : end + 1].isdigit():
-            end += 1
-        if end == at:
-            return None
-        fields.append(int(raw[at:end]))
-        at = end
-    if len(fields) < 3 or fields[2] != 255:
+    w, h, most = (int(x) for x in head.groups()[1:])
+    bands, n = (1 if head[1] == b"5" else 3), len(raw) - head.end()
+    if not (0 < w <= n and 0 < h <= n and 0 < most < 256 and w * h * bands <= n):
         return None
-    w, h, bands = fields[0], fields[1], 1 if raw[1:2] == b"5" else 3
-    data = np.frombuffer(raw[at + 1 : at + 1 + w * h * bands], np.uint8)
-    return data.reshape(h, w, bands).mean(axis=2) if len(data) == w * h * bands and w * h else None
+    data = np.frombuffer(raw, np.uint8, w * h * bands, head.end()).reshape(h, w, bands)
+    return np.minimum(data, most).mean(axis=2) * (255 / most)
 
 
 def encode(grey: np.ndarray) -> bytes:
@@ -75,6 +70,47 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return c[n:, n:] - c[:-n, n:] - c[n:, :-n] + c[:-n, :-n]
 
 
+def _highest(a: np.ndarray, r: int) -> np.ndarray:
+    """The greatest value within r places either way, along both axes."""
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (r, r)
+        wide, span = np.pad(a, pad, constant_values=-np.inf), 1
+        cut = lambda x, i, j: x[i:j] if axis == 0 else x[:, i:j]  # noqa: B023, E731
+        while span * 2 <= 2 * r + 1:
+            n = wide.shape[axis]
+            wide, span = np.maximum(cut(wide, 0, n - span), cut(wide, span, n)), span * 2
+        more, n = 2 * r + 1 - span, a.shape[axis]
+        a = np.maximum(cut(wide, 0, n), cut(wide, more, more + n))
+    return a
+
+
+def _strip(level: np.ndarray, top: int, height: int) -> tuple[np.ndarray, ...]:
+    """x, y, angle and the two words of the corners in the rows from top on of a level of so many rows; level begins MARGIN above top, if it can."""
+    above = min(top, MARGIN)
+    smooth = _box(level, 1) / 9
+    gy, gx = np.gradient(smooth)
+    xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    peak = (strength > 1.0) & (strength >= _highest(strength, APART))
+    y, x = np.nonzero(peak)
+    low, high = max(top, REACH), min(top + STRIP, height - REACH)
+    ok = (x >= REACH) & (x < level.shape[1] - REACH) & (y - above + top >= low) & (y - above + top < high)
+    y, x = y[ok], x[ok]
+    patch = smooth[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
+    angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
+    bits = np.empty((len(y), 2), np.int64)
+    for i in range(0, len(y), 1024):
+        part = slice(i, i + 1024)
+        cos, sin = np.cos(angle[part])[:, None, None], np.sin(angle[part])[:, None, None]
+        ty, tx = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
+        py = np.rint(y[part, None, None] + sin * tx + cos * ty).astype(int)
+        px = np.rint(x[part, None, None] + cos * tx - sin * ty).astype(int)
+        value = smooth[np.clip(py, 0, level.shape[0] - 1), np.clip(px, 0, level.shape[1] - 1)]
+        bits[part] = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1, bitorder="little").view("<i8")
+    return x, y - above + top, angle, bits
+
+
 def describe(grey: np.ndarray) -> np.ndarray:
     """Rows (x, y, scale, angle, two 64-bit words as int64) of an image's corners, in a float64 array with the words in its bits."""
     found, level, scale = [], grey.astype(np.float64), 1.0
@@ -82,30 +118,9 @@ def describe(grey: np.ndarray) -> np.ndarray:
         h, w = level.shape
         if min(h, w) <= 2 * REACH + 2:
             break
-        smooth = _box(level, 1) / 9
-        gy, gx = np.gradient(smooth)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = strength[REACH:-REACH, REACH:-REACH]
-        peak = inner > 1.0
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    other = strength[REACH + dy : h - REACH + dy, REACH + dx : w - REACH + dx]
-                    peak &= inner > other if (dy, dx) > (0, 0) else inner >= other
-        y, x = np.nonzero(peak)
-        keep = np.argsort(-inner[y, x], kind="stable")[:CORNERS]
-        y, x = y[keep] + REACH, x[keep] + REACH
-        if len(y):
-            patch = smooth[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
-            angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
-            cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-            ty, tx = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
-            py = np.rint(y[:, None, None] + sin * tx + cos * ty).astype(int)
-            px = np.rint(x[:, None, None] + cos * tx - sin * ty).astype(int)
-            value = smooth[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
-            bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1, bitorder="little").view("<i8")
-            found.append(np.column_stack([x * scale, y * scale, np.full(len(x), scale), angle, bits.astype(np.int64).view(np.float64)]))
+        for top in range(0, h, STRIP):
+            x, y, angle, bits = _strip(level[max(top - MARGIN, 0) : top + STRIP + MARGIN], top, h)
+            found.append(np.column_stack([x * scale, y * scale, np.full(len(x), scale), angle, bits.view(np.float64)]))
         h2, w2 = h // 2 * 2, w // 2 * 2
         level, scale = level[:h2, :w2].reshape(h2 // 2, 2, w2 // 2, 2).mean(axis=(1, 3)), scale * 2
     return np.concatenate(found) if found else np.empty((0, 6))
@@ -114,23 +129,37 @@ def describe(grey: np.ndarray) -> np.ndarray:
 CORNER = "image bigint, x double, y double, scale double, angle double, bits0 bigint, bits1 bigint"
 
 
+FIELDS = [c.split()[0] for c in CORNER.split(", ")][1:]
+
+
 def corners(images: DataFrame) -> DataFrame:
-    """CORNER rows of images (image, bytes); bytes that are no image have none."""
+    """image, digest and corners (array of the FIELDS) of images (image, bytes); bytes that are no image have none.
+
+    Of rows with equal bytes a task describes the first one; corners is null for the others.
+    """
+    inner = "struct<" + ",".join(c.replace(" ", ":") for c in CORNER.split(", ")[1:]) + ">"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            ids, rows = [], []
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                grey = decode(raw.as_py())
-                if grey is not None and len(got := describe(grey)):
-                    ids.append(np.full(len(got), i, np.int64))
-                    rows.append(got)
-            if rows:
-                r = np.concatenate(rows)
-                arrays = [pa.array(np.concatenate(ids)), *[pa.array(np.ascontiguousarray(r[:, k])) for k in range(4)], *[pa.array(np.ascontiguousarray(r[:, k]).view(np.int64)) for k in (4, 5)]]
-                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in CORNER.split(", ")])
-
-    return images.select("image", "bytes").mapInArrow(run, CORNER)
+            digests, rows, ends, known = [], [], [0], []
+            for raw in b.column(1):
+                data = raw.as_py() or b""
+                digest = hashlib.sha256(data).digest()
+                grey = None if digest in seen else decode(data)
+                known.append(digest in seen)
+                seen.add(digest)
+                digests.append(digest)
+                if grey is not None:
+                    rows.append(describe(grey))
+                ends.append(ends[-1] + (len(rows[-1]) if grey is not None else 0))
+            r = np.concatenate(rows) if rows else np.empty((0, 6))
+            flat = [pa.array(np.ascontiguousarray(r[:, k]).view(np.int64) if k > 3 else np.ascontiguousarray(r[:, k])) for k in range(6)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=FIELDS))
+            lists = pc.if_else(pa.array(known), pa.scalar(None, lists.type), lists)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), lists], names=["image", "digest", "corners"])
+
+    return images.select("image", "bytes").mapInArrow(run, f"image bigint, digest binary, corners array<{inner}>")
 
 
 def _table_key(table: int):
@@ -241,10 +270,11 @@ def copies(images: DataFrame) -> DataFrame:
     only; other columns are ignored; an empty table gives an empty result.
     """
     parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = checkpoint(images.select("image", F.sha2(F.coalesce(F.col("bytes"), F.lit(b"")), 256).alias("digest")))
+    described = checkpoint(corners(images.select(F.col("image").cast("bigint").alias("image"), "bytes")))
+    rows = described.select("image", "digest")
     same = rows.groupBy("digest").agg(F.min("image").alias("first"))
-    firsts = images.select("image", "bytes").join(same.where("first is not null").select(F.col("first").alias("image")).distinct(), "image").dropDuplicates(["image"])
-    found = checkpoint(corners(firsts))
+    once = described.where("corners is not null").select("digest", "corners").dropDuplicates(["digest"])
+    found = once.join(same.where("first is not null"), "digest").select(F.col("first").alias("image"), F.explode("corners").alias("c")).select("image", "c.*")
     keyed = F.explode(F.array(*[F.struct(F.lit(t).cast("bigint").alias("table"), _table_key(t).alias("key")) for t in range(TABLES)]))
     names, by = [c.split()[0] for c in CORNER.split(", ")], ["table", "key", "left", "right"]
     tables = found.select(keyed.alias("k"), *names).select("k.table", "k.key", *names)
@@ -282,15 +312,15 @@ def render(table: DataFrame, size: int = 96) -> DataFrame:
     return drawn.mapInArrow(run, "image bigint, bytes binary")
 
 
-def _picture(i: int, of: int, vector: list[float], size: int) -> np.ndarray:
+def _picture(i: int, of: int, vector: list[float], size: int, grain: float = 30.0) -> np.ndarray:
     rng = np.random.default_rng(np.frombuffer(np.asarray(vector, np.float32).tobytes(), np.uint32))
     a = np.full((size, size), rng.uniform(60, 190))
-    for _ in range(45):
+    for _ in range(45 * size * size // 96**2):
         y, x, h, w = rng.integers(0, size), rng.integers(0, size), rng.integers(6, 26), rng.integers(6, 26)
         a[y : y + h, x : x + w] = rng.uniform(0, 255)
     for r in (1, 3):  # the grain of surfaces, at two scales
-        grain = _box(rng.normal(0, 1, (size, size)), r)
-        a = a + grain * (30 / grain.std())
+        rough = _box(rng.normal(0, 1, (size, size)), r)
+        a = a + rough * (grain / rough.std())
     a = _box(a, 1) / 9
     if i == of:
         return a

@@ -204,6 +204,9 @@ def test_netpbm():
     a = np.arange(12).reshape(3, 4) * 20.0
     assert (media.decode(media.encode(a)) == a).all()
     assert media.decode(b"P6\n# note\n1 1\n255\n\x00\x03\x06")[0, 0] == 3 and media.decode(b"P5 9 9 255\n") is None and media.decode(None) is None
+    assert media.decode(b"P5 2 1 15\n\x0f\x00").tolist() == [[255.0, 0.0]] and media.decode(b"P5 1 1 65535\n\x00\x00") is None
+    for bad in (b"", b"P5", b"P5 " + b"9" * 5000, b"P5 999999999 999999999 255\n\x00", b"P5 -1 1 255\nx", b"P5#" * 50, b"P6 1 1 255\nxx"):
+        assert media.decode(bad) is None
 
 
 def test_pipeline(spark):
@@ -267,11 +270,43 @@ def test_large_group_of_near_copies_against_a_loop(spark):
 
 def corner_matches(a, b):
     """Rows for agreeing() of two images' corners that share a table and lie within the radius."""
-    differ = np.ascontiguousarray(a[:, None, 4:6]).view(np.uint64) ^ np.ascontiguousarray(b[None, :, 4:6]).view(np.uint64)
-    bit = np.unpackbits(np.ascontiguousarray(differ).view(np.uint8), axis=2, bitorder="little")
-    meet = (bit[:, :, media._TABLES] == 0).all(axis=3).any(axis=2) & (bit.sum(axis=2) <= media.RADIUS)
-    i, j = np.nonzero(meet)
-    return np.unique(np.column_stack([a[i, :4], b[j, :4]]), axis=0)
+    bits = [np.ascontiguousarray(x[:, 4:6]).view(np.uint64) for x in (a, b)]
+    out = []
+    for k in range(0, len(a), 256):
+        differ = bits[0][k : k + 256, None] ^ bits[1][None]
+        i, j = np.nonzero(np.bitwise_count(differ).sum(axis=2) <= media.RADIUS)
+        meet = [~(differ[i, j] & m).any(axis=1) for m in media._MASKS]
+        i, j = i[np.any(meet, axis=0)], j[np.any(meet, axis=0)]
+        out.append(np.column_stack([a[k + i, :4], b[j, :4]]))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+@pytest.mark.parametrize("grain", [30.0, 0.0])
+@pytest.mark.parametrize("size, n", [(96, 12), (200, 6), (400, 2)])
+def test_edits_are_found_at_any_size(size, n, grain):
+    rng, found = np.random.default_rng(size), []
+    as_read = lambda p: media.describe(media.decode(media.encode(p)))
+    for _ in range(n):
+        p = media._picture(0, 0, rng.normal(size=64).tolist(), size, grain)
+        y, x = rng.integers(0, size - 79, 2)
+        over = p.copy()
+        over[size // 3 : size // 2, size // 5 : size * 7 // 10] = 250
+        own = as_read(p)
+        for edit in (p[y : y + 80, x : x + 80], p * 0.8 + 25 + rng.normal(0, 2, p.shape), np.rot90(p), over):
+            m = corner_matches(own, as_read(edit))
+            assert len(m) and media.agreeing(m) >= media.AGREE
+        found.append(own)
+    assert all(media.agreeing(corner_matches(a, b)) < media.AGREE for i, a in enumerate(found) for b in found[:i])
+
+
+def test_strips_change_nothing(monkeypatch):
+    p = media.decode(media.encode(media._picture(0, 0, np.random.default_rng(3).normal(size=64).tolist(), 160)))
+    whole = media.describe(p)
+    monkeypatch.setattr(media, "STRIP", 50)
+    cut = media.describe(p)
+    order = lambda d: d[np.lexsort(d[:, :3].T)]
+    a, b = order(whole), order(cut)
+    assert len(a) > 50 and (a[:, :3] == b[:, :3]).all() and (a[:, 4:].view(np.int64) == b[:, 4:].view(np.int64)).mean() > 0.95
 
 
 def test_large_groups_of_edited_copies(spark):
