@@ -2,7 +2,7 @@
 
 Corners are found on a pyramid of scales: every place whose corner strength is the greatest within ``APART`` pixels, so their number
 grows with the picture's area and a crop has the corners that the whole picture has there. Around each, binary intensity tests are
-turned by the corner's own orientation (the direction of the patch's centre of mass) and give 128 bits, which survive crops, overlays,
+turned by the corner's own orientation (the direction of the patch's centre of mass) and give 256 bits, which survive crops, overlays,
 quarter turns and changes of brightness. Descriptors meet through Hamming tables: fixed samples of bits, joined on equal values. Two
 images are linked if enough of the corners they share agree on one similarity transform (scale, turn, shift).
 
@@ -28,9 +28,10 @@ from .common import broadcast_if_small, checkpoint
 from .simhash import components
 
 #: Pixels within which a corner is the strongest, levels of the pyramid, tests, tables and bits to a table.
-APART, LEVELS, TESTS, TABLES, BITS = 5, 2, 128, 6, 32
+APART, LEVELS, TESTS, TABLES, BITS = 5, 2, 256, 6, 32
+WORDS = TESTS // 64
 #: Largest distance of matching descriptors, corners that must agree, tolerance in pixels.
-RADIUS, AGREE, TOLERANCE = 16, 5, 3.0
+RADIUS, AGREE, TOLERANCE = 24, 5, 3.0
 #: Corners of a bucket to a task, pairs compared at once.
 SHARD, BLOCK = 1024, 1 << 18
 #: Pixels that a corner keeps from the edge; rows of a picture that are held at once, and rows more to either side.
@@ -41,8 +42,8 @@ _HEAD = re.compile(rb"P([56])" + rb"(?:\s|#[^\n]*\n)+(\d{1,9})" * 3 + rb"\s")
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, 7.0, (TESTS, 2, 2)), -11, 11)
 _TABLES = np.stack([_rng.choice(TESTS, BITS, replace=False) for _ in range(TABLES)])
-#: The bits of each table, as two words.
-_MASKS = np.array([[sum(1 << int(b % 64) for b in t if b // 64 == w) for w in range(2)] for t in _TABLES], np.uint64)
+#: The bits of each table, as words.
+_MASKS = np.array([[sum(1 << int(b % 64) for b in t if b // 64 == w) for w in range(WORDS)] for t in _TABLES], np.uint64)
 _DISC = np.array([(y, x) for y in range(-6, 7) for x in range(-6, 7) if x * x + y * y <= 36])
 
 
@@ -86,7 +87,7 @@ def _highest(a: np.ndarray, r: int) -> np.ndarray:
 
 
 def _strip(level: np.ndarray, top: int, height: int) -> tuple[np.ndarray, ...]:
-    """x, y, angle and the two words of the corners in the rows from top on of a level of so many rows; level begins MARGIN above top, if it can."""
+    """x, y, angle and the words of the corners in the rows from top on of a level of so many rows; level begins MARGIN above top, if it can."""
     above = min(top, MARGIN)
     smooth = _box(level, 1) / 9
     gy, gx = np.gradient(smooth)
@@ -99,7 +100,7 @@ def _strip(level: np.ndarray, top: int, height: int) -> tuple[np.ndarray, ...]:
     y, x = y[ok], x[ok]
     patch = smooth[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
     angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
-    bits = np.empty((len(y), 2), np.int64)
+    bits = np.empty((len(y), WORDS), np.int64)
     for i in range(0, len(y), 1024):
         part = slice(i, i + 1024)
         cos, sin = np.cos(angle[part])[:, None, None], np.sin(angle[part])[:, None, None]
@@ -112,7 +113,7 @@ def _strip(level: np.ndarray, top: int, height: int) -> tuple[np.ndarray, ...]:
 
 
 def describe(grey: np.ndarray) -> np.ndarray:
-    """Rows (x, y, scale, angle, two 64-bit words as int64) of an image's corners, in a float64 array with the words in its bits."""
+    """Rows (x, y, scale, angle, WORDS 64-bit words as int64) of an image's corners, in a float64 array with the words in its bits."""
     found, level, scale = [], grey.astype(np.float64), 1.0
     for _ in range(LEVELS):
         h, w = level.shape
@@ -123,10 +124,11 @@ def describe(grey: np.ndarray) -> np.ndarray:
             found.append(np.column_stack([x * scale, y * scale, np.full(len(x), scale), angle, bits.view(np.float64)]))
         h2, w2 = h // 2 * 2, w // 2 * 2
         level, scale = level[:h2, :w2].reshape(h2 // 2, 2, w2 // 2, 2).mean(axis=(1, 3)), scale * 2
-    return np.concatenate(found) if found else np.empty((0, 6))
+    return np.concatenate(found) if found else np.empty((0, 4 + WORDS))
 
 
-CORNER = "image bigint, x double, y double, scale double, angle double, bits0 bigint, bits1 bigint"
+BITS_OF = [f"bits{w}" for w in range(WORDS)]
+CORNER = ", ".join(["image bigint, x double, y double, scale double, angle double", *(f"{b} bigint" for b in BITS_OF)])
 
 
 FIELDS = [c.split()[0] for c in CORNER.split(", ")][1:]
@@ -153,8 +155,8 @@ def corners(images: DataFrame) -> DataFrame:
                 if grey is not None:
                     rows.append(describe(grey))
                 ends.append(ends[-1] + (len(rows[-1]) if grey is not None else 0))
-            r = np.concatenate(rows) if rows else np.empty((0, 6))
-            flat = [pa.array(np.ascontiguousarray(r[:, k]).view(np.int64) if k > 3 else np.ascontiguousarray(r[:, k])) for k in range(6)]
+            r = np.concatenate(rows) if rows else np.empty((0, 4 + WORDS))
+            flat = [pa.array(np.ascontiguousarray(r[:, k]).view(np.int64) if k > 3 else np.ascontiguousarray(r[:, k])) for k in range(4 + WORDS)]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=FIELDS))
             lists = pc.if_else(pa.array(known), pa.scalar(None, lists.type), lists)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), lists], names=["image", "digest", "corners"])
@@ -164,10 +166,9 @@ def corners(images: DataFrame) -> DataFrame:
 
 def _table_key(table: int):
     """The sampled bits of a table as one number."""
-    words = ["bits0", "bits1"]
     out = F.lit(0).cast("bigint")
     for place, bit in enumerate(_TABLES[table].tolist()):
-        out = out.bitwiseOR(F.shiftleft(F.shiftright(words[bit // 64], bit % 64).bitwiseAND(F.lit(1).cast("bigint")), place))
+        out = out.bitwiseOR(F.shiftleft(F.shiftright(BITS_OF[bit // 64], bit % 64).bitwiseAND(F.lit(1).cast("bigint")), place))
     return out
 
 
@@ -195,7 +196,7 @@ MATCH = "left bigint, right bigint, lx double, ly double, ls double, la double,
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(table, key, left, right, part, image, x, y, scale, angle, bits0, bits1) sorted by the first four -> MATCH rows.
+    """(table, key, left, right, part, image, x, y, scale, angle, bits0, ...) sorted by the first four -> MATCH rows.
 
     All pairs between the parts left and right (or within one) are compared. A pair is given by the first table that it shares.
     """
@@ -203,7 +204,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for g in _groups(batches, 4, 2):
         table, _, first, second = np.ascontiguousarray(g[0, :4]).view(np.int64).tolist()
         part, image = (np.ascontiguousarray(g[:, k]).view(np.int64) for k in (4, 5))
-        bits = np.ascontiguousarray(g[:, 10:12]).view(np.uint64)
+        bits = np.ascontiguousarray(g[:, 10 : 10 + WORDS]).view(np.uint64)
         lows, highs = np.flatnonzero(part == first), np.flatnonzero(part == second)
         step = max(1, BLOCK // max(len(highs), 1))
         for a in range(0, len(lows), step):

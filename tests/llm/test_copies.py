@@ -270,7 +270,7 @@ def test_large_group_of_near_copies_against_a_loop(spark):
 
 def corner_matches(a, b):
     """Rows for agreeing() of two images' corners that share a table and lie within the radius."""
-    bits = [np.ascontiguousarray(x[:, 4:6]).view(np.uint64) for x in (a, b)]
+    bits = [np.ascontiguousarray(x[:, 4:]).view(np.uint64) for x in (a, b)]
     out = []
     for k in range(0, len(a), 256):
         differ = bits[0][k : k + 256, None] ^ bits[1][None]
@@ -325,13 +325,13 @@ def test_shards_of_a_bucket_leave_no_pair_out():
     import pyarrow as pa
 
     rng = np.random.default_rng(15)
-    bits = rng.integers(0, 2**63, 2, dtype=np.int64) ^ (np.int64(1) << rng.integers(0, 63, (120, 2)))
+    bits = rng.integers(0, 2**63, media.WORDS, dtype=np.int64) ^ (np.int64(1) << rng.integers(0, 63, (120, media.WORDS)))
     rows, want = [], set()
     for left, right in ((0, 0), (0, 1), (1, 1)):
         rows += [(0, 7, left, right, i % 2, i // 2, float(i), 0.0, 1.0, 0.0, *bits[i].tolist()) for i in range(120) if i % 2 in (left, right)]
     for i in range(120):
         want |= {(i, j) for j in range(i + 1, 120) if i // 2 != j // 2}
-    names = ["table", "key", "left", "right", "part", "image", "x", "y", "scale", "angle", "bits0", "bits1"]
+    names = ["table", "key", "left", "right", "part", "image", "x", "y", "scale", "angle", *media.BITS_OF]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
     got = [(int(r["lx"]), int(r["rx"])) for b in media._match(iter([batch.slice(0, 50), batch.slice(50)])) for r in b.to_pylist()]
     assert len(got) == len(want) and set(got) == want
