@@ -10,7 +10,8 @@ their anchor and travel as one segment, one row for some 35 bytes, without the b
    a suffix array (Larsson-Sadakane refinement: ranks by 8 bytes, doubled for the groups that still tie) and Kasai's common prefixes
    give the strings that occur twice in a shard; the first strings of each shard are found in the sorted ones of the bucket's other
    shards by binary search.
-3. A bucket of more than ``LARGE`` different segments (a short line in very many contexts) is dealt once more, string by string.
+3. A bucket of more than ``LARGE`` different segments (a short line in very many contexts) is dealt once more, string by string, of
+   which a task sends equal ones only once for each stretch that it holds.
 
 Documents are ordered by id; rows that share id and text are one document, and the marks meet the texts in one shuffle of these.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,28 +219,42 @@ def _first_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield _batch(np.concatenate(out), MARK)
 
 
-#: A segment's bytes on their way to its bucket's shards.
+#: A segment's bytes on their way to its bucket's shards; without bytes, a string that is known to be a repeat.
 FETCHED = "bucket bigint, doc bigint, tag bigint, start bigint, bytes binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tag, text, wanted: array of (kind, place, anchor)) -> segments; string by string for kind 2."""
+    """(doc, tag, text, wanted: array of (kind, place, anchor)) -> segments; string by string for kind 2.
+
+    Of equal strings that are held together only the first goes to its bucket, so a passage in very many texts arrives as a few rows.
+    """
+    strings: dict[bytes, tuple[int, int, int]] = {}
+    out: list[tuple[int, int, int, int, bytes | None]] = []
+
+    def flush() -> pa.RecordBatch:
+        out.extend((xxhash.xxh3_64_intdigest(string) - (1 << 63), *at, string) for string, at in strings.items())
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        strings.clear()
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.binary()], strict=True)], names=["bucket", "doc", "tag", "start", "bytes"])
+
     for b in batches:
-        texts, out = _binary(b.column(2)), []
+        texts = _binary(b.column(2))
         for i, (doc, tag) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
             text = texts[i].as_py()
             for w in b.column(3)[i].as_py():
                 first, n = w["place"] >> 14, w["place"] >> 7 & 127
                 if w["kind"] == 1:
                     out.append((w["anchor"], doc, tag, first, text[first : first + n + WIDTH - 1]))
-                else:
-                    for s in range(first, first + n):
-                        string = text[s : s + WIDTH]
-                        out.append((xxhash.xxh3_64_intdigest(string) - (1 << 63), doc, tag, s, string))
-            if len(out) >= 20_000 or i + 1 == len(texts):
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.binary()], strict=True)], names=["bucket", "doc", "tag", "start", "bytes"])
-                out = []
+                    continue
+                for s in range(first, first + n):
+                    string, at = text[s : s + WIDTH], (doc, tag, s)
+                    if (before := strings.setdefault(string, at)) != at:
+                        strings[string] = min(before, at)
+                        out.append((xxhash.xxh3_64_intdigest(b"%d %d" % (doc, s)) - (1 << 63), *max(before, at), None))
+            if len(out) >= 20_000 or len(strings) >= HELD // 4:
+                yield flush()
+    yield flush()
 
 
 def suffix_array(b: np.ndarray) -> np.ndarray:
@@ -393,10 +409,18 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> Iterator[tuple[int, int, int, int, bytes]]:
         for b in batches:
+            known = pc.is_null(b.column(4))
+            if pc.any(known).as_py():  # repeats that need no shard
+                doc, tag, start = (np.asarray(c) for c in b.filter(known).columns[1:4])
+                found.append(_batch(np.stack(_merged(doc, tag, start, start + WIDTH), axis=1), "doc bigint, tag bigint, start bigint, end bigint"))
+                b = b.filter(pc.invert(known))
             yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
+    found: list[pa.RecordBatch] = []
     bucket: list[tuple[int, int, int, int, bytes]] = []
     for r in rows():
+        while found:
+            yield found.pop()
         if bucket and r[0] != bucket[0][0]:
             n = sum(len(x[4]) for x in bucket)
             if n > SHARD:
@@ -409,6 +433,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += n
             bucket = []
         bucket.append(r)
+    yield from found
     if sum(len(x[4]) for x in bucket) > SHARD:
         yield from ranges([_Shard(p) for p in cut(bucket)])
     elif len(bucket) > 1:
