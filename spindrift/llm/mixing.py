@@ -126,10 +126,10 @@ def mixed_rows(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float
     A column of docs that is named copy is replaced.
     """
     counted = mix_counts(docs, weights, cap, pattern, seed)
-    counted = counted.select(F.struct("doc_id", "source", "tag").alias("mix_key"), F.struct("m", (F.col("whole") + F.col("bit")).alias("all")).alias("mix"))
-    named = docs.drop("copy")
-    keyed = named.withColumn("mix_key", F.struct("doc_id", "source", F.xxhash64("text").alias("tag")))
+    counted = counted.select(F.struct("doc_id", "source", "tag").alias("key"), "m", (F.col("whole") + F.col("bit")).alias("all"))
+    kept = [c for c in docs.columns if c != "copy"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.struct("doc_id", "source", F.xxhash64("text").alias("tag")).alias("key"))
     # The join has dealt the rows by key already; numbering the rows of a key takes no further shuffle.
-    rows = keyed.join(counted, "mix_key").withColumn("mix_place", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")) - 1)
-    rows = rows.withColumn("mix_copies", F.expr("mix.all div mix.m + if(mix_place < mix.all % mix.m, 1, 0)")).where("mix_copies > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mix_copies") - 1))).drop("mix_key", "mix", "mix_place", "mix_copies")
+    rows = rows.join(counted, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1)
+    rows = rows.withColumn("copies", F.expr("all div m + if(place < all % m, 1, 0)")).where("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).select("row.*", "copy")

@@ -103,17 +103,18 @@ def masked(text: Column, spans: Column, mark: str = "<secret>") -> Column:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """docs with the base and owned spans of every text masked; rows without one stay as they are.
+    """docs with the base and owned spans of every text masked; rows without one stay as they are, whatever their columns' names.
 
+    Null texts stay null; rows that share repo, owner and text are masked alike; an empty table gives an empty result.
     Base spans are found again where the text is; only the few documents with owned ones meet those by a join, without their text
     moving unless there are very many.
     """
     c = lambda n: F.col(f"`{n}`")
     key = F.struct(c(repo).alias("repo"), c(owner).alias("owner"), F.xxhash64(c(text)).alias("tag"))
-    found = scan(docs.select(key.alias("secret_key"), c(owner).alias("owner"), c(repo).alias("repo"), c(text).alias("text")), "text", "owner", "repo")
-    owned = found.where(F.size("added") > 0).groupBy("row.secret_key").agg(F.first("added").alias("secret_added"))
-    owned = broadcast_if_small(checkpoint(owned))
-    spans = F.concat(candidates(c(text))[0], F.coalesce("secret_added", F.array().cast(f"array<{SPAN}>")))
-    rows = docs.withColumn("secret_key", key).join(owned, "secret_key", "left").withColumn("secret_spans", spans)
-    new = F.when(F.size("secret_spans") > 0, masked(c(text), F.col("secret_spans"))).otherwise(c(text))
-    return rows.withColumn(text, new).select(*[c(n) for n in docs.columns])
+    found = scan(docs.select(key.alias("key"), c(owner).alias("owner"), c(repo).alias("repo"), c(text).alias("text")), "text", "owner", "repo")
+    owned = found.where(F.size("added") > 0).groupBy("row.key").agg(F.first("added").alias("added"))
+    rows = docs.select(F.struct(*[c(n) for n in docs.columns]).alias("row"), key.alias("key")).join(broadcast_if_small(checkpoint(owned)), "key", "left")
+    whole = F.col(f"row.`{text}`")
+    rows = rows.withColumn("spans", F.concat(candidates(whole)[0], F.coalesce("added", F.array().cast(f"array<{SPAN}>"))))
+    new = F.when(F.size("spans") > 0, masked(whole, F.col("spans"))).otherwise(whole)
+    return rows.select(*[new.alias(n) if n == text else F.col(f"row.`{n}`") for n in docs.columns])

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, checkpoint
 
 SEED = 42
-#: Fingerprints to a tree; larger buckets are cut. Buckets up to SMALL are compared row by row, many buckets at once.
-SHARD, SMALL = 1024, 12
+#: Fingerprints to a tree; larger buckets are cut.
+SHARD = 1024
 #: Documents with one fingerprint from which they get its component by a broadcast of such fingerprints, not by a shuffle.
 HOT = 1000
 #: Bands of least hashes and hashes to a band, by which similar shingle sets meet; what rounding may take from a bound on counts.
@@ -141,9 +141,9 @@ def connect(rows: np.ndarray, part: np.ndarray, left: int, right: int, radius: i
             of = np.unique(of)
             label[np.isin(label, of)] = of[0]
 
-    # What the first row links needs no tree; in a bucket of one dense group that is all.
+    # The root's ball comes first: in a bucket of one dense group that is all.
     label[hamming(rows, rows[0]) <= radius] = 0
-    if not label.any() or len(rows) == 2:
+    if not label.any():
         return label
     trees, queries = np.flatnonzero(part == left), np.flatnonzero(part == right)
     for row, near in BKTree(rows[trees]).search(rows[queries], radius):
@@ -151,21 +151,6 @@ def connect(rows: np.ndarray, part: np.ndarray, left: int, right: int, radius: i
     return label
 
 
-def _near(rows: np.ndarray, size: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Edges (a0, ..., b0, ...) between the rows of the same small bucket, each against those that follow it."""
-    out = []
-    for lag in range(1, SMALL):
-        first = np.flatnonzero((size[:-lag] <= SMALL) & (rows[:-lag, :4] == rows[lag:, :4]).all(axis=1)) if lag < len(rows) else np.empty(0, np.int64)
-        if not len(first):
-            break
-        a, b = rows[first, 5:], rows[first + lag, 5:]
-        # Of a cut bucket's pair of parts, rows of the same part meet in that part's own task.
-        apart = (rows[first, 2] == rows[first, 3]) | (rows[first, 4] != rows[first + lag, 4])
-        ok = apart & (hamming(np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)) <= radius)
-        out.append(np.concatenate([a[ok], b[ok]], axis=1))
-    return out
-
-
 def _stars(n_words: int, radius: int):
     """Batches of (table, key, left, right, part, f0, ...), sorted by the first four, -> (a0, ..., b0, ...) star edges."""
     names = [f"{s}{i}" for s in "ab" for i in range(n_words)]
@@ -182,9 +167,7 @@ def _stars(n_words: int, radius: int):
             whole = ends if b is None else ends[:-1]  # the last group may go on in the next batch
             starts = np.concatenate(([0], whole[:-1])) if len(whole) else whole
             size, out = whole - starts, []
-            if len(whole) and size.min() <= SMALL:
-                out += _near(held[: whole[-1]], np.repeat(size, size), radius)
-            for s, e in zip(starts[(many := size > SMALL)].tolist(), whole[many].tolist(), strict=True):
+            for s, e in zip(starts[(many := size > 1)].tolist(), whole[many].tolist(), strict=True):
                 group = held[s:e][np.lexsort(held[s:e, 5:].T)]  # by value: the stars of different tables share their centres
                 first = connect(np.ascontiguousarray(group[:, 5:]).view(np.uint64), group[:, 4], int(group[0, 2]), int(group[0, 3]), radius)
                 if len(linked := np.flatnonzero(first != np.arange(e - s))):
@@ -408,6 +391,7 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that stay: of each component of similar_sets() the document of the smallest id; of equal rows, one."""
-    stay = similar_sets(docs, text, doc_id, **how).select(F.col("first").alias("near_key")).distinct()
-    keyed = docs.withColumn("near_key", F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag")))
-    return keyed.join(stay, "near_key", "left_semi").dropDuplicates(["near_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = similar_sets(docs, text, doc_id, **how).select(F.col("first").alias("key")).distinct()
+    key = F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    return rows.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
