@@ -34,6 +34,8 @@ SHARD = 1024
 HOT = 1000
 #: Bands of least hashes and hashes to a band, by which similar shingle sets meet; what rounding may take from a bound on counts.
 BANDS, ROWS, SLACK = 32, 5, 1e-6
+#: Bands whose buckets are searched before those of all; shingles to a part of a bucket.
+FIRST, PART = 4, 4_000_000
 
 _rng = np.random.default_rng(SEED)
 _XOR, _ODD = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64), _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -304,38 +306,91 @@ def _sets(named: DataFrame, shingle: int) -> DataFrame:
     return named.select("s", "text").mapInArrow(run, "s bigint, set array<bigint>")
 
 
-def _unlinked(similarity: float):
-    """Batches of (key, s, size, label), sorted by key, -> all pairs (a, b) of a key with different labels and fitting sizes."""
+class _Bucket:
+    """Sets that share a key: s, size, label and part of each, all its keys, and the set itself."""
+
+    def __init__(self, columns: list[pa.Array]):
+        self.s, self.size, self.label, self.part = (np.asarray(c) for c in columns[:4])
+        self.keys = np.asarray(columns[4].flatten()).reshape(len(self.s), -1)
+        self.sets, ends = np.asarray(columns[5].flatten()).view(np.uint64), np.asarray(columns[5].value_lengths()).cumsum()
+        self.start, self.end = np.append(0, ends[:-1]), ends
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles the set i has in common with each of the others."""
+        own, size = self.sets[self.start[i] : self.end[i]], self.size[others]
+        flat = self.sets[np.repeat(self.start[others] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        return np.bincount(np.repeat(np.arange(len(others)), size), own[at] == flat, len(others))
+
+    def links(self, key: int, between: bool, similarity: float) -> Iterator[tuple[int, int]]:
+        """Links that connect the labels of the bucket, each pair being tested under its first common key only.
+
+        From each set the search goes on to the sets of labels that are not reached yet; between: only pairs of different parts count.
+        """
+        left = np.arange(len(self.s))  # rows whose label is not reached
+        while len(left):
+            todo = left[self.label[left] == self.label[left[0]]].tolist()
+            left = left[self.label[left] != self.label[left[0]]]
+            while todo and len(left):
+                i = todo.pop()
+                fit = np.minimum(self.size[left], self.size[i]) >= similarity * np.maximum(self.size[left], self.size[i]) - SLACK
+                fit &= (self.part[left] != self.part[i]) | (not between)
+                near = left[fit]
+                near = near[self.keys[i][(self.keys[near] == self.keys[i]).argmax(axis=1)] == key]
+                for a in range(0, len(near), 512):
+                    some = near[a : a + 512]
+                    need = (self.size[some] + self.size[i]) * (similarity / (1 + similarity)) - SLACK
+                    for j in some[self.shared(i, some) >= need].tolist():
+                        yield int(self.s[i]), int(self.s[j])
+                        if (new := self.label[left] == self.label[j]).any():
+                            todo += left[new].tolist()
+                            left = left[~new]
+
+
+def _linked(similarity: float):
+    """Batches of (key, left, right, s, size, label, part, keys, set), sorted by the first three, -> links (a, b) of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray | None = None
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                got = np.stack([np.asarray(c) for c in b.columns], axis=1)
-                held = got if held is None else np.concatenate([held, got])
-            if held is None or not len(held):
-                continue
-            ends = np.append(np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1, len(held))
-            whole = ends if b is None else ends[:-1]  # the last group may go on in the next batch
-            out, n = [], 0
-            for s, e in itertools.pairwise([0, *whole.tolist()]):
-                for i in range(s, e - 1):
-                    rest = held[i + 1 : e]
-                    ok = (rest[:, 3] != held[i, 3]) & (np.minimum(rest[:, 2], held[i, 2]) >= similarity * np.maximum(rest[:, 2], held[i, 2]) - SLACK)
-                    if ok.any():
-                        other = rest[ok, 1]
-                        out.append(np.stack([np.minimum(other, held[i, 1]), np.maximum(other, held[i, 1])], axis=1))
-                        n += len(other)
-                    if n > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=["a", "b"])
-                        out, n = [], 0
-            held = held[whole[-1] :] if len(whole) else held
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=["a", "b"])
+        held: list[pa.RecordBatch] = []  # rows of the bucket that may go on in the next batch
+        at = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if sum(map(len, held)) > 1:
+                table = pa.Table.from_batches(held).combine_chunks()
+                found = list(_Bucket([c.chunk(0) for c in table.columns[3:]]).links(at[0], at[1] != at[2], similarity))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            held.clear()
+
+        for b in batches:
+            by = np.stack([np.asarray(c) for c in b.columns[:3]], axis=1)
+            cuts = [0, *(np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1).tolist(), len(b)]
+            for s, e in itertools.pairwise(cuts):
+                if s < e:
+                    if at != (now := tuple(by[s].tolist())):
+                        yield from close()
+                        at = now
+                    held.append(b.slice(s, e - s))
+        yield from close()
 
     return run
 
 
+def _bucket_links(rows: DataFrame, sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar sets of rows (key, s, size, label) that share a key, counted exactly.
+
+    A bucket of more than PART shingles is cut into parts, and every pair of parts is a task of its own.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum("size") / PART).alias("parts")).where("parts > 1")
+    rows = rows.select("key", "s", "size", "label").join(broadcast_if_small(checkpoint(sizes)), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
+    pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("left"), F.greatest(o, F.col("part")).alias("right")))
+    rows = rows.withColumn("pair", F.explode(pair)).join(sets, "s").join(nodes.select("s", "keys"), "s").select("key", "pair.left", "pair.right", "s", "size", "label", "part", "keys", "set")
+    by = ["key", "left", "right"]
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+    return checkpoint(dealt.mapInArrow(_linked(similarity), "a bigint, b bigint").distinct())
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have this Jaccard similarity or more, counted exactly."""
     left, right = (sets.select(F.col("s").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
@@ -346,9 +401,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def _label(rows: DataFrame, linked: DataFrame) -> DataFrame:
     """Rows (key, s, size) of the keys that several components share, with their component as label."""
     labels = components(linked)
-    rows = rows.select("key", "s", "size").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("key", "s", "size", F.coalesce("label", "s").alias("label"))
+    rows = rows.select("key", "band", "s", "size").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").withColumn("label", F.coalesce("label", "s"))
     here = Window.partitionBy("key")
-    return checkpoint(rows.withColumn("low", F.min("label").over(here)).withColumn("high", F.max("label").over(here)).where("low < high").select("key", "s", "size", "label"))
+    return checkpoint(rows.withColumn("low", F.min("label").over(here)).withColumn("high", F.max("label").over(here)).where("low < high").drop("low", "high"))
 
 
 def _centre_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -363,15 +418,16 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
     Links are pairs of shingle sets whose Jaccard similarity, counted exactly, is ``similarity`` or more. They are looked for among
     the sets that share a band of ROWS least hashes; a pair at 0.8 shares none of BANDS with a probability of (1 - 0.8 ** ROWS) **
-    BANDS, three in a million. Two rounds test each set against one centre of its keys, so that a large group is joined at the cost
-    of its size; the last one tests all pairs of a key that are still in different components. Null and empty texts have the empty set.
+    BANDS, three in a million. First each set is tested against one centre of its keys, so that a large group is joined at the cost of
+    its size; then the sets of a key that are still in different components meet in buckets, those of the FIRST bands before the
+    others, so that what these connect is not tested again. Null and empty texts have the empty set.
     """
     named = docs.select(F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag")).alias("key"), F.col(f"`{text}`").alias("text"))
     prints = checkpoint(_signatures(named, shingle))
     order = F.struct(F.col("key.doc_id").isNull().alias("none"), F.col("key.doc_id").alias("doc_id"), F.col("key.tag").alias("tag"))
     nodes = checkpoint(prints.groupBy("s").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    rows = nodes.select(F.explode("keys").alias("key"), "s", "size").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    rows = checkpoint(rows.where("n > 1").select("key", "s", "size", F.col("s").alias("label")))
+    rows = nodes.select(F.posexplode("keys").alias("band", "key"), "s", "size").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    rows = checkpoint(rows.where("n > 1").select("key", "band", "s", "size", F.col("s").alias("label")))
     # Only sets that share a key are needed whole, each from its first document.
     wanted = nodes.join(rows.select("s").distinct(), "s", "left_semi").select("s", F.col("least.doc_id").alias("first_id"), F.col("least.tag").alias("first_tag"))
     wanted = broadcast_if_small(checkpoint(wanted))
@@ -379,11 +435,10 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     sets = checkpoint(_sets(texts, shingle).dropDuplicates(["s"]))
     linked = _similar(_centre_pairs(rows, similarity), sets, similarity)
     left = _label(rows, linked)
-    linked = linked.unionByName(_similar(_centre_pairs(left, similarity), sets, similarity))
-    left = _label(left, linked)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = left.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_unlinked(similarity), "a bigint, b bigint").distinct()
-    labels = components(linked.unionByName(_similar(pairs, sets, similarity)))
+    for bands in (FIRST, BANDS):
+        linked = linked.unionByName(_bucket_links(left.where(F.col("band") < bands), sets, nodes, similarity))
+        left = _label(left, linked) if bands < BANDS else left
+    labels = components(linked)
     of = nodes.select("s", "least").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("s", "least", F.coalesce("label", "s").alias("label"))
     firsts = of.groupBy("label").agg(F.min("least").alias("first"))
     return of.join(firsts, "label").select("s", F.col("least.doc_id").alias("doc_id"), F.col("least.tag").alias("tag"), F.struct("first.doc_id", "first.tag").alias("first"))
