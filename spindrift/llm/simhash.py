@@ -381,28 +381,39 @@ def _bucket_links(rows: DataFrame, sets: DataFrame, nodes: DataFrame, similarity
 
     A bucket of more than PART shingles is cut into parts, and every pair of parts is a task of its own.
     """
+    # Of keys that the same sets share one is enough: the one of the first band, where each pair's first common key is not missed.
+    members = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("y"), F.min("band").alias("band"))
+    kept = members.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("k")).select("k.key")
+    rows = checkpoint(rows.join(broadcast_if_small(checkpoint(kept)), "key", "left_semi"))
     sizes = rows.groupBy("key").agg(F.ceil(F.sum("size") / PART).alias("parts")).where("parts > 1")
     rows = rows.select("key", "s", "size", "label").join(broadcast_if_small(checkpoint(sizes)), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("left"), F.greatest(o, F.col("part")).alias("right")))
-    rows = rows.withColumn("pair", F.explode(pair)).join(sets, "s").join(nodes.select("s", "keys"), "s").select("key", "pair.left", "pair.right", "s", "size", "label", "part", "keys", "set")
+    rows = rows.withColumn("pair", F.explode(pair)).join(_sets_of(sets, rows), "s").join(nodes.select("s", "keys"), "s").select("key", "pair.left", "pair.right", "s", "size", "label", "part", "keys", "set")
     by = ["key", "left", "right"]
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
     return checkpoint(dealt.mapInArrow(_linked(similarity), "a bigint, b bigint").distinct())
 
 
+def _sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets that wanted (s) names, so that no others are dealt."""
+    return sets.join(broadcast_if_small(checkpoint(wanted.select("s").distinct())), "s", "left_semi")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have this Jaccard similarity or more, counted exactly."""
-    left, right = (sets.select(F.col("s").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    left, right = (_sets_of(sets, pairs.select(F.col(c).alias("s"))).select(F.col("s").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     need = (F.size("set_a") + F.size("set_b")) * (similarity / (1 + similarity)) - SLACK
     return checkpoint(pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("set_a", "set_b")) >= need).select("a", "b"))
 
 
-def _label(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """Rows (key, s, size) of the keys that several components share, with their component as label."""
+def _label(rows: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """Rows (key, band, s, size) with their component as label: those that meet another component's of fitting size under their key."""
     labels = components(linked)
     rows = rows.select("key", "band", "s", "size").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").withColumn("label", F.coalesce("label", "s"))
-    here = Window.partitionBy("key")
+    scale = 1e9  # of the sizes' logarithms, as a range takes whole numbers
+    reach = int(-np.log(similarity) * scale) + 4
+    here = Window.partitionBy("key").orderBy(F.floor(F.log("size") * scale).cast("bigint")).rangeBetween(-reach, reach)
     return checkpoint(rows.withColumn("low", F.min("label").over(here)).withColumn("high", F.max("label").over(here)).where("low < high").drop("low", "high"))
 
 
@@ -434,10 +445,10 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     texts = named.join(wanted, F.col("key.doc_id").eqNullSafe(F.col("first_id")) & (F.col("key.tag") == F.col("first_tag"))).select("s", "text")
     sets = checkpoint(_sets(texts, shingle).dropDuplicates(["s"]))
     linked = _similar(_centre_pairs(rows, similarity), sets, similarity)
-    left = _label(rows, linked)
+    left = _label(rows, linked, similarity)
     for bands in (FIRST, BANDS):
         linked = linked.unionByName(_bucket_links(left.where(F.col("band") < bands), sets, nodes, similarity))
-        left = _label(left, linked) if bands < BANDS else left
+        left = _label(left, linked, similarity) if bands < BANDS else left
     labels = components(linked)
     of = nodes.select("s", "least").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("s", "least", F.coalesce("label", "s").alias("label"))
     firsts = of.groupBy("label").agg(F.min("least").alias("first"))
