@@ -1,9 +1,11 @@
 """Toxicity by a counterfactual-regularised classifier (operator 7).
 
-A logistic model over the distinct words of a text and the beginnings of its words, with how many words share one. Labelled texts that mention a group are copied
-with the group's term swapped for another of its kind, and the squared difference of the two scores is added to the loss, so that
-what the model learns can't rest on which group is named: a neutral mention stays neutral. An l1 penalty keeps only the weights that
-the labels need, so long texts don't gather noise and the model is small enough to travel with every task.
+A logistic model over the distinct words of a text and the beginnings of its words, with how many words share one. Each labelled text
+that mentions a group is paired with itself, the group's term swapped for another of its kind; each that mentions none is paired as
+two neutral mentions, one term put into the one and another of its kind into the other, and every second such text is learnt from with
+its mention. The squared difference of a pair's scores is added to the loss, so that what the model learns can't rest on which group
+is named: a neutral mention stays neutral. An l1 penalty keeps only the weights that the labels need, so long texts don't gather
+noise and the model is small enough to travel with every task.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def swaps(groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> dict[bytes, bytes
 def fit(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[tuple[Sequence[int], Sequence[int]]] = (), l1: float = L1, swap_weight: float = SWAP_WEIGHT, rounds: int = ROUNDS, min_rows: int = MIN_ROWS) -> tuple[float, dict[int, float]]:
     """(bias, weights): minimises the mean logistic loss + swap_weight * mean (score(a) - score(b))**2 over pairs + l1 * |weights|.
 
-    rows and pairs hold the distinct features of texts. Without both labels the weights are empty and the bias is the label's.
+    rows and pairs hold the distinct features of texts; what the two of a pair share may be left out. Without both labels the weights are empty and the bias is the label's.
     """
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -117,32 +119,49 @@ def fit(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[tu
     return float(bias), dict(zip(known[kept].tolist(), w[kept].tolist(), strict=True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> tuple[float, dict[int, float]]:
-    """The model of the texts of docs (doc_id, text) that labels (doc_id, toxic) marks; both hold the rows to learn from only.
+def counterfactuals(words: set[bytes], swap: Mapping[bytes, bytes], draw: int) -> tuple[set[bytes], set[bytes], set[bytes]]:
+    """(words to learn from, the two of the pair) of a text: swapped terms, or mentions put in where it has none, by a drawn number."""
+    if not swap:
+        return words, words, words
+    if not swap.keys().isdisjoint(words):
+        return words, words, {swap.get(w, w) for w in words}
+    term = sorted(swap)[draw // 2 % len(swap)]
+    mention = words | {term}
+    return mention if draw % 2 else words, mention, words | {swap[term]}
 
-    About sample rows, drawn by a hash of the text, reach the driver, as hashed features. Null labels, ids and texts are left
-    out; of several labels of a row each counts.
-    """
+
+def examples(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(rows, labels, pairs) for fit(): the features of about sample labelled texts, and of each text's pair those that differ."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null")
     n = marked.count()
     rows = docs.select(F.col("doc_id").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null").join(marked, "id")
-    rows = rows.where((F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < F.lit(sample / max(n, 1)))
+    rows = rows.where((F.xxhash64("text", "id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < F.lit(sample / max(n, 1)))
     swap = swaps(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, other = [], []
+            found: tuple[list, list, list] = ([], [], [])
             for t in b.column(0):
-                words = text_words(t.as_py())
-                found.append(text_features(words))
-                other.append(text_features({swap.get(w, w) for w in words}) if not swap.keys().isdisjoint(words) else [])
-            as_lists = lambda x: pa.array([np.array(r, np.uint64).view(np.int64) for r in x], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(1), as_lists(found), as_lists(other)], names=["toxic", "own", "other"])
-
-    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, own array<bigint>, other array<bigint>").toArrow()
+                raw = t.as_py()
+                own, left, right = counterfactuals(text_words(raw), swap, xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")))
+                one, other = set(text_features(left)), set(text_features(right))
+                for out, x in zip(found, (text_features(own), sorted(one - other), sorted(other - one)), strict=True):
+                    out.append(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(x, pa.list_(pa.int64())) for x in found]], names=["toxic", "own", "one", "other"])
+
+    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, own array<bigint>, one array<bigint>, other array<bigint>").toArrow()
     unsigned = lambda name: [np.asarray(x.values).view(np.uint64) for x in got[name]]
-    own, other = unsigned("own"), unsigned("other")
-    return fit(own, (np.asarray(got["toxic"]) == 1).astype(int), [(a, b) for a, b in zip(own, other, strict=True) if len(b)])
+    pairs = [(a, b) for a, b in zip(unsigned("one"), unsigned("other"), strict=True) if len(a) or len(b)]
+    return unsigned("own"), (np.asarray(got["toxic"]) == 1).astype(int), pairs
+
+
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, swap_weight: float = SWAP_WEIGHT) -> tuple[float, dict[int, float]]:
+    """The model of the texts of docs (doc_id, text) that labels (doc_id, toxic) marks; both hold the rows to learn from only.
+
+    About sample rows, drawn by a hash of the text and the id, reach the driver, as hashed features. Null labels, ids and texts are left
+    out; of several labels of a row each counts.
+    """
+    return fit(*examples(docs, labels, text, sample, groups), swap_weight=swap_weight)
 
 
 class Scorer:

@@ -88,6 +88,50 @@ def test_toxicity_edges(spark):
     assert toxicity.fit([[1], [2]], [1, 1]) == (4.0, {})
 
 
+def test_fit_against_a_loop():
+    """The same steps, weight by weight."""
+    rng = random.Random(6)
+    rows = [sorted({rng.randrange(12) for _ in range(5)}) for _ in range(40)]
+    labels = [int(0 in r or rng.random() < 0.2) for r in rows]
+    pairs = [([1, 2], [3]), ([0], [4, 5]), ([77], [1])]
+    bias, got = toxicity.fit(rows, labels, pairs, l1=1e-3, swap_weight=2.0, rounds=15, min_rows=2)
+    share = sum(labels) / len(labels)
+    w, grown = dict.fromkeys(range(12), 0.0), dict.fromkeys(range(12), 1e-10)
+    b, b_grown = math.log(share / (1 - share)), 1e-10
+    for _ in range(15):
+        err = [(0.5 / share if y else 0.5 / (1 - share)) * (1 / (1 + math.exp(-(b + sum(w[f] for f in r)))) - y) / len(rows) for r, y in zip(rows, labels, strict=True)]
+        d = [sum(w.get(f, 0) for f in x) - sum(w.get(f, 0) for f in y) for x, y in pairs]
+        new = {}
+        for f in w:
+            g = sum(e for r, e in zip(rows, err, strict=True) if f in r) + sum(2.0 * 2 / len(pairs) * k * ((f in x) - (f in y)) for k, (x, y) in zip(d, pairs, strict=True))
+            grown[f] += g * g
+            step = 0.3 / math.sqrt(grown[f])
+            v = w[f] - step * g
+            new[f] = math.copysign(max(abs(v) - step * 1e-3, 0), v)
+        w = new
+        b_grown += sum(err) ** 2
+        b -= 0.3 / math.sqrt(b_grown) * sum(err)
+    assert bias == pytest.approx(b) and got == pytest.approx({f: x for f, x in w.items() if x})
+    s = toxicity.Scorer((0.25, {toxicity.level(toxicity.features(b"aaaaabc")[1], 2): 1.5, toxicity.features(b"zz")[0]: -1.0}))
+    assert s.score("aaaaabc AAAAAbd! zz") == pytest.approx(1 / (1 + math.exp(-0.75))) and s.score("aaaaabc aaaaabc") == pytest.approx(1 / (1 + math.exp(-0.25)))
+
+
+def test_neutral_mentions_stay_neutral(spark):
+    """The penalty is active on the tables, whose texts name no group, and lowers what a mention changes."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    rows, marks, pairs = toxicity.examples(docs, labels)
+    assert len(pairs) == len(rows) == len(marks) > 300
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").select("text").collect()][:100]
+    terms = [t for g in toxicity.IDENTITY_TERMS for t in g]
+    changed, wrong = {}, {}
+    for weight in (0.0, 20.0):
+        s = toxicity.Scorer(toxicity.fit(rows, marks, pairs, l1=1e-5, swap_weight=weight))
+        scores = np.array([[s.score(f"{t} {x}") for x in terms] for t in clean])
+        changed[weight], wrong[weight] = float((scores.max(axis=1) - scores.min(axis=1)).mean()), int((scores >= 0.7).sum())
+    assert changed[20.0] < changed[0.0] and wrong[20.0] <= wrong[0.0]
+
+
 def test_held_out_toxicity(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
