@@ -94,14 +94,22 @@ def newest_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- predicates and text ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, ends_with(url, '.html') AS is_html FROM pages")
+@query("SELECT (page_id // 10)::INT AS commit_no, list(url || '=' || page_id ORDER BY url, page_id::VARCHAR) AS files FROM pages WHERE ends_with(url, '/') OR ends_with(url, '7') GROUP BY ALL")
 def extension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.endswith("url", F.lit(".html")).alias("is_html"))
+    """Pages as files, ten to a commit, all of them touched; those of two endings are wanted."""
+    p = table(spark, sf_dir, "pages").select(F.lit("web").alias("repo"), F.floor(F.col("page_id") / 10).cast("int").alias("commit_no"), F.col("url").alias("file_path"), F.col("page_id").cast("string").alias("content"))
+    touched = p.groupBy("repo", "commit_no").agg(F.collect_list("file_path").alias("paths"))
+    found = snapshot.modified_files(p, touched, ("/", "7"))
+    return found.select("commit_no", F.transform("files_modified", lambda f: F.concat_ws("=", f["file_path"], f["content"])).alias("files"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'License') THEN source END AS commit_source FROM documents")
+@query("SELECT doc_id, CASE WHEN contains(text, 'License') THEN coalesce(source, '') END AS author_name, CASE WHEN contains(text, 'License') THEN 'h' || doc_id END AS commit_hash FROM documents")
 def touching_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.contains("text", F.lit("License")), F.col("source")).alias("commit_source"))
+    """Documents as commits, their texts as diffs."""
+    d = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), F.col("doc_id").alias("commit_no"), F.col("text").alias("diff"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("commit_hash"), F.coalesce("source", F.lit("")).alias("source"))
+    commits = d.withColumn("metadata", text.metadata_fields(F.concat_ws("\n", "source", F.lit("mail"), F.lit("date"), F.lit("message"))))
+    found = snapshot.with_metadata(d.select("repo", "commit_no"), commits, "License")
+    return found.select(F.col("commit_no").alias("doc_id"), F.col("commit_metadata.author_name").alias("author_name"), F.col("commit_metadata.commit_hash").alias("commit_hash"))
 
 
 _STRIP = r"regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
@@ -168,13 +176,11 @@ def label_priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("l_orderkey", text.merge_labels(F.col("hops"), F.col("l_orderkey").cast("string"), 4).alias("labels"))
 
 
-@query("""WITH i AS (SELECT doc_id, text, ['use a::' || substr(text, 1, 3) || ';', 'use b::{the, zzqq};', 'use c::zzqqx;', 'use d::of;'] AS imports FROM documents WHERE length(text) >= 3 AND substr(text, 1, 3) NOT LIKE '%:%' AND substr(text, 1, 3) NOT LIKE '%,%' AND substr(text, 1, 3) NOT LIKE '%;%'
-AND regexp_matches(substr(text, 1, 3), '^[A-Za-z]{3}$'))
-SELECT doc_id, list_sort(list_filter(imports, lambda x: (x LIKE '%a::%' AND contains(text, substr(text, 1, 3))) OR (x LIKE '%the%zzqq%' AND (contains(text, 'the') OR contains(text, 'zzqq'))) OR (x LIKE 'use c%' AND contains(text, 'zzqqx')) OR (x = 'use d::of;' AND contains(text, 'of')))) AS used FROM i""")
+@query("""WITH i AS (SELECT doc_id, text, ['use a::the;', 'use b::{tion, zzqq};', 'use c::zzqqx;', 'use d::of;'] AS imports FROM documents)
+SELECT doc_id, list_sort(list_filter(imports, lambda x: (x LIKE 'use a%' AND contains(text, 'the')) OR (x LIKE 'use b%' AND (contains(text, 'tion') OR contains(text, 'zzqq'))) OR (x LIKE 'use c%' AND contains(text, 'zzqqx')) OR (x LIKE 'use d%' AND contains(text, 'of')))) AS used FROM i""")
 def import_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[A-Za-z]{3}"))
-    listed = F.array(F.concat(F.lit("use a::"), F.left("text", F.lit(3)), F.lit(";")), F.lit("use b::{the, zzqq};"), F.lit("use c::zzqqx;"), F.lit("use d::of;"))
-    return d.select("doc_id", text.used_imports(F.col("text"), listed).alias("used"))
+    listed = F.array(F.lit("use a::the;"), F.lit("use b::{tion, zzqq};"), F.lit("use c::zzqqx;"), F.lit("use d::of;"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.used_imports(F.col("text"), listed).alias("used"))
 
 
 # --- joins and aggregates --------------------------------------------------------------------------------------------------------
