@@ -82,6 +82,16 @@ def uniform(*cols: Column) -> Column:
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
 
 
+def meet(rows: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
+    """The join on the struct column key, by which the result stays partitioned and sorted: what groups by key next takes no shuffle.
+
+    Both keys get one type, as fields that are nullable on one side only would make the join deal by a cast of the key; and the hint
+    keeps a small other side from being broadcast after the rows were dealt. Null fields meet each other.
+    """
+    kind = others.schema["key"].dataType.simpleString()
+    return rows.withColumn("key", F.col("key").cast(kind)).join(others.withColumn("key", F.col("key").cast(kind)).hint("merge"), "key", how)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, so that further columns of the input can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, broadcast_if_small, checkpoint, uniform, union_all
+from .common import SPACE_WORD, broadcast_if_small, checkpoint, meet, uniform, union_all
 
 #: Documents to a chunk of the reduction tree.
 WIDTH = 64
@@ -130,6 +130,6 @@ def mixed_rows(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float
     kept = [c for c in docs.columns if c != "copy"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.struct("doc_id", "source", F.xxhash64("text").alias("tag")).alias("key"))
     # The join has dealt the rows by key already; numbering the rows of a key takes no further shuffle.
-    rows = rows.join(counted, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1)
+    rows = meet(rows, counted).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1)
     rows = rows.withColumn("copies", F.expr("all div m + if(place < all % m, 1, 0)")).where("copies > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).select("row.*", "copy")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint
+from .common import broadcast_if_small, checkpoint, meet
 
 SEED = 42
 #: Fingerprints to a tree; larger buckets are cut.
@@ -460,4 +460,4 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how)
     stay = similar_sets(docs, text, doc_id, **how).select(F.col("first").alias("key")).distinct()
     key = F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
-    return rows.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    return meet(rows, stay, "left_semi").dropDuplicates(["key"]).select("row.*")
