@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text, textdiff, untyped
 from ..operators import chunking, codetasks, completion, dataset, edits, fim, memory, quality, related, snapshot
+from ..streaming import store as stream_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -539,6 +541,31 @@ def retrieval_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("layers", "wanted", memory.retrieval_layers(F.col("layers"), F.col("wanted")).alias("retrieving"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT vec_id, vec_id // 100 AS call, (row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1) // 4 AS chunk, embedding::DOUBLE[] AS x FROM embeddings),
+c AS (SELECT call, count(*) // 4 AS inc, row_number() OVER (ORDER BY call) AS i FROM t GROUP BY call),
+r(i, call, first, nxt, now_first, now_nxt) AS (SELECT 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT UNION ALL
+  SELECT c.i, c.call, now_first, now_nxt, now_first + CASE WHEN inc > 0 AND now_nxt - now_first + inc >= 60 THEN least(2 * inc, 30, now_nxt - now_first) ELSE 0 END, now_nxt + inc FROM r JOIN c ON c.i = r.i + 1),
+h AS (SELECT unnest([0, 1, 2, 3]) AS head),
+k AS (SELECT head, r.nxt + chunk AS no, list(x[16 * head + 1:16 * head + 16] ORDER BY vec_id) AS v FROM t JOIN r USING (call) JOIN c USING (call), h WHERE chunk < inc GROUP BY head, r.nxt + chunk),
+m AS (SELECT head, no, [(v[1][d] + v[2][d] + v[3][d] + v[4][d]) / 4 FOR d IN range(1, 17)] AS rep FROM k),
+s AS (SELECT vec_id AS query_id, head, no - r.first AS slot, list_inner_product(x[16 * head + 1:16 * head + 16], rep) AS score FROM t JOIN r USING (call) JOIN m ON no >= r.first AND no < r.nxt WHERE vec_id % 20 = 0)
+SELECT query_id, head::INT AS head, (row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, slot))::INT AS rank, slot, round(score, 4) + 0.0 AS score FROM s QUALIFY rank <= 2""")
+def store_as_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors stream through a store of 60 chunks with four heads, a hundred ids a call; every twentieth asks what is stored by then."""
+    stream_store.use_rocksdb(spark)
+    at = storage.new_path(spark, "store")
+    v = spark.readStream.schema(_vectors(spark, sf_dir).schema).parquet(f"{sf_dir}/embeddings.parque[t]")  # a pattern, as the table may be one file
+    heads = memory.split_heads(v.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x", 4)
+    call = F.floor(F.col("vec_id") / 100).alias("call")
+    kinds = F.array(F.lit(False), F.lit(True))
+    rows = heads.select("*", F.explode(F.when(F.col("vec_id") % 20 == 0, kinds).otherwise(F.slice(kinds, 1, 1))).alias("asks"))
+    is_q = F.col("asks")
+    events = rows.select("head", call, F.col("vec_id").alias("pos"), F.when(~is_q, F.col("x")).alias("key"), F.when(~is_q, F.col("x")).alias("val"), F.when(is_q, F.col("vec_id")).alias("query_id"), F.when(is_q, F.col("x")).alias("q"))
+    found = stream_store.bounded_store(events, memory.StoreConfig(memory_size=240))
+    found.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(stream_store.RETRIEVED).parquet(f"{at}/out").select("query_id", "head", "rank", "slot", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+
+
 @query("SELECT (max(vec_id) + 1)::BIGINT AS size, count(*) > 0 AS is_ready, (max(vec_id) + 1) / 262144 AS usage FROM embeddings")
 def memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.stats(_store(spark, sf_dir))
