@@ -2,8 +2,8 @@
 
 A shard of distinct vectors has TREES sorted arrays of hash strings, each BITS signs of random projections. A query descends every array
 to its longest-prefix match and then ascends all of them together, a bit at a time: at prefix length x its candidates are all rows
-that share x first bits with it in some tree. It stops where a row as near as the worst of those it would return is missed with a
-probability of MISS at most, by the law of the signs; at length 0 every row is a candidate. So the number of candidates follows the
+that share x first bits with it in some tree. It stops, also between the trees of one length, where a row as near as the worst of those
+it would return is missed with a probability of MISS at most, by the law of the signs; at length 0 every row is a candidate. So the number of candidates follows the
 data: few where vectors lie in groups, a large part where they point anywhere.
 """
 
@@ -21,8 +21,8 @@ from . import common, vectors
 TREES, BITS, SEED = 64, 32, 20
 #: Accepted probability of missing a row as near as the last one returned.
 MISS = 0.05
-#: Queries that ascend together, and pairs that are scored at once.
-TOGETHER, PAIRS = 1024, 1 << 15
+#: Trees that ascend by a bit before the stop is looked at, queries that ascend together, and pairs that are scored at once.
+STEP, TOGETHER, PAIRS = 16, 1024, 1 << 15
 
 
 class Forest:
@@ -70,34 +70,38 @@ class Forest:
         n, norms = len(self.x), np.linalg.norm(q, axis=1)
         strings = self.strings(q / norms[:, None], np.zeros(len(q)))
         at, before = self.longest(strings), [None] * self.trees
-        seen, worst = np.zeros(len(q) * n, np.uint8), np.full(len(q), -np.inf)
+        seen, worst = np.zeros(len(q) * n, bool), np.full(len(q), -np.inf)
         best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         active = np.ones(len(q), bool)
         for length in range(int(at.max()), -1, -1):
-            for t in range(self.trees):
-                low, high = self.ranges(t, strings[t], length)
-                was = before[t] or (low, low)  # empty so far
-                before[t] = low, high
-                for a, b in ((low, was[0]), (was[1], high)):
-                    size = np.where(active, b - a, 0)
-                    keys = np.repeat(np.arange(len(q)) * n, size) + self.order[t][np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    seen[keys[seen[keys] == 0]] = 2
-            new = np.flatnonzero(seen == 2)
-            seen[new] = 1
-            for part in np.split(new, range(PAIRS, len(new), PAIRS)):
-                who, row = part // n, part % n
-                score = np.einsum("ij,ij->i", q[who], self.x[row])
-                keep = score >= worst[who]
-                joined = [np.concatenate(z) for z in zip(best, (who[keep], row[keep], score[keep]), strict=True)]
+            for done in range(0, self.trees, STEP):
+                fresh = [np.zeros(0, np.int64)]
+                for t in range(done, min(done + STEP, self.trees)):
+                    low, high = self.ranges(t, strings[t], length)
+                    was = before[t] or (low, low)  # empty so far
+                    before[t] = low, high
+                    for a, b in ((low, was[0]), (was[1], high)):
+                        size = np.where(active, b - a, 0)
+                        keys = np.repeat(np.arange(len(q)) * n, size) + self.order[t][np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                        fresh.append(keys[~seen[keys]])
+                        seen[fresh[-1]] = True
+                new, found = np.concatenate(fresh), [best]
+                for part in np.split(new, range(PAIRS, len(new), PAIRS)):
+                    who, row = part // n, part % n
+                    score = np.einsum("ij,ij->i", q[who], self.x[row])
+                    keep = score >= worst[who]
+                    found.append((who[keep], row[keep], score[keep]))
+                joined = [np.concatenate(z) for z in zip(*found, strict=True)]
                 chosen = vectors.firsts(joined[0], joined[2], joined[1], most)
                 best = tuple(z[chosen] for z in joined)
                 full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) >= most)
                 worst[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
-            with np.errstate(invalid="ignore"):
-                same = np.where(np.isfinite(worst), 1 - np.arccos(np.clip(worst / (norms * self.norm), -1, 1)) / np.pi, 0)
-            active &= (1 - same**length) ** self.trees > miss
-            if not active.any():
-                break
+                with np.errstate(invalid="ignore"):
+                    same = np.where(np.isfinite(worst), 1 - np.arccos(np.clip(worst / (norms * self.norm), -1, 1)) / np.pi, 0)
+                now = min(done + STEP, self.trees)
+                active &= (1 - same**length) ** now * (1 - same ** (length + 1)) ** (self.trees - now) > miss
+                if not active.any():
+                    return best
         return best
 
 
