@@ -396,9 +396,18 @@ def relatedness_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related.related_pairs(_elements(spark, sf_dir)).drop("commit_no")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT p_brand AS repo, 'f::' || p_partkey::VARCHAR AS ast_id, list_append(CASE WHEN p_partkey % 5 = 0 THEN ['f::' || (p_partkey - 1)::VARCHAR] ELSE [] END, 's' || p_size::VARCHAR) AS labels FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ast_id) AS i FROM e), t AS (SELECT repo, i, unnest(list_append(labels, ast_id)) AS token FROM n),
+near AS (SELECT n.repo, n.i, coalesce(list(DISTINCT a.i ORDER BY a.i) FILTER (a.i IS NOT NULL), []) AS earlier FROM n JOIN t b USING (repo, i) LEFT JOIN t a ON a.repo = b.repo AND a.token = b.token AND a.i < b.i GROUP BY n.repo, n.i),
+r AS (SELECT repo, i, [i] AS seeds FROM near WHERE i = 1 UNION ALL SELECT near.repo, near.i, list_append(r.seeds, coalesce(list_filter(near.earlier, lambda s: r.seeds[s] = s AND len(list_filter(r.seeds, lambda x: x = s)) < 4)[1], near.i))
+  FROM r JOIN near ON near.repo = r.repo AND near.i = r.i + 1),
+g AS (SELECT repo, generate_subscripts(seeds, 1) AS i, unnest(seeds) AS seed FROM (FROM r QUALIFY row_number() OVER (PARTITION BY repo ORDER BY i DESC) = 1))
+SELECT repo, ast_id, (dense_rank() OVER (PARTITION BY repo ORDER BY seed) - 1)::INT AS group_no, (row_number() OVER (PARTITION BY repo, seed ORDER BY i) - 1)::INT AS place FROM g JOIN n USING (repo, i)""")
 def related_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return related.related_groups(_elements(spark, sf_dir))
+    """The parts of a brand as a commit; those of one size share a label."""
+    e = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("size"))
+    named = _elements(spark, sf_dir).join(e.select(F.concat(F.lit("f::"), F.col("p_partkey").cast("string")).alias("ast_id"), "size"), "ast_id")
+    return related.related_groups(named.withColumn("retrieved_labels", F.array_append("retrieved_labels", F.col("size")))).drop("commit_no")
 
 
 # --- line diffs ------------------------------------------------------------------------------------------------------------------
