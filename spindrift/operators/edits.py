@@ -9,6 +9,8 @@ from ..functions import text, textdiff
 
 NO_REASONING, NEW_CODE = "No reasoning provided.", "N/A (new code)"
 COMMIT = ["repo", "commit_no"]
+#: What the system turn of a template says.
+TEMPLATE_SYSTEM = "You rewrite the named items of a code base so that the commit's tasks are done. For each item you get its id, its code, why it changes, and the edits to make."
 
 
 def unified_diffs(diffs: DataFrame, simple: bool = True, separate_imports: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rust
 from ..operators import codetasks, completion, dataset, edits, fim, quality, snapshot
+from ..sources import documents as sink
 from ..sources import git
 from ..sources.config import Config
 
@@ -121,6 +122,21 @@ def enhanced_tasks(ws: Workspace, force: bool = False) -> int:
     return ws.write("enhanced_tasks", completion.parse_enhanced(_answers(ws, prompts)), ws.read("edit_sequences.done"), force)
 
 
+def documents(ws: Workspace, force: bool = False) -> int:
+    """The folder layout in <base>/documents, with a template for each commit that has edit sequences; how many commits are new."""
+    done = f"{ws.base}/documents.done"
+    commits = ws.read("commits").select(*COMMIT).distinct()
+    todo = (quality.not_done(commits, ws.read("documents.done"), force=force) if ws.has("documents.done") else commits).persist()
+    try:
+        if n := todo.count():
+            tables = {t: ws.read(t).join(todo, COMMIT, "left_semi") for t in ("commits", "ast_items", "ast_diffs", "unified_diffs", "edit_sequences", "fim_samples", "code_tasks", "tasks", "reasoning", "enhanced_tasks") if ws.has(t)}
+            sink.write_workspace(tables, f"{ws.base}/documents", edits.TEMPLATE_SYSTEM)
+            todo.write.mode("append").parquet(done)
+        return n
+    finally:
+        todo.unpersist()
+
+
 def build_dataset(ws: Workspace, force: bool = False) -> int:
     enhanced = ws.read("enhanced_tasks").withColumn("task_no", F.struct("batch_no", "place"))
     diffs = snapshot.last_wins(ws.read("unified_diffs").select(*COMMIT, "id", "diff_string"), [*COMMIT, "id"], ["diff_string"])
@@ -131,7 +147,7 @@ def build_dataset(ws: Workspace, force: bool = False) -> int:
 
 STAGES: dict[str, Callable[..., int]] = {
     "ingest": ingest, "ast_diffs": ast_diffs, "unified_diffs": unified, "tasks": tasks, "reasoning": reasoning, "edit_sequences": edit_sequences,
-    "fim_samples": fim_samples, "code_tasks": code_tasks, "enhanced_tasks": enhanced_tasks, "dataset": build_dataset,
+    "fim_samples": fim_samples, "code_tasks": code_tasks, "enhanced_tasks": enhanced_tasks, "documents": documents, "dataset": build_dataset,
 }
 
 
@@ -149,7 +165,7 @@ def completion_report(ws: Workspace) -> DataFrame:
     expected = {"ast_diffs": snapshot.neighbours(commits).where("prev_no is not null")}
     parts = []
     for name in STAGES:
-        if name not in ("ingest", "dataset") and ws.has(f"{name}.done"):
+        if name not in ("ingest", "documents", "dataset") and ws.has(f"{name}.done"):
             status = quality.stage_completion(expected.get(name, commits if name in ("tasks", "code_tasks") else expected["ast_diffs"]), ws.read(f"{name}.done"))
             parts.append(quality.completion_percent(status).withColumn("stage", F.lit(name)))
     out = parts[0]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import text, textdiff, untyped
 from ..operators import chunking, codetasks, completion, dataset, edits, fim, memory, quality, related, snapshot
+from ..sources import documents, files
 from ..streaming import store as stream_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,6 +471,19 @@ def llm_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completion.parse_tasks(completion.from_table(prompts, prompts.select("prompt_hash", said.alias("completion"))))
 
 
+# --- files -----------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT source AS repo, (doc_id // 100)::INT AS commit_no, doc_id::VARCHAR AS id, sha256(coalesce(text, '')) AS digest FROM documents WHERE source IS NOT NULL")
+def files_of_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as items into the folders of commits, a hundred ids each, and read back."""
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    items = d.select(F.col("source").alias("repo"), F.floor(F.col("doc_id") / 100).cast("int").alias("commit_no"), F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("code"))
+    at = storage.new_path(spark, "files")
+    documents.write_files(documents.lines(items), at, files.FILES["ast_items"], ["id"])
+    return files.read_table(spark, at, "ast_items").select("repo", "commit_no", "id", F.sha2("code", 256).alias("digest"))
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -17,11 +17,13 @@ FILES = {
     "fim_samples": "fim_dataset.json", "code_tasks": "fim_tasks.jsonl", "tasks": "task.json", "reasoning": "reasoning.json", "labels": "retrieval_labels.json", "enhanced_tasks": "enhanced_tasks.json",
 }
 _SEQUENCE = "struct<ast_id:string,original_function:string,reasoning:string,edit_sequence:array<struct<span_before:string,span_after:string>>,hops:map<string,array<string>>,retrieved_labels:array<string>,metadata:struct<commit_hash:string,author:string,commit_message:string,timestamp:string,repository:string,file_path:string,operation_type:string,kind:string>>"
+_SAMPLE = DDL["fim_samples"].replace("repo string, commit_no int, ", "")
 #: Files that hold a document with a list or a map of rows: its schema, and the rows in it.
 DOCUMENTS = {
     "edit_sequences": (f"edit_sequences array<{_SEQUENCE}>", "inline(edit_sequences)"),
     "reasoning": ("commit_hash string, function_reasoning array<struct<function_id:string,file_name:string,operation_type:string,reasoning:string,metadata:struct<commit_hash:string,kind:string>>>", "inline(function_reasoning)"),
     "labels": ("function_labels map<string,struct<hops:map<string,array<string>>>>", "explode(function_labels) as (function_id, l)"),
+    "fim_samples": (f"fim_functions map<string,array<struct<{_SAMPLE.replace(' string', ':string').replace(' struct<', ':struct<')}>>>", "inline(flatten(map_values(fim_functions)))"),
     "enhanced_tasks": ("tasks array<struct<task:string,reasoning_selection:string,selected_functions:array<string>,reasoning_update:map<string,string>>>", "posexplode(tasks) as (task_no, t)"),
 }
 
