@@ -45,8 +45,7 @@ class Workspace:
         todo = todo.persist()
         try:
             if n := todo.count():
-                repos = [r[0] for r in todo.select("repo").distinct().collect()]
-                w = df.where(F.col("repo").isin(repos)).join(F.broadcast(todo) if n < 100_000 else todo, COMMIT, "left_semi").write.partitionBy("repo")
+                w = df.join(F.broadcast(todo) if n < 100_000 else todo, COMMIT, "left_semi").write.partitionBy("repo")
                 if force:  # only the repositories at hand are replaced
                     w = w.option("partitionOverwriteMode", "dynamic")
                 w.mode("overwrite" if force else "append").parquet(f"{self.base}/{name}")
@@ -64,7 +63,7 @@ def ingest(ws: Workspace, force: bool = False) -> int:
     here = {r["repo"]: r["path"] for r in git.list_repos(ws.spark, folder).collect()}
     wanted = [p for n, p in here.items() if not ws.config.repositories or n in ws.config.repositories]
     reader = lambda f: ws.spark.read.format(f).option("path", ",".join(wanted)).option("extensions", ",".join(ws.config.file_types))
-    limit = {"limit": str(ws.config.max_commits)} if ws.config.max_commits else {}
+    limit = {"limit": str(ws.config.max_commits), "order": ws.config.commit_order} if ws.config.max_commits else {}
     commits = reader("git_commits").options(**limit).load()
     tree = reader("git_tree").options(**limit).load()
     files = snapshot.modified_files(tree, commits, ws.config.file_types)

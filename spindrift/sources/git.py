@@ -1,10 +1,13 @@
-"""Git repositories as data sources: git_commits and git_tree.
+"""Git repositories as data sources, for tables and streams: git_commits and git_tree.
 
-Nothing is checked out or copied: blobs are read at their commit. A repository is a partition of git_commits; git_tree splits each into
-runs of commits. Repositories lie on a file system that the executors see.
+Nothing is checked out or copied: blobs are read at their commit. The driver plans parts of repositories and never lists commits: a task
+lists its repository and reads its share of the list. A stream's offset is the last commit of each repository, so a trigger reads the
+commits since the last one; repositories that are new in the folder are read from their first commit. Repositories lie on a file system
+that the executors see.
 
     spark.dataSource.register(GitCommits)
-    spark.read.format("git_commits").option("path", "/repos/a,/repos/b").option("limit", "100").load()
+    spark.read.format("git_commits").option("path", "/repos/a,/repos/b").option("limit", "100").option("order", "first").load()
+    spark.readStream.format("git_commits").option("folder", "/repos").load()
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 BRANCHES = ("main", "master")
 
@@ -40,10 +43,32 @@ def has_branch(repo: str, branch: str) -> bool:
     return True
 
 
-def commit_hashes(repo: str, limit: int | None = None) -> list[str]:
-    """Hashes from the oldest on, of main, master or the current branch; with a limit the newest ones, in the same order."""
-    branch = next((b for b in BRANCHES if has_branch(repo, b)), "HEAD")
-    return git(repo, "rev-list", "--reverse", *([f"--max-count={limit}"] if limit else []), branch).decode().split()
+def branch_of(repo: str) -> str:
+    """main, master or the current branch."""
+    return next((b for b in BRANCHES if has_branch(repo, b)), "HEAD")
+
+
+def last_commit(repo: str) -> str:
+    """Hash of the branch's last commit; empty if it has none."""
+    try:
+        return git(repo, "rev-parse", "--verify", "--quiet", branch_of(repo)).decode().strip()
+    except RuntimeError:
+        return ""
+
+
+def commit_hashes(repo: str, limit: int | None = None, order: str = "last", until: str | None = None) -> list[str]:
+    """Hashes up to a commit (the branch's last one), from the oldest on; with a limit the newest or, by order "first", the oldest ones."""
+    found = git(repo, "rev-list", "--reverse", *([f"--max-count={limit}"] if limit and order == "last" else []), until or branch_of(repo)).decode().split()
+    return found[:limit] if limit and order == "first" else found
+
+
+def new_commits(repo: str, since: str, until: str) -> list[tuple[int, str]]:
+    """Numbered commits that came after one (empty: from the first on); numbers go on from what that one had before it.
+
+    Where a merge brings in commits that are older than those read before, they get the next numbers.
+    """
+    known = int(git(repo, "rev-list", "--count", since)) if since else 0
+    return list(enumerate(git(repo, "rev-list", "--reverse", f"{since}..{until}" if since else until).decode().split(), known + 1))
 
 
 def touched_files(repo: str, commit: str) -> list[str]:
@@ -62,42 +87,91 @@ def tree(repo: str, commit: str, extensions: tuple[str, ...]) -> Iterator[tuple[
         at = end + 2 + size
 
 
-class _Run(InputPartition):
-    def __init__(self, repo: str, commits: list[tuple[int, str]]):
-        self.repo, self.commits = repo, commits
+class _Share(InputPartition):
+    """One of several equal runs of a repository's commits, all of them or those between two."""
 
+    def __init__(self, repo: str, part: int, parts: int, since: str | None = None, until: str | None = None):
+        self.repo, self.part, self.parts, self.since, self.until = repo, part, parts, since, until
+
+
+class _Source:
+    """What readers of tables and streams share: options, parts of repositories, and the rows of a share (``rows``)."""
 
-class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.repos = [p for p in options.get("path", "").split(",") if p]
-        self.limit = int(options["limit"]) if options.get("limit") else None
+        self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.folder = options.get("folder")
+        self.limit, self.order = int(options["limit"]) if options.get("limit") else None, options.get("order", "last")
+        if self.order not in ("first", "last"):
+            raise ValueError(f"order is first or last, not {self.order!r}")
         self.extensions = tuple(e for e in options.get("extensions", ".rs").split(",") if e)
-        self.run = int(options.get("commits_per_partition", "200"))
+        self.parts = int(options.get("parts", "8"))
+
+    def repos(self) -> list[str]:
+        return self.paths or repos_in(self.folder or "")
+
+    def shares(self, repo: str, since: str | None = None, until: str | None = None) -> list[InputPartition]:
+        return [_Share(repo, i, self.parts, since, until) for i in range(self.parts)]
 
+    def read(self, partition: _Share) -> Iterator[tuple]:
+        p = partition
+        if p.since is None:
+            numbered = list(enumerate(commit_hashes(p.repo, self.limit, self.order), 1)) if last_commit(p.repo) else []
+        else:
+            numbered = new_commits(p.repo, p.since, p.until)
+        n, name = len(numbered), os.path.basename(p.repo.rstrip("/"))
+        for no, commit in numbered[n * p.part // p.parts : n * (p.part + 1) // p.parts]:
+            yield from self.rows(p.repo, name, no, commit)
+
+
+class _Table(_Source, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for repo in self.repos:
-            numbered = list(enumerate(commit_hashes(repo, self.limit), 1))
-            out += [_Run(repo, numbered[i : i + self.run]) for i in range(0, len(numbered), self.run)]
-        return out
+        return [s for repo in self.repos() for s in self.shares(repo)]
+
+
+class _Stream(_Source, DataSourceStreamReader):
+    """Offsets are JSON maps of repository to hash. A limit doesn't apply."""
 
+    def initialOffset(self) -> dict:
+        return {}
 
-class _Commits(_Reader):
-    def read(self, partition: _Run) -> Iterator[tuple]:
-        name = os.path.basename(partition.repo.rstrip("/"))
-        for no, commit in partition.commits:
-            fields = git(partition.repo, "show", "-s", "--format=%an%n%ae%n%ad%n%B", commit).decode("utf-8", "replace").strip().split("\n", 3)
-            fields += ["N/A"] * (4 - len(fields))
-            diff = git(partition.repo, "show", commit).decode("utf-8", "replace")
-            yield name, no, commit, diff, tuple(fields), touched_files(partition.repo, commit)
+    def latestOffset(self) -> dict:
+        return {repo: found for repo in self.repos() if (found := last_commit(repo))}
 
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [s for repo, until in sorted(end.items()) if until != start.get(repo) for s in self.shares(repo, start.get(repo, ""), until)]
 
-class _Tree(_Reader):
-    def read(self, partition: _Run) -> Iterator[tuple]:
-        name = os.path.basename(partition.repo.rstrip("/"))
-        for no, commit in partition.commits:
-            for path, content in tree(partition.repo, commit, self.extensions):
-                yield name, no, commit, path, content
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class _Commits:
+    def rows(self, repo: str, name: str, no: int, commit: str) -> Iterator[tuple]:
+        fields = git(repo, "show", "-s", "--format=%an%n%ae%n%ad%n%B", commit).decode("utf-8", "replace").strip().split("\n", 3)
+        fields += ["N/A"] * (4 - len(fields))
+        diff = git(repo, "show", commit).decode("utf-8", "replace")
+        yield name, no, commit, diff, tuple(fields), touched_files(repo, commit)
+
+
+class _Tree:
+    def rows(self, repo: str, name: str, no: int, commit: str) -> Iterator[tuple]:
+        for path, content in tree(repo, commit, self.extensions):
+            yield name, no, commit, path, content
+
+
+class _CommitTable(_Commits, _Table):
+    pass
+
+
+class _CommitStream(_Commits, _Stream):
+    pass
+
+
+class _TreeTable(_Tree, _Table):
+    pass
+
+
+class _TreeStream(_Tree, _Stream):
+    pass
 
 
 class GitCommits(DataSource):
@@ -111,7 +185,10 @@ class GitCommits(DataSource):
         return "repo string, commit_no int, commit_hash string, diff string, metadata struct<author_name:string,author_email:string,commit_date:string,commit_message:string>, paths array<string>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Commits(self.options)
+        return _CommitTable(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _CommitStream(self.options)
 
 
 class GitTree(DataSource):
@@ -125,7 +202,10 @@ class GitTree(DataSource):
         return "repo string, commit_no int, commit_hash string, file_path string, content string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Tree(self.options)
+        return _TreeTable(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _TreeStream(self.options)
 
 
 def register(spark: SparkSession) -> None:
@@ -133,10 +213,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GitTree)
 
 
+def repos_in(folder: str) -> list[str]:
+    """Paths of the repositories in a folder, by name."""
+    return [p for n in sorted(os.listdir(folder)) if git_dir(p := os.path.join(folder, n))] if os.path.isdir(folder) else []
+
+
 def list_repos(spark: SparkSession, folder: str):
     """repo, path of the repositories in a folder, by name."""
-    found = [(n, os.path.join(folder, n)) for n in sorted(os.listdir(folder)) if git_dir(os.path.join(folder, n))] if os.path.isdir(folder) else []
-    return spark.createDataFrame(found, "repo string, path string").orderBy("repo")
+    return spark.createDataFrame([(os.path.basename(p), p) for p in repos_in(folder)], "repo string, path string").orderBy("repo")
 
 
 def sync_repos(repositories: dict[str, str], folder: str) -> dict[str, bool]:

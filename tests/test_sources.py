@@ -73,6 +73,49 @@ def test_git_source(spark, repos):
     assert {(r.commit_no, r.file_path) for r in tree.collect()} == {(1, "a.rs"), (2, "a.rs"), (3, "a.rs")}
 
 
+def test_commit_order_and_parts(spark, repos):
+    git.register(spark)
+    read = lambda **o: [(c.commit_no, c.commit_hash) for c in spark.read.format("git_commits").option("folder", str(repos)).options(**o).load().orderBy("commit_no").collect()]
+    every = read()
+    assert [h for _, h in read(limit=2)] == [h for _, h in every[1:]]
+    assert read(limit=2, order="first") == every[:2]
+    assert read(parts=1) == read(parts=3) == every
+    with pytest.raises(Exception, match="first or last"):
+        read(order="middle")
+
+
+def test_git_stream_reads_new_commits_alone(spark, repos, tmp_path):
+    import shutil
+    import subprocess
+
+    git.register(spark)
+    repos = shutil.copytree(repos, tmp_path / "repos")
+    run = lambda repo, *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=N", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+
+    def trigger(kind):
+        q = spark.readStream.format(kind).option("folder", str(repos)).option("parts", "3").load().writeStream.format("parquet").option("checkpointLocation", str(tmp_path / kind / "state")).trigger(once=True).start(str(tmp_path / kind / "out"))
+        q.awaitTermination()
+        seen = {tuple(r[:3]) for r in spark.read.parquet(str(tmp_path / kind / "out")).select("repo", "commit_no", "commit_hash").collect()}
+        n = q.lastProgress["numInputRows"] if q.lastProgress else 0
+        return seen, n
+
+    table = lambda kind: spark.read.format(kind).option("folder", str(repos)).load()
+    assert trigger("git_commits")[1] == 3 and trigger("git_tree")[1] == 3
+    (repos / "demo/b.rs").write_text("fn b() {}\n")
+    run(repos / "demo", "add", "-A")
+    run(repos / "demo", "commit", "-q", "-m", "more")
+    (repos / "fresh").mkdir()
+    run(repos / "fresh", "init", "-q", "-b", "main")
+    assert trigger("git_commits")[1] == 1  # a repository without commits has nothing
+    (repos / "fresh/c.rs").write_text("fn c() {}\n")
+    run(repos / "fresh", "add", "-A")
+    run(repos / "fresh", "commit", "-q", "-m", "first")
+    seen, n = trigger("git_commits")
+    assert n == 1 and seen == {tuple(r) for r in table("git_commits").select("repo", "commit_no", "commit_hash").collect()} and ("fresh", 1) in {s[:2] for s in seen}
+    seen, n = trigger("git_tree")
+    assert n == 3 and seen == {tuple(r) for r in table("git_tree").select("repo", "commit_no", "commit_hash").collect()}
+
+
 def test_pipeline_from_git_to_dataset(spark, repos, tmp_path):
     ws = pipeline.Workspace(spark, str(tmp_path / "ws"), config.Config(paths={"repos": str(repos)}))
     done = pipeline.run(ws, skip=["dataset", "enhanced_tasks"])
