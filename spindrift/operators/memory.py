@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Queries to a block: a block is broadcast, the store is not.
-QUERY_BLOCK = 20_000
+from . import topk
 
 
 @dataclass(frozen=True)
@@ -105,28 +103,16 @@ def stats(store: DataFrame, config: StoreConfig = StoreConfig()) -> DataFrame:
     return store.agg(size.alias("size"), (size > 0).alias("is_ready"), (size / config.max_chunks).alias("usage"))
 
 
-def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
-    n = -(-queries.count() // block) or 1
-    if n == 1:
-        return [queries]
-    return [queries.where(F.pmod(F.xxhash64("query_id", "head"), F.lit(n)) == i) for i in range(n)]
-
-
-def retrieve(store: DataFrame, queries: DataFrame, config: StoreConfig = StoreConfig(), n: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def retrieve(store: DataFrame, queries: DataFrame, config: StoreConfig = StoreConfig(), n: int | None = None, recall: float | None = None) -> DataFrame:
     """query_id, head, rank, slot, score, keys, vals: the chunks of largest inner product with each query (query_id, head, q).
 
-    Exact; ties go to the older chunk; a store of fewer chunks gives fewer rows. Queries are broadcast in blocks of a fixed size and
-    the store is scanned in place; a row_number limit keeps the best of each task before anything is shuffled, and keys and
-    values join the winners only.
+    Ties go to the older chunk; a store of fewer chunks gives fewer rows. Exact, by blocks of chunks of which a query visits those that
+    can matter (topk.search); with a recall, by hyperplane tables that find that share of the best chunks as measured on some of the
+    queries. Keys and values join the winners only.
     """
     n = n or config.chunks_per_query
-    reps = store.select("head", "slot", "rep")
-    parts = []
-    for part in _blocks(queries, block):
-        scored = reps.join(F.broadcast(part.select("query_id", F.col("head"), "q")), "head").withColumn("score", dot(F.col("q"), F.col("rep")))
-        best = Window.partitionBy("query_id", "head").orderBy(F.desc("score"), "slot")
-        parts.append(scored.select("query_id", "head", "slot", "score", F.row_number().over(best).alias("rank")).where(F.col("rank") <= n))
-    best = functools.reduce(DataFrame.unionByName, parts)
+    index = topk.build(store.select("head", "slot", "rep"))
+    best = topk.search(index, queries, n) if recall is None else topk.approximate(index, queries, n, topk.tune(index, queries, n, recall))
     return best.join(store.select("head", "slot", "keys", "vals"), ["head", "slot"]).select("query_id", "head", "rank", "slot", "score", "keys", "vals")
 
 
