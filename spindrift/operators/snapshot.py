@@ -44,6 +44,50 @@ def previous_snapshot(items: DataFrame, commits: DataFrame | None = None) -> Dat
     return items.join(near, ["repo", "commit_no"]).withColumn("commit_no", F.col("next_no")).drop("next_no")
 
 
+def changes(items: DataFrame, commits: DataFrame | None = None) -> DataFrame:
+    """The history of items as far as it changes: the columns of items and gone.
+
+    An item has a row at each commit where it appears or differs in any column from the commit before, and a row that says gone, all
+    else being null, at the first commit without it. So the size follows the changes, not commits times items, and new commits only add
+    rows. ids are unique per commit (last_wins). Pass commits if some have no items at all.
+    """
+    near = neighbours(commits if commits is not None else items)
+    w = Window.partitionBy("repo", "id").orderBy("commit_no")
+    rest = [c for c in items.columns if c not in KEYS]
+    body = F.struct(*rest)
+    rows = items.select(*KEYS, body.alias("body")).join(near, ["repo", "commit_no"])
+    rows = rows.select("*", F.lag(F.struct("commit_no", "body")).over(w).alias("old"), F.lead("commit_no").over(w).alias("then"))
+    stays = (F.col("old.commit_no") == F.col("prev_no")) & F.col("old.body").eqNullSafe(F.col("body"))
+    row = lambda no, gone, what: F.struct(F.col(no).alias("commit_no"), F.lit(gone).alias("gone"), what.alias("body"))
+    here = F.when(~F.coalesce(stays, F.lit(False)), row("commit_no", False, F.col("body")))
+    left = F.when(F.col("next_no").isNotNull() & ~F.col("then").eqNullSafe(F.col("next_no")), row("next_no", True, F.when(F.lit(False), F.col("body"))))
+    out = rows.select("repo", "id", F.explode(F.array_compact(F.array(here, left))).alias("c"))
+    return out.select("repo", F.col("c.commit_no").alias("commit_no"), "id", *[F.col(f"c.body.`{c}`").alias(c) for c in rest], F.col("c.gone").alias("gone")).select(*items.columns, "gone")
+
+
+def intervals(history: DataFrame) -> DataFrame:
+    """The items of a history (changes) with valid_from in place of commit_no and valid_to, the first commit at which they are no
+    more so; null if they still are."""
+    w = Window.partitionBy("repo", "id").orderBy("commit_no")
+    return history.withColumn("valid_to", F.lead("commit_no").over(w)).where("not gone").drop("gone").withColumnRenamed("commit_no", "valid_from")
+
+
+def snapshots(spans: DataFrame, commits: DataFrame, back: int = 0) -> DataFrame:
+    """The items of each commit from their intervals; with back, those of so many commits before, under the commit's own number.
+
+    Commits are counted through in their repo and an interval is spread over the counts that it covers, so no item is tested against
+    a commit at which it isn't valid.
+    """
+    order = Window.partitionBy("repo").orderBy("commit_no")
+    numbered = commits.select("repo", "commit_no").distinct().withColumn("n", F.row_number().over(order))
+    last = numbered.groupBy("repo").agg(F.max("n").alias("last"))
+    at = lambda c, n: numbered.select("repo", F.col("commit_no").alias(c), F.col("n").alias(n))
+    placed = spans.join(at("valid_from", "first"), ["repo", "valid_from"]).join(at("valid_to", "end"), ["repo", "valid_to"], "left").join(last, "repo")
+    stop = F.least(F.coalesce("end", F.col("last") + 1) - 1 + back, "last")
+    held = placed.where(F.col("first") + back <= stop).withColumn("n", F.explode(F.sequence(F.col("first") + back, stop)))
+    return held.drop("valid_from", "valid_to", "first", "end", "last").join(numbered, ["repo", "n"]).drop("n")
+
+
 def same_imports(a: Column, b: Column) -> Column:
     """Imports compared as sets: their order in a record has no meaning."""
     norm = lambda c: F.array_sort(F.array_distinct(c))

@@ -65,8 +65,7 @@ def main(argv: list[str] | None = None) -> int:
     elif name == "report":
         show(pipeline.completion_report(ws))
     elif name == "coverage":
-        items = ws.read("ast_items")
-        counts = items.groupBy("repo", "commit_no").agg(F.count("id").alias("n"), F.max(F.col("error").isNotNull()).alias("error"))
+        counts = ws.read("ast_counts")
         show(quality.coverage(ws.read("commits"), counts).orderBy(F.col("repo").asc_nulls_last()))
         show(quality.coverage_issues(ws.read("commits"), counts))
     elif name == "verify":
@@ -74,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         show(edits.verification_totals(done))
         show(edits.failure_report(done))
     elif name == "export":
-        files.write_lines(ws.read(args.table), args.to, ["repo", "commit_no"])
+        files.write_lines(pipeline.items(ws) if args.table == "ast_items" else ws.read(args.table), args.to, ["repo", "commit_no"])
     elif name == "clean":
         for path in files.clean(spark, args.base, args.stages, args.repo, dry_run=not args.delete):
             print(path)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import rust
 from ..operators import codetasks, completion, dataset, edits, fim, quality, snapshot
 from ..sources import documents as sink
@@ -68,17 +69,21 @@ def ingest(ws: Workspace, force: bool = False) -> int:
     tree = reader("git_tree").options(**limit).load()
     files = snapshot.modified_files(tree, commits, ws.config.file_types)
     done = ws.write("commits", commits.drop("paths").join(files, COMMIT, "left"), commits, force)
-    ws.write("ast_items", rust.extract_items(tree, ws.config.file_types), commits, force)
+    found = storage.checkpoint(rust.extract_items(tree, ws.config.file_types))
+    counts = found.groupBy(*COMMIT).agg(F.count("id").alias("n"), F.max(F.col("error").isNotNull()).alias("error"))
+    ws.write("ast_counts", counts, commits, force)
+    ws.write("ast_changes", snapshot.changes(snapshot.last_wins(found.where("id is not null"), [*COMMIT, "id"], ["file", "line_no"]), commits), commits, force)
     return done
 
 
-def _items(ws: Workspace) -> DataFrame:
-    return snapshot.last_wins(ws.read("ast_items").where("id is not null"), [*COMMIT, "id"], ["file", "line_no"])
+def items(ws: Workspace) -> DataFrame:
+    """The items of every commit, from their changes."""
+    return snapshot.snapshots(snapshot.intervals(ws.read("ast_changes")), ws.read("commits"))
 
 
 def ast_diffs(ws: Workspace, force: bool = False) -> int:
     commits = ws.read("commits")
-    diffs = snapshot.with_metadata(snapshot.with_spans(snapshot.snapshot_diff(_items(ws), commits)), commits)
+    diffs = snapshot.with_metadata(snapshot.with_spans(snapshot.snapshot_diff(items(ws), commits)), commits)
     return ws.write("ast_diffs", diffs, snapshot.neighbours(commits).where("prev_no is not null"), force)
 
 
@@ -98,7 +103,7 @@ def fim_samples(ws: Workspace, force: bool = False) -> int:
 
 def code_tasks(ws: Workspace, force: bool = False, most: int = 100) -> int:
     n = ws.read("ast_diffs").groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("n"))
-    return ws.write("code_tasks", codetasks.code_tasks(_items(ws), n, most), ws.read("commits"), force)
+    return ws.write("code_tasks", codetasks.code_tasks(items(ws), n, most), ws.read("commits"), force)
 
 
 def _answers(ws: Workspace, prompts: DataFrame) -> DataFrame:
@@ -128,7 +133,8 @@ def documents(ws: Workspace, force: bool = False) -> int:
     todo = (quality.not_done(commits, ws.read("documents.done"), force=force) if ws.has("documents.done") else commits).persist()
     try:
         if n := todo.count():
-            tables = {t: ws.read(t).join(todo, COMMIT, "left_semi") for t in ("commits", "ast_items", "ast_diffs", "unified_diffs", "edit_sequences", "fim_samples", "code_tasks", "tasks", "reasoning", "enhanced_tasks") if ws.has(t)}
+            tables = {t: ws.read(t).join(todo, COMMIT, "left_semi") for t in ("commits", "ast_diffs", "unified_diffs", "edit_sequences", "fim_samples", "code_tasks", "tasks", "reasoning", "enhanced_tasks") if ws.has(t)}
+            tables["ast_items"] = items(ws).drop("error").join(todo, COMMIT, "left_semi")
             sink.write_workspace(tables, f"{ws.base}/documents", edits.TEMPLATE_SYSTEM)
             todo.write.mode("append").parquet(done)
         return n

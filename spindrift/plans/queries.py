@@ -77,6 +77,14 @@ def prev_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.previous_snapshot(items)
 
 
+@query(f"WITH {_ITEMS}, p AS (SELECT repo, commit_no, lead(commit_no) OVER (PARTITION BY repo ORDER BY commit_no) AS next_no FROM (SELECT DISTINCT repo, commit_no FROM items)) SELECT repo, next_no::INT AS commit_no, id, code FROM items JOIN p USING (repo, commit_no) WHERE next_no IS NOT NULL")
+def snapshots_from_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the snapshot before each commit was, from the intervals in which items stayed the same."""
+    items = event_items(spark, sf_dir)
+    spans = snapshot.intervals(snapshot.changes(items.select("repo", "commit_no", "id", "code")))
+    return snapshot.snapshots(spans, items, back=1).select("repo", "commit_no", "id", "code")
+
+
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1 AND user_id IS NOT NULL AND event_type IS NOT NULL")
 def last_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.last_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
