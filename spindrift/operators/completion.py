@@ -1,15 +1,11 @@
 """Completion stages: prompt, completion looked up or asked for, parse, check.
 
 A stage builds prompts by column functions, gets their completions by the hash of the prompt, and parses them by column functions.
-The provider is a table (prompt_hash, completion) or a function that is called once per distinct prompt on the executors.
+Completions are a table (prompt_hash, completion): one that is given, or the log of a provider (sources.provider).
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,32 +24,6 @@ def from_table(prompts: DataFrame, completions: DataFrame) -> DataFrame:
     return prompts.join(completions.select("prompt_hash", "completion").dropDuplicates(["prompt_hash"]), "prompt_hash", "left")
 
 
-def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], concurrency: int = 5, retries: int = 3, wait: float = 1.0) -> DataFrame:
-    """prompt_hash, completion of each distinct prompt, by at most concurrency clients, one per task.
-
-    client() makes a function from prompt to text on the executor. A call that fails is tried again after wait, then twice that, and
-    so on; after that its completion is null. Save the result as a table to ask for nothing twice.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = client()
-
-        def one(prompt: str) -> str | None:
-            for turn in range(retries):
-                try:
-                    return call(prompt)
-                except Exception:  # noqa: BLE001 - a provider's errors are its own
-                    if turn + 1 < retries:
-                        time.sleep(wait * 2**turn)
-            return None
-
-        for frame in frames:
-            yield pd.DataFrame({"prompt_hash": frame["prompt_hash"], "completion": [one(p) for p in frame["prompt"]]})
-
-    distinct = prompts.select("prompt_hash", "prompt").dropDuplicates(["prompt_hash"]).repartition(concurrency, "prompt_hash")
-    return distinct.mapInPandas(run, "prompt_hash string, completion string")
-
-
 #: Prompt texts are configuration; these are the defaults.
 TASK_PROMPT = "List the separate tasks that this change carries out, as JSON with a field tasks.\n\n"
 REASONING_PROMPTS = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rust
 from ..operators import edits, quality, snapshot
-from ..sources import config, files, git
+from ..sources import config, files, git, provider
 from . import pipeline
 
 
@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     c = command("status", "configured and present repositories", base=False)
     args = p.parse_args(argv)
     spark, conf = _session(), config.load_config(args.config, strict=bool(args.config))
-    ws = pipeline.Workspace(spark, getattr(args, "base", ""), conf)
+    ws = pipeline.Workspace(spark, getattr(args, "base", ""), conf, provider.client_from_environment())
     show = lambda df: df.show(1000, False)
     name = args.command.replace("-", "_")
     if name == "run":

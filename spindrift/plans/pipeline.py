@@ -16,7 +16,7 @@ from .. import storage
 from ..functions import rust
 from ..operators import codetasks, completion, dataset, edits, fim, quality, snapshot
 from ..sources import documents as sink
-from ..sources import git
+from ..sources import git, provider
 from ..sources.config import Config
 
 COMMIT = ["repo", "commit_no"]
@@ -29,6 +29,7 @@ class Workspace:
     spark: SparkSession
     base: str
     config: Config = field(default_factory=Config)
+    client: provider.Client | None = None
 
     def has(self, name: str) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
@@ -52,6 +53,10 @@ class Workspace:
                 w.mode("overwrite" if force else "append").parquet(f"{self.base}/{name}")
                 df.limit(0).write.mode("overwrite").parquet(f"{self.base}/{name}.schema")
                 todo.write.mode("append").parquet(f"{self.base}/{name}.done")
+            elif not self.has(f"{name}.done"):  # nothing to do is a table without rows
+                df.limit(0).write.mode("overwrite").parquet(f"{self.base}/{name}.schema")
+                df.limit(0).write.mode("append").partitionBy("repo").parquet(f"{self.base}/{name}")
+                todo.write.mode("append").parquet(f"{self.base}/{name}.done")
             return n
         finally:
             todo.unpersist()
@@ -106,24 +111,41 @@ def code_tasks(ws: Workspace, force: bool = False, most: int = 100) -> int:
     return ws.write("code_tasks", codetasks.code_tasks(items(ws), n, most), ws.read("commits"), force)
 
 
-def _answers(ws: Workspace, prompts: DataFrame) -> DataFrame:
-    return completion.from_table(prompts, ws.read("completions")) if ws.has("completions") else prompts.withColumn("completion", F.lit(None).cast("string"))
+#: Calls in flight and tasks of the stages that no setting covers.
+STAGE_LIMITS = provider.Limits(calls=5, tasks=4)
+
+
+def _answers(ws: Workspace, prompts: DataFrame, limits: provider.Limits = STAGE_LIMITS) -> tuple[DataFrame, DataFrame]:
+    """The prompts with their completions, from the table of completions and the log, to which the client adds what is missing; and the
+    commits of which a prompt has none."""
+    prompts = storage.checkpoint(prompts)
+    log = f"{ws.base}/completions.log"
+    known = ws.read("completions").select("prompt_hash", "completion") if ws.has("completions") else ws.spark.createDataFrame([], provider.LOG)
+    if ws.client:
+        provider.ask(prompts.join(known.select("prompt_hash"), "prompt_hash", "left_anti"), ws.client, log, limits)
+    answers = storage.checkpoint(completion.from_table(prompts, known.unionByName(provider.read_log(ws.spark, log))))
+    return answers, answers.where("completion is null").select(*COMMIT).distinct()
+
+
+def _answered(ws: Workspace, name: str, prompts: DataFrame, parse: Callable[[DataFrame], DataFrame], expected: DataFrame, force: bool, limits: provider.Limits = STAGE_LIMITS) -> int:
+    """Writes what the completions say, for the commits that have all of theirs; the others stay to be done."""
+    answers, missing = _answers(ws, prompts, limits)
+    return ws.write(name, parse(answers), expected.select(*COMMIT).join(missing, COMMIT, "left_anti"), force)
 
 
 def tasks(ws: Workspace, force: bool = False) -> int:
-    """Needs a table of completions in the workspace; a prompt without one has no tasks."""
-    return ws.write("tasks", completion.parse_tasks(_answers(ws, completion.task_prompts(ws.read("commits")))), ws.read("commits"), force)
+    return _answered(ws, "tasks", completion.task_prompts(ws.read("commits")), completion.parse_tasks, ws.read("commits"), force)
 
 
 def reasoning(ws: Workspace, force: bool = False) -> int:
-    prompts = completion.reasoning_prompts(ws.read("ast_diffs"), ws.read("tasks"))
-    return ws.write("reasoning", completion.parse_reasoning(_answers(ws, prompts)), ws.read("tasks.done"), force)
+    return _answered(ws, "reasoning", completion.reasoning_prompts(ws.read("ast_diffs"), ws.read("tasks")), completion.parse_reasoning, ws.read("tasks.done"), force)
 
 
 def enhanced_tasks(ws: Workspace, force: bool = False) -> int:
     e = ws.config.enhanced_tasks
     prompts = completion.element_prompts(ws.read("edit_sequences"), ws.read("commits"), batch_size=e.max_ast_elements_per_batch, most_elements=e.max_ast_elements_per_commit)
-    return ws.write("enhanced_tasks", completion.parse_enhanced(_answers(ws, prompts)), ws.read("edit_sequences.done"), force)
+    limits = provider.Limits(calls=e.max_concurrent_llm_calls, tasks=e.max_concurrent_commits)
+    return _answered(ws, "enhanced_tasks", prompts, completion.parse_enhanced, ws.read("edit_sequences.done"), force, limits)
 
 
 def documents(ws: Workspace, force: bool = False) -> int:

@@ -206,18 +206,10 @@ def test_completion_stages(spark):
     commits = spark.createDataFrame([("r", 1, "h1", "short"), ("r", 2, "h2", "diff --git a/x b/x\n" + "y" * 30 + "\ndiff --git a/z b/z\nw")], "repo string, commit_no int, commit_hash string, diff string")
     prompts = completion.task_prompts(commits, most=30)
     assert prompts.count() == 3
-    answers = completion.ask(prompts, lambda: lambda p: '```json\n{"tasks": ["a", "a"]}\n```', concurrency=2)
+    answers = prompts.select("prompt_hash", F.lit('```json\n{"tasks": ["a", "a"]}\n```').alias("completion"))
     got = {r.commit_no: r.tasks for r in completion.parse_tasks(completion.from_table(prompts, answers)).collect()}
     assert got == {1: ["a", "a"], 2: ["a"]}  # repeats go only from a text that was cut
-
-    def broken():
-        def call(prompt):
-            raise OSError
-
-        return call
-
-    nothing = completion.ask(prompts, broken, retries=2, wait=0.0)
-    assert {tuple(r.tasks) for r in completion.parse_tasks(completion.from_table(prompts, nothing)).collect()} == {()}
+    assert {tuple(r.tasks) for r in completion.parse_tasks(completion.from_table(prompts, answers.where("false"))).collect()} == {()}
 
 
 def test_task_rows(spark):

@@ -124,6 +124,7 @@ def test_pipeline_from_git_to_dataset(spark, repos, tmp_path):
     assert diffs == {(2, "a.rs::function::f"): "modified", (2, "a.rs::function::g"): "added", (3, "a.rs::function::f"): "removed"}
     assert pipeline.run(ws, skip=["dataset", "enhanced_tasks"])["ast_diffs"] == 0  # nothing is done twice
     assert ws.read("ast_diffs").count() == 3
+    assert done["tasks"] == 0 and ws.read("tasks").count() == 0  # nobody was asked, so nothing is done
     from spindrift.operators import completion
 
     prompts = completion.element_prompts(ws.read("edit_sequences"), ws.read("commits"), batch_size=20)
