@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EDGE = r"^\s+|\s+$"
+#: What counts as white space at the edge of a text (fixed values): ASCII's and Unicode's, separators of records among them.
+WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+EDGE = f"^{WHITE}+|{WHITE}+$"
 
 
 def strip(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as edges
+
 #: A fenced block that holds an object (fixed pattern); a longest block from the first to the last brace.
 FENCED, BRACED = r"(?s)```json\s*(\{.*?\})\s*```", r"(?s)\{.*\}"
 
@@ -37,7 +39,7 @@ def valid_task(task: Column) -> Column:
     """
     field = lambda name: F.try_variant_get(task, f"$.{name}", "variant")
     text = lambda v: F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
-    filled = lambda v: F.coalesce(F.length(F.regexp_replace(text(v), r"^\s+|\s+$", "")) > 0, F.lit(False))
+    filled = lambda v: F.coalesce(~edges.is_blank(text(v)), F.lit(False))
     chosen = F.when(_is(field("selected_functions"), "ARRAY"), F.try_variant_get(task, "$.selected_functions", "array<string>"))
     updates = F.when(_is(field("reasoning_update"), "OBJECT"), F.try_variant_get(task, "$.reasoning_update", "map<string,variant>"))
     each = F.forall(chosen, lambda f: filled(F.try_element_at(updates, f)))

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace("WHITE", text.WHITE)
         return f
 
     return add
@@ -123,7 +123,7 @@ def touching_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("commit_no").alias("doc_id"), F.col("commit_metadata.author_name").alias("author_name"), F.col("commit_metadata.commit_hash").alias("commit_hash"))
 
 
-_STRIP = r"regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+_STRIP = r"regexp_replace(text, '^WHITE+|WHITE+$', '', 'g')"
 
 
 @query(f"SELECT doc_id, n::INT AS n FROM (SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE len(string_split(s, chr(10))) END AS n FROM (SELECT doc_id, {_STRIP} AS s FROM documents WHERE text <> '')) WHERE n BETWEEN 5 AND 30")
@@ -131,12 +131,12 @@ def line_count_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(text.in_line_range(F.col("text"))).select("doc_id", text.line_count(F.col("text")).alias("n"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') <> ''))::INT AS n FROM documents")
+@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^WHITE+|WHITE+$', '', 'g') <> ''))::INT AS n FROM documents")
 def nonempty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.nonempty_line_count(F.col("text")).alias("n"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), lambda x: starts_with(x, 'import ') OR starts_with(x, 'from ') OR starts_with(x, 'use ') OR starts_with(x, '#include')), chr(10)) AS imports FROM documents")
+@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^WHITE+|WHITE+$', '', 'g')), lambda x: starts_with(x, 'import ') OR starts_with(x, 'from ') OR starts_with(x, 'use ') OR starts_with(x, '#include')), chr(10)) AS imports FROM documents")
 def import_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.import_lines(F.col("text")).alias("imports"))
 
@@ -149,12 +149,21 @@ def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), s AS (SELECT doc_id, l, len(l) AS n, len(l) // 3 AS a, 2 * len(l) // 3 AS b FROM t WHERE len(l) >= 5)
 SELECT doc_id, array_to_string(l[1:a], chr(10)) AS prefix, array_to_string(l[a + 1:b], chr(10)) AS middle, array_to_string(l[b + 1:n], chr(10)) AS suffix FROM s
-WHERE regexp_replace(array_to_string(l[a + 1:b], chr(10)), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') <> ''""")
+WHERE regexp_replace(array_to_string(l[a + 1:b], chr(10)), '^WHITE+|WHITE+$', '', 'g') <> ''""")
 def mask_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.middle_third(F.col("text")).alias("m")).where("m is not null").select("doc_id", "m.*")
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, string_split(regexp_replace(html, '([{}])', '\1' || chr(10), 'g'), chr(10)) AS l FROM pages WHERE html IS NOT NULL),
+x AS (SELECT page_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM t),
+b AS (SELECT page_id, i, unnest(regexp_extract_all(line, '[{}]')) AS c, generate_subscripts(regexp_extract_all(line, '[{}]'), 1) AS j FROM x),
+d AS (SELECT *, row_number() OVER w AS o, sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS depth FROM b WINDOW w AS (PARTITION BY page_id ORDER BY i, j)),
+p AS (SELECT page_id, c, i, o, lead(i) OVER w AS close, row_number() OVER w AS k FROM d WHERE c = '{' AND depth = 1 OR c = '}' AND depth = 0 WINDOW w AS (PARTITION BY page_id ORDER BY o)),
+f AS (SELECT page_id, i AS a, close AS z FROM p WHERE c = '{' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY o) = 1),
+s AS (SELECT page_id, l, len(l) AS n, a, z, len(l) // 3 AS u, 2 * len(l) // 3 AS v FROM t LEFT JOIN f USING (page_id)),
+m AS (SELECT *, coalesce(z > a + 1 AND regexp_replace(array_to_string(l[a + 1:z - 1], chr(10)), 'WHITE', '', 'g') <> '', false) AS block FROM s)
+SELECT page_id, array_to_string(CASE WHEN block THEN l[1:a] ELSE l[1:u] END, chr(10)) AS prefix, array_to_string(CASE WHEN block THEN l[a + 1:z - 1] ELSE l[u + 1:v] END, chr(10)) AS middle,
+  array_to_string(CASE WHEN block THEN l[z:n] ELSE l[v + 1:n] END, chr(10)) AS suffix FROM m WHERE block OR n >= 5 AND regexp_replace(array_to_string(l[u + 1:v], chr(10)), 'WHITE', '', 'g') <> ''""")
 def mask_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", text.mask_span(F.regexp_replace("html", "([{}])", "$1\n")).alias("m"))
     return p.where("m is not null").select("page_id", "m.*")
@@ -162,7 +171,7 @@ def mask_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPLIT = r"""t AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents), s AS (SELECT *, len(l) AS n, floor(len(l) * 0.4)::BIGINT AS lo, floor(len(l) * 0.6)::BIGINT AS hi FROM t),
 p AS (SELECT *, lo + (('0x' || substr(md5('split' || doc_id::VARCHAR), 1, 8))::BIGINT % (hi - lo + 1)) AS cut FROM s), c AS (SELECT *, array_to_string(l[1:cut], chr(10)) AS given, array_to_string(l[cut + 1:n], chr(10)) AS rest FROM p)"""
-_FILLED = r"regexp_replace({0}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') <> ''"
+_FILLED = r"regexp_replace({0}, '^WHITE+|WHITE+$', '', 'g') <> ''"
 
 
 @query(f"WITH {_SPLIT} SELECT doc_id, given AS input, rest AS output FROM c WHERE cut >= 1 AND cut < n - 1 AND {_FILLED.format('given')} AND {_FILLED.format('rest')}")
@@ -197,21 +206,32 @@ def import_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins and aggregates --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, coalesce(quality, -1)::INT AS quality, coalesce(toxic, 0)::INT AS toxic, CASE WHEN quality IS NULL THEN 'No reasoning provided.' ELSE 'labelled' END AS reasoning FROM documents LEFT JOIN labels USING (doc_id)")
+@query("""SELECT coalesce(source, '-') AS repo, doc_id::VARCHAR AS ast_id, CASE WHEN quality IS NULL THEN 'No reasoning provided.' ELSE 'quality ' || quality::VARCHAR END AS reasoning,
+CASE WHEN toxic IS NULL THEN [] ELSE ['t' || toxic::VARCHAR, 'q' || quality::VARCHAR] END AS retrieved_labels, sha256(text) AS digest FROM documents LEFT JOIN labels USING (doc_id) WHERE text <> ''""")
 def left_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("int").alias("toxic"), F.when(F.col("quality").isNull(), edits.NO_REASONING).otherwise("labelled").alias("reasoning"))
-
-
-@query("""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, unnest(roles) AS role, generate_subscripts(roles, 1) AS pos FROM c), w(role, note) AS (VALUES ('user', 'asks'), ('assistant', 'answers'))
-SELECT conv_id, string_agg('<|selected|>' || e.role || coalesce('<|context|>' || note || '<|context_end|>', '') || '<|selection_end|>', '' ORDER BY pos) AS work FROM e LEFT JOIN w ON e.role = w.role GROUP BY conv_id""")
+    """Documents as new items, their labels as reasoning and as retrieval labels, attached where there are any."""
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("-")).alias("repo"), F.lit(1).alias("commit_no"), F.col("doc_id").cast("string").alias("id"), F.lit("added").alias("status"), F.lit(None).cast("string").alias("before_code"), F.col("text").alias("after_code"), F.lit("f").alias("file"), F.lit("k").alias("kind"))
+    d = d.withColumn("commit_metadata", F.lit(None).cast("struct<author_name:string,author_email:string,commit_date:string,commit_message:string,commit_hash:string>"))
+    known = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("-")).alias("repo")), "doc_id").select("repo", F.lit(1).alias("commit_no"), F.col("doc_id").cast("string").alias("function_id"), "quality", "toxic")
+    hops = F.create_map(F.lit("0"), F.array(F.concat(F.lit("t"), "toxic")), F.lit("1"), F.array(F.concat(F.lit("q"), "quality")))
+    labels = edits.retrieval_labels(known.withColumn("hops", hops))
+    found = edits.edit_sequences(d, known.withColumn("reasoning", F.concat(F.lit("quality "), "quality")), labels)
+    return found.select("repo", "ast_id", "reasoning", "retrieved_labels", F.sha2(F.array_join(F.transform("edit_sequence", lambda e: e["span_after"]), ""), 256).alias("digest"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, unnest(roles) AS role, generate_subscripts(roles, 1) AS pos FROM c),
+w AS (SELECT role, 'turn ' || min(turn)::VARCHAR AS diff FROM conversations WHERE role <> 'system' GROUP BY role),
+b AS (SELECT conv_id, string_agg('<|selected|>' || e.role || chr(10) || coalesce('<|context|>' || diff || '<|context_end|>' || chr(10), '') || '<|reasoning|>plan' || chr(10) || 'why ' || e.role || '<|reasoning_end|>' || chr(10) || coalesce('<|action|>edit' || chr(10) || diff || chr(10), '') || '<|selection_end|>' || chr(10), '' ORDER BY pos) AS work,
+  string_agg(e.role, '<|select|>' ORDER BY pos) AS chosen FROM e LEFT JOIN w ON e.role = w.role GROUP BY conv_id)
+SELECT 'c' || conv_id::VARCHAR AS commit_id, '<|im_start|>selector' || chr(10) || '<|reasoning|>analysis' || chr(10) || 'as told<|reasoning_end|>' || chr(10) || '<|select|>' || chosen || '<|im_end|>' || chr(10) || '<|im_start|>worker' || chr(10) || work || '<|im_end|>' AS output FROM b""")
 def explode_recollect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per task with its selected functions' blocks in order."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]).alias("roles"))
-    notes = spark.createDataFrame([("user", "asks"), ("assistant", "answers")], "role string, note string")
-    each = c.select("conv_id", F.posexplode("roles").alias("pos", "role")).join(F.broadcast(notes), "role", "left")
-    block = F.concat(F.lit("<|selected|>"), "role", F.coalesce(F.concat(F.lit("<|context|>"), "note", F.lit("<|context_end|>")), F.lit("")), F.lit("<|selection_end|>"))
-    return each.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda s: s["b"]), "").alias("work"))
+    """Conversations as tasks that select their turns' roles; a role's diff is the turn in which it is first met."""
+    c = table(spark, sf_dir, "conversations")
+    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"])
+    tasks = c.groupBy("conv_id").agg(roles.alias("selected_functions")).select(F.lit("r").alias("repo"), F.lit(1).alias("commit_no"), F.concat(F.lit("c"), "conv_id").alias("commit_hash"), F.col("conv_id").alias("task_no"), F.lit("do").alias("task"), F.lit("as told").alias("reasoning_selection"), "selected_functions")
+    why = F.map_from_arrays(F.array_distinct("selected_functions"), F.transform(F.array_distinct("selected_functions"), lambda r: F.concat(F.lit("why "), r)))
+    diffs = c.where("role <> 'system'").groupBy(F.col("role").alias("id")).agg(F.concat(F.lit("turn "), F.min("turn")).alias("diff_string")).select(F.lit("r").alias("repo"), F.lit(1).alias("commit_no"), "id", "diff_string")
+    return dataset.task_rows(tasks.withColumn("reasoning_update", why), diffs).select("commit_id", "output")
 
 
 @query("SELECT conv_id, role, turn, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn))::INT AS step, (count(*) OVER (PARTITION BY conv_id, role))::INT AS total_steps FROM conversations")
@@ -385,7 +405,9 @@ def task_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, list(x ORDER BY i) AS lines FROM (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id, x) GROUP BY doc_id")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_distinct(text.lines(F.col("text"))).alias("lines"))
+    """The lines of a document as the tasks that an answer about a long diff lists."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.lit("r").alias("repo"), F.col("doc_id").alias("commit_no"), F.lit("h").alias("commit_hash"), F.lit(0).alias("chunk_no"), F.lit(True).alias("chunked"), F.to_json(F.struct(text.lines(F.col("text")).alias("tasks"))).alias("completion"))
+    return completion.parse_tasks(d).select(F.col("commit_no").alias("doc_id"), F.col("tasks").alias("lines"))
 
 
 # --- related elements ------------------------------------------------------------------------------------------------------------
@@ -534,11 +556,14 @@ half AS (SELECT n, n // 2 AS first, n - n // 2 AS second FROM n), cap AS (SELECT
 SELECT (chunk_no - gone)::BIGINT AS slot, list(round(y, 4) + 0.0 ORDER BY d) AS rep FROM m, g WHERE chunk_no >= gone GROUP BY ALL""")
 def memory_append_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors in two appends to a store that holds three quarters of them."""
-    v = _vectors(spark, sf_dir)
-    tokens = v.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("vec_id")) - 1).select(F.lit(0).alias("head"), "pos", F.col("embedding").alias("key"), F.col("embedding").alias("val"))
+    v = _vectors(spark, sf_dir).withColumn("range", F.floor(F.col("vec_id") / 1000))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a count for each thousand ids, not over rows
+    sizes = v.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    pos = F.row_number().over(Window.partitionBy("range").orderBy("vec_id")) - 1 + F.col("before")
+    tokens = v.join(sizes, "range").select(F.lit(0).alias("head"), pos.alias("pos"), F.col("embedding").alias("key"), F.col("embedding").alias("val"))
     n = v.count() // 4
     config = memory.StoreConfig(memory_size=(n * 3) // 4 * 4)
-    chunks = memory.chunk(tokens, config)
+    chunks = storage.checkpoint(memory.chunk(tokens, config))
     first, second = chunks.where(F.col("chunk_no") < n // 2), chunks.where(F.col("chunk_no") >= n // 2).withColumn("chunk_no", F.col("chunk_no") - n // 2)
     store = memory.append(memory.append(None, first, config), second, config)
     return store.select("slot", F.transform("rep", lambda x: F.round(x, 4) + F.lit(0.0)).alias("rep"))
@@ -565,11 +590,12 @@ def gated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", *rounded, (F.round(F.get(memory.fuse(logits, sources), F.lit(0)), 4) + F.lit(0.0)).alias("fused"))
 
 
-@query("""WITH g AS (SELECT l, r FROM range(1, 49) t(l), (SELECT unnest([NULL, 1, 2, 6, 12, 36]) AS r)), n AS (SELECT l, r, CASE WHEN r IS NULL THEN greatest(1, l // 6) ELSE least(r, l) END AS k FROM g)
-SELECT l::INT AS layers, r::INT AS wanted, list_transform(range(k), lambda i: (i * l // k)::INT) AS retrieving FROM n""")
+@query("""WITH g AS (SELECT p_partkey, p_size AS l, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 41 + 1 END AS r FROM part), n AS (SELECT *, CASE WHEN r IS NULL THEN greatest(1, l // 6) ELSE least(r, l) END AS k FROM g)
+SELECT p_partkey, list_transform(range(k), lambda i: (i * l // k)::INT) AS retrieving FROM n""")
 def retrieval_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(1, 49).select(F.col("id").cast("int").alias("layers"), F.explode(F.array(F.lit(None).cast("int"), *[F.lit(x) for x in (1, 2, 6, 12, 36)])).alias("wanted"))
-    return grid.select("layers", "wanted", memory.retrieval_layers(F.col("layers"), F.col("wanted")).alias("retrieving"))
+    """Parts as models: as many layers as the part's size, some of which are to retrieve; every fourth leaves the number open."""
+    wanted = F.when(F.col("p_partkey") % 4 > 0, F.col("p_partkey") % 41 + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", memory.retrieval_layers(F.col("p_size"), wanted).alias("retrieving"))
 
 
 @query("""WITH RECURSIVE t AS (SELECT vec_id, vec_id // 100 AS call, (row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1) // 4 AS chunk, embedding::DOUBLE[] AS x FROM embeddings),
@@ -602,10 +628,11 @@ def memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.stats(_store(spark, sf_dir))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), m AS (SELECT vec_id, [[CASE WHEN i = j THEN 0.9 ELSE 0 END + 0.1 * (x[i] * x[16 + j] + x[4 + i] * x[20 + j] + x[8 + i] * x[24 + j] + x[12 + i] * x[28 + j]) / 4 FOR j IN range(1, 5)] FOR i IN range(1, 5)] AS m FROM e)
+SELECT vec_id, [[round(v / sqrt(list_sum([w * w FOR w IN r])), 4) + 0.0 FOR v IN r] FOR r IN m] AS state FROM m""")
 def recurrent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One update of a four by four state by each vector's sixteen numbers as four positions."""
     v = _vectors(spark, sf_dir)
     rows = lambda at: F.array(*[F.slice("embedding", at + 4 * i, 4) for i in range(4)])
     eye = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(4)]) for i in range(4)])
-    return v.select("vec_id", memory.update_state(eye, rows(1), rows(17)).alias("state"))
+    return v.select("vec_id", F.transform(memory.update_state(eye, rows(1), rows(17)), lambda r: F.transform(r, lambda x: F.round(x, 4) + F.lit(0.0))).alias("state"))
