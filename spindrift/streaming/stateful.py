@@ -9,9 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.memory import evicted
+from ..operators.snapshot import neighbours
 
 
 def fifo_store(chunks: DataFrame, max_chunks: int) -> DataFrame:
@@ -54,25 +56,91 @@ def decayed_state(sequences: DataFrame, width: int, decay: float = 0.9) -> DataF
     return read.groupBy("key").applyInPandasWithState(run, "key string, seq bigint, state array<array<double>>", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def commit_diffs(items: DataFrame) -> DataFrame:
-    """Changes against the commit before, over a stream of items (repo, commit_no, id, code) that arrive commit by commit.
-
-    The state of a repository is the digest of every item of its last commit, so its size follows the repository, not its history; a batch
-    holds whole commits. A repository's first commit gives nothing.
+#: Groups that the ids of a repository are dealt into, each with a state of its own.
+BUCKETS = 16
+_STATUS = "repo string, commit_no int, id string, status string"
+
+
+class _Commits(StatefulProcessor):
+    """The digests of the last commit's items, an entry each, and the commits that wait for their predecessor, by its number."""
+
+    def __init__(self, patience: float | None):
+        self.patience = patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "commit_no int")
+        self.items = handle.getMapState("items", "id string", "digest bigint")
+        self.waiting = handle.getMapState("waiting", "prev_no int", "commit_no int, ids array<string>, digests array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for r in frame.itertuples():
+                before = NONE if pd.isna(r.prev_no) else int(r.prev_no)
+                self.waiting.updateValue((before,), (int(r.commit_no), [str(i) for i in r.ids], [int(d) for d in r.digests]))
+        yield from self._settle(key[0])
+        if self.patience is not None and any(True for _ in self.waiting.keys()) and not list(self.handle.listTimers()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = {no: c for (no,), c in self.waiting.iterator()}
+        if waiting:  # the predecessor is given up: the earliest that waits follows what came last
+            before = min(waiting, key=lambda no: waiting[no][0])
+            commit = waiting[before]
+            self.waiting.removeKey((before,))
+            self.waiting.updateValue((self._at(),), tuple(commit))
+            yield from self._settle(key[0])
+        if any(True for _ in self.waiting.keys()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
+
+    def _at(self) -> int:
+        return self.last.get()[0] if self.last.exists() else NONE
+
+    def _settle(self, repo: str) -> Iterator[pd.DataFrame]:
+        """What the commits changed whose turn it is; each entry of the state that differs is written, no other."""
+        while self.waiting.containsKey((self._at(),)):
+            at = self._at()
+            no, ids, digests = self.waiting.getValue((at,))
+            self.waiting.removeKey((at,))
+            now, held = dict(zip(ids, digests, strict=True)), {i: d for (i,), (d,) in self.items.iterator()}
+            out = [(i, "modified" if i in held else "added") for i, d in now.items() if held.get(i) != d] + [(i, "removed") for i in held if i not in now]
+            for i, status in out:
+                if status == "removed":
+                    self.items.removeKey((i,))
+                else:
+                    self.items.updateValue((i,), (now[i],))
+            self.last.update((no,))
+            if at != NONE and out:
+                yield pd.DataFrame({"repo": repo, "commit_no": no, "id": [i for i, _ in out], "status": [s for _, s in out]})
+
+    def close(self) -> None:
+        pass
+
+
+#: The predecessor's number of a first commit.
+NONE = -1
+
+
+def commit_diffs(commits: DataFrame, buckets: int = BUCKETS, patience: float | None = None) -> DataFrame:
+    """repo, commit_no, id, status: changes against the commit before, over a stream of commits (repo, commit_no, prev_no, items) that
+    may come in any order.
+
+    items are all of a commit (id, code); a repository's first commit has a null prev_no and gives nothing. A commit waits in the state
+    until the one before it has been taken, with patience for so many seconds: then it follows what came last. The state is kept by
+    repository and bucket of ids, an entry per item, so a commit writes what it changes. A commit that comes again is taken once, if
+    its predecessor isn't expected any more it waits. Call store.use_rocksdb before the stream starts.
     """
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames)
-        last: dict[str, int] | None = json.loads(state.get[0]) if state.exists else None
-        out = []
-        for no, commit in rows.groupby("commit_no", sort=True):
-            now = dict(zip(commit["id"], (int(x) for x in commit["digest"]), strict=True))
-            if last is not None:
-                out += [(key[0], no, i, "added" if i not in last else "modified") for i, d in now.items() if last.get(i) != d]
-                out += [(key[0], no, i, "removed") for i in last if i not in now]
-            last = now
-        state.update((json.dumps(last),))
-        yield pd.DataFrame(out, columns=["repo", "commit_no", "id", "status"])
-
-    read = items.select("repo", "commit_no", "id", F.xxhash64("code").alias("digest"))
-    return read.groupBy("repo").applyInPandasWithState(run, "repo string, commit_no int, id string, status string", "digests string", "append", GroupStateTimeout.NoTimeout)
+    bucket = lambda i: F.pmod(F.xxhash64(i), F.lit(buckets)).cast("int")
+    dealt = commits.select("repo", "commit_no", "prev_no", "items", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    own = dealt.withColumn("items", F.filter("items", lambda x: bucket(x["id"]) == F.col("bucket")))
+    rows = own.select("repo", "bucket", "commit_no", "prev_no", F.transform("items", lambda x: x["id"]).alias("ids"), F.transform("items", lambda x: F.xxhash64(x["code"])).alias("digests"))
+    mode = "none" if patience is None else "processingTime"
+    return rows.groupBy("repo", "bucket").transformWithStateInPandas(_Commits(patience), _STATUS, "Append", mode)
+
+
+def as_commits(items: DataFrame, commits: DataFrame | None = None) -> DataFrame:
+    """repo, commit_no, prev_no, items: a table of items (repo, commit_no, id, code) as commits, also those without items."""
+    held = items.groupBy("repo", "commit_no").agg(F.collect_list(F.struct("id", "code")).alias("items"))
+    near = neighbours(commits if commits is not None else items).drop("next_no")
+    none = F.array().cast(held.schema["items"].dataType)
+    return near.join(held, ["repo", "commit_no"], "left").select("repo", F.col("commit_no").cast("int").alias("commit_no"), F.col("prev_no").cast("int").alias("prev_no"), F.coalesce("items", none).alias("items"))
