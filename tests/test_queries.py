@@ -1,6 +1,7 @@
 import pytest
 from conftest import SMALL, same_as_sql
 
+from spindrift.plans import stage_queries  # noqa: F401 - adds its queries
 from spindrift.plans.queries import QUERIES, SQL
 
 
