@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -12,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint as checkpoint
+from ..storage import shared_dir as shared_dir
+
 #: ASCII white space as the contracts name it; a word is a maximal run of anything else.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of letters, digits and everything beyond ASCII, after lower-casing A-Z.
@@ -21,24 +21,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    own = tempfile.mkdtemp(prefix="spindrift-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a copy in the shared folder, from which any executor can read after another is lost."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -63,19 +63,22 @@ def ranked(keys: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.ndar
     return keys[np.lexsort((keys, -counts))[:most]]
 
 
-def learn_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int = SAMPLE, most: int = PROFILE) -> dict[str, np.ndarray]:
+def learn_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", key: str | None = None, per_lang: int = SAMPLE, most: int = PROFILE) -> dict[str, np.ndarray]:
     """The n-grams of each language by rank. docs: the labelled rows to learn from; rows with a null label or text are left out.
 
-    About per_lang rows of each language, drawn by a hash of the text, are counted. Ties in frequency go by the n-gram.
+    About per_lang rows of each language, drawn by a hash of the text and the key (an id column; without one, of the text alone), are
+    counted, so copies of a text are drawn one by one and a language of nothing but copies is learnt as well. Ties in frequency go by
+    the n-gram.
     """
-    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in docs.select(F.col(f"`{lang}`").alias("lang")).where("lang is not null").groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
+    own = F.col(f"`{key}`").cast("string") if key else F.lit(None).cast("string")
+    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), own.alias("id")).where("lang is not null and text is not null")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not sizes:
         return {}
     share = F.broadcast(rows.sparkSession.createDataFrame([(k, per_lang / n) for k, n in sizes.items()], "lang string, share double"))
-    picked = rows.join(share, "lang").where((F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < F.col("share")).select("lang", "text")
+    picked = rows.join(share, "lang").where((F.xxhash64("text", "id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}

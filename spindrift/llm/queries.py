@@ -20,7 +20,7 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-    profiles = langid.learn_profiles(docs.where(common.crc_rem("doc_id", 5) != 0))
+    profiles = langid.learn_profiles(docs.where(common.crc_rem("doc_id", 5) != 0), key="doc_id")
     found = langid.predict(docs.select("doc_id", "text"), profiles, keep_text=False)
     return found.select("doc_id", F.coalesce(common.crc_rem("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

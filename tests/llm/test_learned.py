@@ -51,6 +51,34 @@ def test_language_of_rows(spark):
     assert langid.learn_profiles(d.where("false")) == {} and langid.predict(d.where("false"), {}).count() == 0
 
 
+def test_profiles_equal_plain_counting(spark):
+    rows = [(i, "de" if i % 3 else "en", f"Wort{i % 7} und der Hund {i} läuft" if i % 3 else f"the dog {i % 5} runs") for i in range(60)]
+    got = langid.learn_profiles(spark.createDataFrame(rows, "doc_id long, lang string, text string"), key="doc_id")
+    for lang in ("de", "en"):
+        n: dict = {}
+        for _, k, t in rows:
+            if k == lang:
+                letters = "".join(c.lower() if c.isalpha() else " " for c in t)
+                padded = " " + " ".join(letters.split()) + " " if letters[:1] == " " or letters[-1:] == " " else " " + " ".join(letters.split()) + " "
+                for size in (1, 2, 3):
+                    for at in range(len(padded) - size + 1):
+                        g = padded[at : at + size]
+                        if g.strip():
+                            n[g] = n.get(g, 0) + 1
+        pack = lambda g: sum(ord(c) * (c != " ") << 21 * (len(g) - 1 - i) for i, c in enumerate(g)) | (1 << 63 if len(g) == 2 else 0)
+        want = sorted(((-v, pack(g)) for g, v in n.items()))[: langid.PROFILE]
+        assert sorted(int(x) for x in got[lang]) == sorted(p for _, p in want)
+
+
+def test_languages_of_copies_are_learnt(spark):
+    rows = spark.range(12_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'xx', 'yy') as lang", "if(id % 2 = 0, 'immer derselbe satz', concat('another sentence ', id)) as text")
+    hot = spark.range(6000).selectExpr("id + 20000 as doc_id", "'zz' as lang", "if(id < 5990, 'toujours la même phrase', concat('autre phrase ', id)) as text")
+    got = langid.learn_profiles(rows.unionByName(hot), key="doc_id", per_lang=100)
+    assert set(got) == {"xx", "yy", "zz"} and all(len(v) for v in got.values())
+    p = langid.Profiles(got)
+    assert [p.predict(t)[0] for t in ("derselbe satz", "another sentence", "la même phrase")] == ["xx", "yy", "zz"]
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op1_language_id"](spark, SMALL).join(docs, "doc_id").where("held_out").collect()
