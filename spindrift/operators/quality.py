@@ -70,3 +70,18 @@ def outputs_per_stage(outputs: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("stage", "repo", "n")
+
+
+def run_status(commits: DataFrame, ready: DataFrame, before: DataFrame, rows: DataFrame, broken: Column) -> DataFrame:
+    """repo, commit_no, status, reason, rows of a stage's run over commits.
+
+    skipped: what the stage reads is not there (not among the ready), or it was done before; error: a row of the commit is broken;
+    success: all others, with as many rows as they gave, maybe none.
+    """
+    keys = ["repo", "commit_no"]
+    mark = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("bad"))
+    out = commits.select(*keys).distinct().join(mark(ready, "ready"), keys, "left").join(mark(before, "before"), keys, "left").join(n, keys, "left")
+    reason = F.when(F.col("ready").isNull(), "nothing to read").when(F.col("before").isNotNull(), "done before").when(F.col("bad") > 0, F.concat(F.col("bad"), F.lit(" broken rows")))
+    status = F.when(F.col("ready").isNull() | F.col("before").isNotNull(), "skipped").when(F.col("bad") > 0, "error").otherwise("success")
+    return out.select(*keys, status.alias("status"), reason.alias("reason"), F.when(status == "success", F.coalesce("n", F.lit(0))).otherwise(0).alias("rows"))

@@ -93,7 +93,13 @@ def ast_diffs(ws: Workspace, force: bool = False) -> int:
 
 
 def unified(ws: Workspace, force: bool = False) -> int:
-    return ws.write("unified_diffs", edits.unified_diffs(ws.read("ast_diffs")), ws.read("ast_diffs.done"), force)
+    """Besides the diffs, unified_diffs.status says for each commit what became of it in this run."""
+    ready = ws.read("ast_diffs.done").select(*COMMIT)
+    before = storage.checkpoint(ws.read("unified_diffs.done").select(*COMMIT)) if ws.has("unified_diffs.done") and not force else ready.limit(0)
+    n = ws.write("unified_diffs", edits.unified_diffs(ws.read("ast_diffs")), ready, force)
+    status = quality.run_status(ws.read("commits"), ready, before, ws.read("unified_diffs"), F.col("diff_string").isNull())
+    status.write.mode("overwrite").parquet(f"{ws.base}/unified_diffs.status")
+    return n
 
 
 def edit_sequences(ws: Workspace, force: bool = False) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import completion, dataset, edits, snapshot
+from ..operators import completion, dataset, edits, quality, snapshot
 from ..sources import documents as sink
 from ..sources import files
 from ..streaming import stateful, store
@@ -171,3 +171,13 @@ def dataset_of_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = p.select("repo", "commit_no", F.when(F.col("p_partkey") % 3 == 0, F.when(F.col("p_partkey") % 2 == 0, "fim")).otherwise("unknown").alias("task_type"), F.col("id").alias("ast_id"), F.lit("f").alias("file"), F.lit("k").alias("kind"), F.array(F.lit("use a;")).alias("imports"), F.substring("p_name", 1, 2).alias("prefix"), F.substring("p_name", 3, 4).alias("middle"), F.lit("").alias("suffix"), F.lit("").alias("input"), F.lit("").alias("output"))
     rows = dataset.build_dataset(part_commits(spark, sf_dir), enhanced, code, p.select("repo", "commit_no", "id", F.col("p_name").alias("diff_string")))
     return rows.select("task_type", "commit_id", "commit_no", F.sha2("output", 256).alias("digest"))
+
+
+@q.query("""WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_quantity > 49) AS bad FROM lineitem GROUP BY ALL), o AS (SELECT *, o_orderkey % 4 <> 1 AS ready, o_orderstatus = 'F' AS before FROM orders)
+SELECT o_orderpriority AS repo, o_orderkey AS commit_no, CASE WHEN NOT ready OR before THEN 'skipped' WHEN bad > 0 THEN 'error' ELSE 'success' END AS status,
+CASE WHEN NOT ready THEN 'nothing to read' WHEN before THEN 'done before' WHEN bad > 0 THEN bad || ' broken rows' END AS reason, CASE WHEN ready AND NOT before AND coalesce(bad, 0) = 0 THEN coalesce(n, 0) ELSE 0 END AS rows FROM o LEFT JOIN l ON l_orderkey = o_orderkey""")
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits, their lines as rows: some orders have nothing to read, some are done, and a large quantity breaks a row."""
+    o = q.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("commit_no"), "o_orderstatus")
+    rows = q.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_no"), "l_quantity").join(o, "commit_no")
+    return quality.run_status(o, o.where("commit_no % 4 <> 1"), o.where("o_orderstatus = 'F'"), rows, F.col("l_quantity") > 49)

@@ -122,7 +122,11 @@ def test_pipeline_from_git_to_dataset(spark, repos, tmp_path):
     assert done["ingest"] == 3 and done["ast_diffs"] == 2
     diffs = {(r.commit_no, r.id): r.status for r in ws.read("ast_diffs").collect()}
     assert diffs == {(2, "a.rs::function::f"): "modified", (2, "a.rs::function::g"): "added", (3, "a.rs::function::f"): "removed"}
+    status = lambda: {r.commit_no: (r.status, r.rows) for r in spark.read.parquet(f"{ws.base}/unified_diffs.status").collect()}
+    assert status() == {1: ("skipped", 0), 2: ("success", 2), 3: ("success", 1)}
     assert pipeline.run(ws, skip=["dataset", "enhanced_tasks"])["ast_diffs"] == 0  # nothing is done twice
+    assert status() == {1: ("skipped", 0), 2: ("skipped", 0), 3: ("skipped", 0)}
+    assert sorted(p.name for p in (tmp_path / "ws/documents/demo/commit_2").iterdir()) == ["ast.jsonl", "commit_data.json", "diff_ast.jsonl", "edit_sequence_dataset.json", "edit_sequence_template.txt", "fim_dataset.json", "unified_diffs.jsonl"]
     assert ws.read("ast_diffs").count() == 3
     assert done["tasks"] == 0 and ws.read("tasks").count() == 0  # nobody was asked, so nothing is done
     from spindrift.operators import completion
