@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text, textdiff, untyped
-from ..operators import chunking, codetasks, completion, dataset, edits, fim, memory, quality, related, snapshot
+from ..operators import chunking, codetasks, completion, dataset, edits, fim, linematch, memory, quality, related, snapshot
 from ..sources import documents, files
 from ..streaming import store as stream_store
 
@@ -465,8 +465,10 @@ def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed lines of either text, by blocks of equal lines."""
     d = document_diffs(spark, sf_dir).where("code_changed")
-    return d.select("repo", "commit_no", textdiff.changed_lines("before_code", "after_code").alias("c")).select("repo", "commit_no", "c.*")
+    key = F.struct("repo", "commit_no").alias("key")
+    return linematch.changed_lines(d.select(key, F.col("before_code").alias("before"), F.col("after_code").alias("after"))).select("key.*", "before", "after")
 
 
 @query()
