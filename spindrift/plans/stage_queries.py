@@ -181,3 +181,22 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = q.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("commit_no"), "o_orderstatus")
     rows = q.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_no"), "l_quantity").join(o, "commit_no")
     return quality.run_status(o, o.where("commit_no % 4 <> 1"), o.where("o_orderstatus = 'F'"), rows, F.col("l_quantity") > 49)
+
+
+_KIND = "doc_id % 6"
+
+
+@q.query(f"""WITH d AS (SELECT doc_id, text, {_KIND} AS k FROM documents WHERE length(text) > 3)
+SELECT coalesce(source, '-') AS repo, d.doc_id::VARCHAR AS ast_id, k = 0 AS passed, CASE k WHEN 1 THEN 'the result is not the new code' WHEN 2 THEN 'a span was not found' WHEN 3 THEN 'the original is not the old code' WHEN 4 THEN 'not among the changes' WHEN 5 THEN 'an added item has an original' END AS reason
+FROM d JOIN documents USING (doc_id)""")
+def verify_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of documents, found by searching their spans: a sixth lead to the new text, the others fail in five ways."""
+    d = q.table(spark, sf_dir, "documents").where("length(text) > 3").withColumn("k", F.expr(_KIND))
+    own = [F.coalesce("source", F.lit("-")).alias("repo"), F.lit(1).alias("commit_no"), F.col("doc_id").cast("string").alias("id")]
+    head = F.left("text", F.lit(3))
+    new = F.concat(F.when(F.col("k") == 1, F.lit("YYYY")).otherwise(F.lit("ZZZ")), F.expr("substring(text, 4)"))
+    status = F.when(F.col("k") == 5, "added").otherwise("modified")
+    diffs = d.where("k <> 4").select(*own, status.alias("status"), F.when(F.col("k") == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("before_code"), new.alias("after_code"))
+    span = F.when(F.col("k") == 2, F.concat("text", F.lit("?"))).otherwise(head)
+    sequences = d.select(*own[:2], own[2].alias("ast_id"), F.col("text").alias("original_function"), F.array(F.struct(span.alias("span_before"), F.lit("ZZZ").alias("span_after"))).alias("edit_sequence"))
+    return edits.verify_edits(sequences, diffs, compat=True).select("repo", "ast_id", "passed", "reason")
