@@ -8,14 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as white space at the edge of a text (fixed values): ASCII's and Unicode's, separators of records among them.
+#: What counts as white space at the edge of a text (fixed values): ASCII's and Unicode's, separators of records among them. As a pattern
+#: for SQL, and as characters.
 WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-EDGE = f"^{WHITE}+|{WHITE}+$"
+WHITE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(c, EDGE, "")
+    """Without white space at either end; looks at the ends alone."""
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def is_blank(c: Column) -> Column:

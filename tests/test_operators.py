@@ -283,3 +283,9 @@ def test_recurrent_state(spark):
     assert np.allclose(got, want)
     read = df.select(memory.read_state(F.col("p"), F.col("m"), F.col("m"), F.array(*[F.array(F.lit(0.0), F.lit(0.0)) for _ in range(4)]), F.col("m")).alias("r")).first().r
     assert np.allclose(read, np.array([[1, 0], [0, 2]]) / 2)
+
+
+def test_strip_is_that_of_python(spark):
+    texts = [f"{chr(c)}x y{chr(c)}" for c in range(0x3100) if chr(c).isspace()] + ["", " \n\t ", "​x​", "a", None, "é 　"]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.strip(F.col("t")).alias("s")).collect()]
+    assert got == [t.strip() if t is not None else None for t in texts]
