@@ -33,6 +33,7 @@ class Forest:
         self.planes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, trees * bits))
         norms = np.linalg.norm(x, axis=1)
         self.norm = norms.max() * (1 + 1e-12)
+        self.rough = (x / self.norm).astype(np.float32)
         keys = self.strings(x / self.norm, np.sqrt(np.maximum(1 - (norms / self.norm) ** 2, 0)))
         self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys, self.order, 1)
@@ -61,6 +62,28 @@ class Forest:
         low = strings >> rest << rest
         return np.searchsorted(self.keys[tree], low), np.searchsorted(self.keys[tree], low + (np.uint64(1) << rest))
 
+    def _unseen(self, tree: int, who: np.ndarray, a: np.ndarray, b: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
+        """The pairs (query * rows + row) of these queries with the rows between a and b that weren't seen; marks them.
+
+        Queries of one node have the same rows: where many do, they are taken node by node.
+        """
+        n, out = len(self.x), []
+        if not len(who):
+            return out
+        who = who[np.lexsort((b[who], a[who]))]
+        starts = np.flatnonzero(np.r_[True, (a[who][1:] != a[who][:-1]) | (b[who][1:] != b[who][:-1])])
+        if 4 * len(starts) > len(who):
+            size = b[who] - a[who]
+            keys = np.repeat(who * n, size) + self.order[tree][np.repeat(a[who] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            out.append(keys[~seen[keys]])
+        else:
+            for own in np.split(who, starts[1:]):
+                keys = (own * n)[:, None] + self.order[tree][a[own[0]] : b[own[0]]]
+                out.append(keys[~seen[keys]])
+        for keys in out:
+            seen[keys] = True
+        return out
+
     def search(self, q: np.ndarray, most: int, miss: float = MISS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For runs of queries: the first one's number, then query (from there), row and inner product of the most nearest found."""
         for at in range(0, len(q), TOGETHER):
@@ -70,6 +93,8 @@ class Forest:
         n, norms = len(self.x), np.linalg.norm(q, axis=1)
         strings = self.strings(q / norms[:, None], np.zeros(len(q)))
         at, before = self.longest(strings), [None] * self.trees
+        # A first look in single precision, of vectors of length one at most, spares the exact product where it can't matter.
+        rough, slack = (q / norms[:, None]).astype(np.float32), 1e-6 * q.shape[1]
         seen, worst = np.zeros(len(q) * n, bool), np.full(len(q), -np.inf)
         best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         active = np.ones(len(q), bool)
@@ -81,13 +106,12 @@ class Forest:
                     was = before[t] or (low, low)  # empty so far
                     before[t] = low, high
                     for a, b in ((low, was[0]), (was[1], high)):
-                        size = np.where(active, b - a, 0)
-                        keys = np.repeat(np.arange(len(q)) * n, size) + self.order[t][np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                        fresh.append(keys[~seen[keys]])
-                        seen[fresh[-1]] = True
+                        fresh += self._unseen(t, np.flatnonzero(active & (b > a)), a, b, seen)
                 new, found = np.concatenate(fresh), [best]
                 for part in np.split(new, range(PAIRS, len(new), PAIRS)):
                     who, row = part // n, part % n
+                    near = np.einsum("ij,ij->i", rough[who], self.rough[row]) >= worst[who] / (norms[who] * self.norm) - slack
+                    who, row = who[near], row[near]
                     score = np.einsum("ij,ij->i", q[who], self.x[row])
                     keep = score >= worst[who]
                     found.append((who[keep], row[keep], score[keep]))
