@@ -3,6 +3,7 @@
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spindrift.llm import forest, hardneg, vectors, whiten
@@ -107,6 +108,25 @@ def test_negatives_equal_the_plain_search(spark, dim):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_negatives_with_bounds_from_the_first_rows(spark, monkeypatch):
+    x = points(900, 6, 5)
+    x[100:160] = x[100]
+    rows = [(i, v.tolist(), int(i * 7 % 11) % 3) for i, v in enumerate(x)]
+    anchors = [r for r in rows if r[0] % 25 == 0]
+    got = hardneg.mine(frame(spark, rows), frame(spark, anchors), shard=50, block=10, first=3).collect()
+    assert {tuple(r) for r in got} == plain_negatives(rows, [a[0] for a in anchors]) and len(got) == len({tuple(r) for r in got})
+    # A shard sends nothing below the bound, and candidates of one list leave the others alone.
+    best = hardneg._Best(np.array([7.0, -np.inf]), np.arange(10), 2)
+    best.add(np.array([1, 1, 1]), np.array([4, 3, 5]), np.array([1, 1, 0]))
+    assert [z.tolist() for z in best.found()] == [[1, 1], [3, 4], [1, 1]] and best.least.tolist() == [7.0, 1.0]
+
+
+def test_products_are_singles_only_if_exact():
+    column = lambda v: pa.chunked_array([pa.array([v], pa.list_(pa.float64()))])
+    assert hardneg.both_integers(column([15.0, 0.0]), column([16.0, 0.0]))[0].dtype == np.float32
+    assert hardneg.both_integers(column([16.0, 0.0]), column([16.0, 0.0]))[0].dtype == np.float64
+
+
 def test_negatives_odd_rows_and_empty_tables(spark):
     odd = [*ODD, (7, [1.0] * 4, None), (8, [1.0, 1.0], 0)]
     rows = [(1, [1.0] * 4, 0), (2, [1.0] * 4, 0), (3, [0.9] * 4, 5), (4, [2.0] * 4, 5), *odd]
