@@ -7,9 +7,9 @@ frequent words they stand among, so words never met have a class as well. Inside
 interpolated (Witten-Bell) with its spelling: the chance of each of its subword ids after the one before, and of its end. The probabilities of all
 words add up to one at most.
 
-Words, subword ids and spellings are counted over the whole training corpus. The network is trained in numpy on the executors, on the
-share ``SHARE`` of all windows of the training texts, another part of them in each round: every task improves the shared weights on
-its own windows, and the results are averaged by tokens after the round.
+Words, subword ids and spellings are counted over the whole training corpus. The network is trained in numpy on the executors, on all
+windows of the training texts, another part of them in each round: every task improves the shared weights on its own windows, and the
+results are averaged by tokens after the round.
 
 A text is scored in windows of ``WINDOW`` tokens that overlap: every token is predicted once, by the window that gives it most
 context. Windows of many texts go through the model together, with the causal mask. The subwords of a word are looked up once per
@@ -49,8 +49,8 @@ BEFORE = 512
 WINDOW, CONTEXT, WIDTH, HIDDEN = 32, 8, 16, 32
 #: Words sent to every task; a task's cache of words.
 FREQUENT, CACHE = 300_000, 450_000
-#: Share of the windows that the network is trained on, rounds that they are dealt to, windows to a training task.
-SHARE, ROUNDS, TASK_WINDOWS = 1 / 8, 4, 8192
+#: Rounds that all windows are dealt to, windows to a training task.
+ROUNDS, TASK_WINDOWS = 4, 8192
 #: Weight of the subword ids of all words beside those of a cluster's words.
 COMMON = 50.0
 _OTHER_SPACE = re.compile(r"[^\S ]")
@@ -547,8 +547,8 @@ def _groups(batches: Iterator[pa.RecordBatch], text: str, words: _Words, most: i
                 held, sizes, first, n = [], [], i + 1, 0
 
 
-def draw_windows(docs: DataFrame, text: str = "text", share: float = SHARE, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
-    """turn, words: the share of all windows of the texts, dealt to the rounds.
+def draw_windows(docs: DataFrame, text: str = "text", share: float = 1.0, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+    """turn, words: the windows of the texts, or a share of them, dealt to the rounds.
 
     words: the word before the window (none at the beginning of a text) and those in it, blanks between them; the end is an empty word.
     Draws go by the row's place in its partition, so copies of a text are drawn apart.
@@ -625,7 +625,7 @@ def count_shares(counts: DataFrame, classes: Classes, id_counts: np.ndarray) ->
     return Shares.make(*by_class, key[what == 2], n[what == 2], id_counts, classes.rows)
 
 
-def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rounds: int = ROUNDS, share: float = SHARE, seed: int = 0) -> Model:
+def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rounds: int = ROUNDS, share: float = 1.0, seed: int = 0) -> Model:
     """The model and the word counts of docs, all rows of which are training texts. An empty table gives a model that knows no word."""
     with open(vocabulary, "rb") as f:
         ranks = f.read()

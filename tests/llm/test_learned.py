@@ -285,6 +285,12 @@ def test_windows_are_drawn_whole(spark):
     assert lm.draw_windows(d.where("false")).count() == 0
 
 
+def test_the_network_learns_from_all_windows(spark):
+    words = [f"w{i}" for i in range(400)]
+    d = spark.createDataFrame([(" ".join(words[:n]),) for n in (400, 200, 5)], "text string")
+    assert lm.draw_windows(d).count() == sum(-(-(n + 1) // lm.WINDOW) for n in (400, 200, 5))
+
+
 def test_model_beats_the_word_counts(spark):
     got = QUERIES["op5_lm_scoring"](spark, "/root/testdata/sf0.1").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()
     assert len(got) == 2 and all(r.score > r.base for r in got)
