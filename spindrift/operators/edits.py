@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, textdiff
+from . import linematch
 
 NO_REASONING, NEW_CODE = "No reasoning provided.", "N/A (new code)"
 COMMIT = ["repo", "commit_no"]
@@ -25,6 +26,13 @@ def unified_diffs(diffs: DataFrame, simple: bool = True, separate_imports: bool
     return diffs.select(*COMMIT, "id", F.coalesce("file", F.lit("unknown")).alias("file"), "status", flag("imports_changed").alias("imports_changed"), flag("code_changed").alias("code_changed"), render(F.col("before_code"), F.col("after_code")).alias("diff_string"), imports.alias("imports_diff_string"))
 
 
+def _edit_places(before: Column, after: Column) -> Column:
+    """textdiff.edit_spans of two texts of which one at least isn't empty; the matcher gets none of those where one is."""
+    one = (before == "") | (after == "")
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.size(linematch.split_lines(before)).alias("n"), before.alias("span_before"), after.alias("span_after")))
+    return F.when(one, whole).otherwise(textdiff.edit_spans(F.when(~one, before), F.when(~one, after)))
+
+
 def edit_sequences(diffs: DataFrame, reasoning: DataFrame | None = None, labels: DataFrame | None = None, placed: bool = False) -> DataFrame:
     """One row per change with at least one edit, reasoning and labels attached where there are any.
 
@@ -34,7 +42,7 @@ def edit_sequences(diffs: DataFrame, reasoning: DataFrame | None = None, labels:
     before = F.when(F.col("status") == "added", "").otherwise(F.coalesce("before_code", F.lit("")))
     after = F.when(F.col("status") == "removed", "").otherwise(F.coalesce("after_code", F.lit("")))
     meta = lambda f: F.coalesce(F.col(f"commit_metadata.{f}"), F.lit(""))
-    rows = diffs.where((F.coalesce("id", F.lit("")) != "") & (before != after)).withColumn("b", before).withColumn("edit_places", textdiff.edit_spans(before, after)).where(F.size("edit_places") > 0)
+    rows = diffs.where((F.coalesce("id", F.lit("")) != "") & (before != after)).withColumns({"b": before, "a": after}).withColumn("edit_places", _edit_places(F.col("b"), F.col("a"))).where(F.size("edit_places") > 0)
     rows = rows.withColumn("function_id", F.col("id"))
     none = F.lit(None).cast("string")
     rows = rows.join(reasoning.select(*COMMIT, "function_id", "reasoning"), [*COMMIT, "function_id"], "left") if reasoning is not None else rows.withColumn("reasoning", none)
@@ -68,20 +76,27 @@ def verify_edits(sequences: DataFrame, diffs: DataFrame, compat: bool = False) -
     places in edit_places are used and every sequence that edit_sequences() made passes. Null codes are empty.
     """
     d = diffs.select(*COMMIT, F.col("id").alias("ast_id"), "status", F.coalesce("before_code", F.lit("")).alias("old"), F.coalesce("after_code", F.lit("")).alias("new"), F.lit(True).alias("found"))
-    rows = sequences.join(d, [*COMMIT, "ast_id"], "left")
+    d = d.select(*COMMIT, "ast_id", "status", _digest(F.col("old")).alias("old"), _digest(F.col("new")).alias("new"), F.col("new").alias("expected"), "found")
     own = F.when(F.col("original_function") == NEW_CODE, "").otherwise(F.col("original_function"))
     edits = F.col("edit_sequence")
     applied = text.apply_edits(own, edits) if compat else textdiff.apply_edit_places(own, F.col("edit_places"))
-    rows = rows.withColumn("rebuilt", F.when(F.col("status") != "added", applied))
-    one = (F.size(edits) == 1) & (F.element_at(edits, 1)["span_before"] == "")
+    one = (F.size(edits) == 1) & (F.get(edits, F.lit(0))["span_before"] == "")
+    # The texts are compared by their digests, so that they meet only where somebody looks at what was rebuilt and expected.
+    made = sequences.select(*COMMIT, "ast_id", (own != "").alias("has_own"), one.alias("one"), F.get(edits, F.lit(0))["span_after"].alias("added"), own.alias("own"), applied.alias("applied"))
+    made = made.select(*COMMIT, "ast_id", "has_own", "one", _digest(F.col("added")).alias("added"), _digest(F.col("own")).alias("own"), _digest(F.col("applied")).alias("result"), "applied")
+    rows = made.join(d, [*COMMIT, "ast_id"], "left")
     reason = (
         F.when(F.col("found").isNull(), "not among the changes")
-        .when(F.col("status") == "added", F.when(own != "", "an added item has an original").when(~one, "an added item needs one edit of an empty span").when(F.element_at(edits, 1)["span_after"] != F.col("new"), "the edit is not the new code"))
-        .when(own != F.col("old"), "the original is not the old code")
-        .when(F.col("rebuilt").isNull(), "a span was not found")
-        .when(F.col("rebuilt") != F.col("new"), "the result is not the new code")
+        .when(F.col("status") == "added", F.when(F.col("has_own"), "an added item has an original").when(~F.col("one"), "an added item needs one edit of an empty span").when(F.col("added") != F.col("new"), "the edit is not the new code"))
+        .when(F.col("own") != F.col("old"), "the original is not the old code")
+        .when(F.col("result").isNull(), "a span was not found")
+        .when(F.col("result") != F.col("new"), "the result is not the new code")
     )
-    return rows.select(*COMMIT, "ast_id", reason.isNull().alias("passed"), reason.alias("reason"), "rebuilt", F.col("new").alias("expected"))
+    return rows.select(*COMMIT, "ast_id", reason.isNull().alias("passed"), reason.alias("reason"), F.when(F.col("status") != "added", F.col("applied")).alias("rebuilt"), "expected")
+
+
+def _digest(c: Column) -> Column:
+    return F.sha2(c, 256)
 
 
 def failure_report(verified: DataFrame, preview: int = 200) -> DataFrame:

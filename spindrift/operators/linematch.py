@@ -113,8 +113,10 @@ def changed_lines(texts: DataFrame, short: int = SHORT) -> DataFrame:
     spread = lambda c: F.flatten(F.collect_list(F.sequence(F.col(c), F.col(c) + F.col("n") - 1)))
     kept = blocks.groupBy("key").agg(spread("i").alias("x"), spread("j").alias("y"))
     none = F.array().cast("array<int>")
-    every = lambda c: F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(none)
-    left = lambda c, x: F.array_except(every(c), F.coalesce(x, none))
-    rows = pairs.join(kept, "key", "left").select("key", "differ", every("a").alias("a"), every("b").alias("b"), left("a", "x").alias("before"), left("b", "y").alias("after"))
+    # Only how many lines there are goes on to the blocks, not the lines.
+    sizes = pairs.select("key", "differ", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+    every = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(none)
+    left = lambda n, x: F.array_except(every(n), F.coalesce(x, none))
+    rows = sizes.join(kept, "key", "left").select("key", "differ", every("n_a").alias("a"), every("n_b").alias("b"), left("n_a", "x").alias("before"), left("n_b", "y").alias("after"))
     whole = (F.size("before") == 0) & (F.size("after") == 0) & F.col("differ")
     return rows.select("key", F.when(whole, F.col("a")).otherwise(F.col("before")).alias("before"), F.when(whole, F.col("b")).otherwise(F.col("after")).alias("after"))

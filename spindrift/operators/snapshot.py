@@ -94,6 +94,24 @@ def same_imports(a: Column, b: Column) -> Column:
     return norm(a).eqNullSafe(norm(b))
 
 
+_CHANGE = ("status", "code_changed", "imports_changed", "before_code", "after_code", "before_imports", "after_imports")
+
+
+def _change(status: str, **of: Column) -> Column:
+    """What a diff says of an item; null where nothing is given."""
+    none, no_list, no_flag = (F.lit(None).cast(t) for t in ("string", "array<string>", "boolean"))
+    fields = dict(zip(_CHANGE[1:], (no_flag, no_flag, none, none, no_list, no_list), strict=True)) | of
+    return F.struct(F.lit(status).alias("status"), *[c.alias(n) for n, c in fields.items()])
+
+
+def _modified(old: Column, code: Column, imports: Column) -> Column:
+    """The change from an item (code, imports) to what it is now; null if both are equal."""
+    code_changed = ~code.eqNullSafe(old["code"])
+    imports_changed = ~same_imports(imports, old["imports"])
+    listed = lambda c: F.when(imports_changed, c)
+    return F.when(code_changed | imports_changed, _change("modified", code_changed=code_changed, imports_changed=imports_changed, before_code=old["code"], after_code=code, before_imports=listed(old["imports"]), after_imports=listed(imports)))
+
+
 def snapshot_diff(items: DataFrame, commits: DataFrame | None = None) -> DataFrame:
     """repo, commit_no, id, file, kind, status, code_changed, imports_changed, before_code, after_code, before_imports, after_imports.
 
@@ -107,20 +125,22 @@ def snapshot_diff(items: DataFrame, commits: DataFrame | None = None) -> DataFra
     rows = items.select(*KEYS, "file", "kind", "code", "imports").join(near, ["repo", "commit_no"])
     rows = rows.select("*", F.lag(F.struct("commit_no", "code", "imports")).over(w).alias("old"), F.lead("commit_no").over(w).alias("then"))
     met = F.col("old.commit_no") == F.col("prev_no")
-    code_changed = ~F.col("code").eqNullSafe(F.col("old.code"))
-    imports_changed = ~same_imports(F.col("imports"), F.col("old.imports"))
-    none, no_list = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    row = lambda no, c: F.when(c.isNotNull(), F.struct(no.alias("commit_no"), c.alias("c")))
+    change = F.when(F.col("prev_no").isNull(), None).when(F.coalesce(met, F.lit(False)), _modified(F.col("old"), F.col("code"), F.col("imports"))).otherwise(_change("added", after_code=F.col("code")))
+    gone = F.when(F.col("next_no").isNotNull() & ~F.col("then").eqNullSafe(F.col("next_no")), _change("removed", before_code=F.col("code")))
+    out = rows.select("repo", "id", "file", "kind", F.explode(F.array_compact(F.array(row(F.col("commit_no"), change), row(F.col("next_no"), gone)))).alias("d"))
+    return out.select("repo", "d.commit_no", "id", "file", "kind", *[f"d.c.{c}" for c in _CHANGE])
 
-    def row(no: Column, status: str, **of: Column) -> Column:
-        fields = {"code_changed": F.lit(None).cast("boolean"), "imports_changed": F.lit(None).cast("boolean"), "before_code": none, "after_code": none, "before_imports": no_list, "after_imports": no_list} | of
-        return F.struct(no.alias("commit_no"), F.lit(status).alias("status"), *[c.alias(n) for n, c in fields.items()])
 
-    listed = lambda c: F.when(imports_changed, c)
-    modified = row(F.col("commit_no"), "modified", code_changed=code_changed, imports_changed=imports_changed, before_code=F.col("old.code"), after_code=F.col("code"), before_imports=listed(F.col("old.imports")), after_imports=listed(F.col("imports")))
-    here = F.when(F.col("prev_no").isNull(), None).when(F.coalesce(met, F.lit(False)), F.when(code_changed | imports_changed, modified)).otherwise(row(F.col("commit_no"), "added", after_code=F.col("code")))
-    gone = F.when(F.col("next_no").isNotNull() & ~F.col("then").eqNullSafe(F.col("next_no")), row(F.col("next_no"), "removed", before_code=F.col("code")))
-    out = rows.select("repo", "id", "file", "kind", F.explode(F.array_compact(F.array(here, gone))).alias("d"))
-    return out.select("repo", "d.commit_no", "id", "file", "kind", *[f"d.{c}" for c in ("status", "code_changed", "imports_changed", "before_code", "after_code", "before_imports", "after_imports")])
+def pair_diff(pairs: DataFrame) -> DataFrame:
+    """snapshot_diff of items whose two states are in one row: pairs has old and new (file, kind, code, imports), either null if the
+    item is not there, in place of these columns. Other columns stay."""
+    rest = [c for c in pairs.columns if c not in ("old", "new")]
+    old, new = F.col("old"), F.col("new")
+    change = F.when(old.isNotNull() & new.isNotNull(), _modified(old, new["code"], new["imports"])).when(new.isNotNull(), _change("added", after_code=new["code"])).when(old.isNotNull(), _change("removed", before_code=old["code"]))
+    side = F.coalesce(new, old)
+    out = pairs.select(*rest, side["file"].alias("file"), side["kind"].alias("kind"), change.alias("d")).where("d is not null")
+    return out.select(*rest, "file", "kind", *[f"d.{c}" for c in _CHANGE])
 
 
 def diff_counts(items: DataFrame, diffs: DataFrame) -> DataFrame:
@@ -138,9 +158,15 @@ def with_spans(diffs: DataFrame) -> DataFrame:
     return changed.unionByName(diffs.where("not (status = 'modified' and code_changed) or code_changed is null").withColumn("diff_span", same))
 
 
+def metadata_of(commit: Column, extension: str = ".rs") -> Column:
+    """The metadata with the hash of a commit (diff, metadata, commit_hash) whose diff text mentions the extension, else null."""
+    return F.when(commit["diff"].contains(extension), commit["metadata"].withField("commit_hash", commit["commit_hash"]))
+
+
 def with_metadata(diffs: DataFrame, commits: DataFrame, extension: str = ".rs") -> DataFrame:
     """commit_metadata with the hash, of commits whose diff text mentions the extension; null for the others."""
-    meta = commits.select("repo", "commit_no", F.when(F.col("diff").contains(extension), F.col("metadata").withField("commit_hash", F.col("commit_hash"))).alias("commit_metadata"))
+    commit = F.struct("diff", "metadata", "commit_hash")
+    meta = commits.select("repo", "commit_no", metadata_of(commit, extension).alias("commit_metadata"))
     return diffs.join(meta, ["repo", "commit_no"], "left")
 
 

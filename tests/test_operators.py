@@ -1,10 +1,12 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.functions import text, untyped
+from spindrift.functions import text, textdiff, untyped
 from spindrift.operators import chunking, codetasks, completion, dataset, edits, fim, memory, quality, related, snapshot
+from spindrift.plans.queries import document_diffs
 
 ITEM = "repo string, commit_no int, id string, file string, kind string, code string, imports array<string>"
 
@@ -42,6 +44,45 @@ def test_snapshot_diff_of_nothing_and_of_itself(spark):
     assert [(r.commit_no, r.status) for r in one.collect()] == [(2, "removed")]
 
 
+def test_pair_diff_is_the_diff_of_two_snapshots(spark):
+    rng = random.Random(4)
+    state = lambda: rng.choice([None, ("x", ["u"]), ("x", ["v", "u"]), ("y", None), (None, ["u", "v"])])
+    pairs = [(f"i{i}", state(), state()) for i in range(60)]
+    rows = [("r", n, i, *s) for i, *both in pairs for n, s in enumerate(both, 1) if s]
+    want = snapshot.snapshot_diff(items(spark, rows), spark.createDataFrame([("r", 1), ("r", 2)], "repo string, commit_no int"))
+    side = lambda s: s and ("f.rs", "function_item", *s)
+    kind = "struct<file:string,kind:string,code:string,imports:array<string>>"
+    df = spark.createDataFrame([("r", 2, i, side(a), side(b)) for i, a, b in pairs], f"repo string, commit_no int, id string, old {kind}, new {kind}")
+    got = snapshot.pair_diff(df).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 20
+
+
+def test_texts_are_dealt_once_by_commit(spark):
+    plan = document_diffs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "source" in x or "Exchange hashpartitioning" in x and "repo" in x]
+    assert 0 < len(dealt) <= 7  # twice the ids and the text by its commit (a reused exchange), and once the text that meets the next
+
+
+def test_edits_with_an_empty_side_need_no_matcher(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    plain = textdiff.edits
+    monkeypatch.setattr(textdiff, "edit_spans", textdiff._arrow(textdiff.PLACED)(lambda b, a: (seen.add(int((b.notna() | a.notna()).sum())), pd.Series([plain(x or "", y or "") for x, y in zip(b, a)]))[1]))
+    texts = ["a\r\nb", "a\n\n", "a\x0bb\x1cc\u2028", "\n"]
+    d = diffs_of(spark, [(None, t) for t in texts] + [(t, None) for t in texts] + [("", t) for t in texts])
+    got = {r.ast_id: [(e.at, e.n, e.span_before, e.span_after) for e in r.edit_places] for r in edits.edit_sequences(d, placed=True).collect()}
+    sides = [("", t) for t in texts] + [(t, "") for t in texts] + [("", t) for t in texts]
+    assert got == {f"f{k}": [(e["at"], e["n"], e["span_before"], e["span_after"]) for e in plain(a, b)] for k, (a, b) in enumerate(sides, 1)}
+    assert seen.value == 0
+
+
+def test_verification_deals_no_texts(spark):
+    d = diffs_of(spark, PAIRS)
+    done = edits.verification_totals(edits.verify_edits(edits.edit_sequences(d, placed=True), d))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    join = [x for x in plan[plan.index("Join LeftOuter") :].splitlines() if "Project" in x][:1]
+    assert join and "sha2" in plan[plan.index("Join LeftOuter") :] and "sha2" not in plan[: plan.index("Join LeftOuter")]
+
+
 def test_last_wins(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 3, "z"), ("b", 1, None)], "id string, line_no int, code string")
     assert sorted(tuple(r) for r in snapshot.last_wins(df, ["id"], ["line_no"]).collect()) == [("a", 2, "y"), ("b", 1, None)]
