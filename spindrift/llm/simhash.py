@@ -10,8 +10,9 @@ tree each, and every pair of shards is a task of its own. A task returns a star
 Equal fingerprints are one node from the start, so copies cost one row. Trees stay with the task that owns their shard: they grow
 with the corpus, so broadcasting them has no size bound. Components follow from the stars by joins, with a checkpoint each round.
 
-A similarity of shingle sets (the pipeline's stage) can't be read off fingerprints: sets meet by bands of least hashes, and each link
-is counted on the sets themselves.
+For a similarity of shingle sets (the pipeline's stage) the fingerprints have WORDS words and a radius that similar sets keep but with
+a probability of one in a billion. No mask of bits brings such distant fingerprints together, so their tables are bands of least hashes; in a bucket the
+BK-tree finds the pairs within the radius, and as the radius admits less similar sets too, each link is then counted on the sets themselves.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ SHARD = 1024
 HOT = 1000
 #: Bands of least hashes and hashes to a band, by which similar shingle sets meet; what rounding may take from a bound on counts.
 BANDS, ROWS, SLACK = 32, 5, 1e-6
+#: Words of a set's fingerprint and differing bits up to which sets are compared. At a similarity of 0.8 a bit differs with a probability of
+#: 0.152 in sets of a hundred shingles or more and of 0.1875 at most (4 shingles and one more): over 88 of 256 bits with 1e-9.
+WORDS, RADIUS = 4, 88
 #: Bands whose buckets are searched before those of all; shingles to a part of a bucket.
 FIRST, PART = 4, 4_000_000
 
@@ -63,7 +67,12 @@ def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, k: int, n_words: int = 1) -> list[int]:
     """n_words signed 64-bit words; a bit is 1 if more than half of the hashes have it; all zero without a word."""
-    h, out = shingle_hashes(text, k), []
+    return print_of(shingle_hashes(text, k), n_words)
+
+
+def print_of(h: np.ndarray, n_words: int) -> list[int]:
+    """The fingerprint of shingle hashes."""
+    out = []
     for i in range(n_words):
         if i:
             h = _mix(h + np.uint64(0x9E3779B97F4A7C15))
@@ -280,7 +289,7 @@ def min_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(named: DataFrame, shingle: int) -> DataFrame:
-    """key, s (a hash of the set of shingles), size and keys of rows (key, text); an empty set has no keys."""
+    """key, s (a hash of the set of shingles), size, f (its fingerprint) and keys of rows (key, text); an empty set has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,9 +297,10 @@ def _signatures(named: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in texts]
             s = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             keys = [min_keys(x) if len(x) else np.empty(0, np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "s", "size", "keys"])
+            prints = [print_of(x, WORDS) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["key", "s", "size", "f", "keys"])
 
-    return named.mapInArrow(run, f"key {named.schema['key'].dataType.simpleString()}, s bigint, size bigint, keys array<bigint>")
+    return named.mapInArrow(run, f"key {named.schema['key'].dataType.simpleString()}, s bigint, size bigint, f array<bigint>, keys array<bigint>")
 
 
 def _sets(named: DataFrame, shingle: int) -> DataFrame:
@@ -307,12 +317,13 @@ def _sets(named: DataFrame, shingle: int) -> DataFrame:
 
 
 class _Bucket:
-    """Sets that share a key: s, size, label and part of each, all its keys, and the set itself."""
+    """Sets that share a key: s, size, label and part of each, all its keys, its fingerprint, and the set itself."""
 
     def __init__(self, columns: list[pa.Array]):
-        self.s, self.size, self.label, self.part = (np.asarray(c) for c in columns[:4])
+        self.s, self.size, self.label, self.part = (np.array(c) for c in columns[:4])
         self.keys = np.asarray(columns[4].flatten()).reshape(len(self.s), -1)
-        self.sets, ends = np.asarray(columns[5].flatten()).view(np.uint64), np.asarray(columns[5].value_lengths()).cumsum()
+        self.prints = np.asarray(columns[5].flatten()).view(np.uint64).reshape(len(self.s), -1)
+        self.sets, ends = np.asarray(columns[6].flatten()).view(np.uint64), np.asarray(columns[6].value_lengths()).cumsum()
         self.start, self.end = np.append(0, ends[:-1]), ends
 
     def shared(self, i: int, others: np.ndarray) -> np.ndarray:
@@ -322,33 +333,47 @@ class _Bucket:
         at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
         return np.bincount(np.repeat(np.arange(len(others)), size), own[at] == flat, len(others))
 
-    def links(self, key: int, between: bool, similarity: float) -> Iterator[tuple[int, int]]:
-        """Links that connect the labels of the bucket, each pair being tested under its first common key only.
+    def near(self, left: int, right: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows of the right part with those of the left one within RADIUS, as a BK-tree over the left fingerprints finds them; each pair once.
 
-        From each set the search goes on to the sets of labels that are not reached yet; between: only pairs of different parts count.
+        Equal fingerprints are one node. First a single row asks, then more and more together, as the first ones often connect all.
         """
-        left = np.arange(len(self.s))  # rows whose label is not reached
-        while len(left):
-            todo = left[self.label[left] == self.label[left[0]]].tolist()
-            left = left[self.label[left] != self.label[left[0]]]
-            while todo and len(left):
-                i = todo.pop()
-                fit = np.minimum(self.size[left], self.size[i]) >= similarity * np.maximum(self.size[left], self.size[i]) - SLACK
-                fit &= (self.part[left] != self.part[i]) | (not between)
-                near = left[fit]
-                near = near[self.keys[i][(self.keys[near] == self.keys[i]).argmax(axis=1)] == key]
-                for a in range(0, len(near), 512):
-                    some = near[a : a + 512]
-                    need = (self.size[some] + self.size[i]) * (similarity / (1 + similarity)) - SLACK
-                    for j in some[self.shared(i, some) >= need].tolist():
+        trees, queries = np.flatnonzero(self.part == left), np.flatnonzero(self.part == right)
+        nodes, node = np.unique(self.prints[trees], axis=0, return_inverse=True)
+        order = np.argsort(node.ravel(), kind="stable")
+        ends = np.cumsum(np.bincount(node.ravel(), minlength=len(nodes)))
+        tree, at, step = BKTree(nodes), 0, 1
+        while at < len(queries):
+            asked, rows = queries[at : at + step], [[] for _ in queries[at : at + step]]
+            for n, who in tree.search(self.prints[asked], RADIUS):
+                found = trees[order[ends[n - 1] if n else 0 : ends[n]]]
+                for q in who.tolist():
+                    rows[q].append(found)
+            for i, found in zip(asked.tolist(), rows, strict=True):
+                if found:
+                    found = np.concatenate(found)
+                    yield i, found[found > i] if left == right else found
+            at, step = at + step, max(1, min(2 * step, 256, 2_000_000 // max(len(trees), 1)))
+
+    def links(self, key: int, left: int, right: int, similarity: float) -> Iterator[tuple[int, int]]:
+        """Links that connect the labels of the bucket's parts, each pair being tested under its first common key only."""
+        for i, near in self.near(left, right):
+            for a in range(0, len(near), 512):
+                some = near[a : a + 512]
+                fit = np.minimum(self.size[some], self.size[i]) >= similarity * np.maximum(self.size[some], self.size[i]) - SLACK
+                some = some[fit & (self.label[some] != self.label[i])]
+                some = some[self.keys[i][(self.keys[some] == self.keys[i]).argmax(axis=1)] == key]
+                need = (self.size[some] + self.size[i]) * (similarity / (1 + similarity)) - SLACK
+                for j in some[self.shared(i, some) >= need].tolist() if len(some) else []:
+                    if self.label[i] != self.label[j]:
                         yield int(self.s[i]), int(self.s[j])
-                        if (new := self.label[left] == self.label[j]).any():
-                            todo += left[new].tolist()
-                            left = left[~new]
+                        self.label[self.label == self.label[j]] = self.label[i]
+            if (self.label == self.label[0]).all():
+                return
 
 
 def _linked(similarity: float):
-    """Batches of (key, left, right, s, size, label, part, keys, set), sorted by the first three, -> links (a, b) of each bucket."""
+    """Batches of (key, left, right, s, size, label, part, keys, f, set), sorted by the first three, -> links (a, b) of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the bucket that may go on in the next batch
@@ -357,7 +382,7 @@ def _linked(similarity: float):
         def close() -> Iterator[pa.RecordBatch]:
             if sum(map(len, held)) > 1:
                 table = pa.Table.from_batches(held).combine_chunks()
-                found = list(_Bucket([c.chunk(0) for c in table.columns[3:]]).links(at[0], at[1] != at[2], similarity))
+                found = list(_Bucket([c.chunk(0) for c in table.columns[3:]]).links(*at, similarity))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
             held.clear()
@@ -377,7 +402,7 @@ def _linked(similarity: float):
 
 
 def _bucket_links(rows: DataFrame, sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all similar sets of rows (key, s, size, label) that share a key, counted exactly.
+    """Links (a, b) that connect all similar sets of rows (key, s, size, label) that share a key: found by BK-trees, counted exactly.
 
     A bucket of more than PART shingles is cut into parts, and every pair of parts is a task of its own.
     """
@@ -389,7 +414,7 @@ def _bucket_links(rows: DataFrame, sets: DataFrame, nodes: DataFrame, similarity
     rows = rows.select("key", "s", "size", "label").join(broadcast_if_small(checkpoint(sizes)), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("left"), F.greatest(o, F.col("part")).alias("right")))
-    rows = rows.withColumn("pair", F.explode(pair)).join(_sets_of(sets, rows), "s").join(nodes.select("s", "keys"), "s").select("key", "pair.left", "pair.right", "s", "size", "label", "part", "keys", "set")
+    rows = rows.withColumn("pair", F.explode(pair)).join(_sets_of(sets, rows), "s").join(nodes.select("s", "keys", "f"), "s").select("key", "pair.left", "pair.right", "s", "size", "label", "part", "keys", "f", "set")
     by = ["key", "left", "right"]
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
     return checkpoint(dealt.mapInArrow(_linked(similarity), "a bigint, b bigint").distinct())
@@ -418,8 +443,9 @@ def _label(rows: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
 
 
 def _centre_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Each s of rows (key, s, size, label) with the least centre of its keys; a key's centre is the first row of its least label."""
-    met = rows.withColumn("c", F.min(F.struct("label", "s", "size")).over(Window.partitionBy("key")))
+    """Each s of rows (key, s, size, f, label) with the least centre of its keys within RADIUS; a key's centre is the first row of its least label."""
+    met = rows.withColumn("c", F.min(F.struct("label", "s", "size", "f")).over(Window.partitionBy("key")))
+    met = met.where(sum(F.bit_count(F.get("f", F.lit(i)).bitwiseXOR(F.get("c.f", F.lit(i)))) for i in range(WORDS)) <= RADIUS)
     met = met.where((F.col("label") != F.col("c.label")) & (F.least("size", "c.size") >= similarity * F.greatest("size", "c.size") - SLACK))
     return met.groupBy(F.col("s").alias("b")).agg(F.min("c.s").alias("a"))
 
@@ -427,18 +453,18 @@ def _centre_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """s, doc_id, tag and first: every set of shingles, its first document, and the first document (doc_id, tag) of its component.
 
-    Links are pairs of shingle sets whose Jaccard similarity, counted exactly, is ``similarity`` or more. They are looked for among
-    the sets that share a band of ROWS least hashes; a pair at 0.8 shares none of BANDS with a probability of (1 - 0.8 ** ROWS) **
-    BANDS, three in a million. First each set is tested against one centre of its keys, so that a large group is joined at the cost of
-    its size; then the sets of a key that are still in different components meet in buckets, those of the FIRST bands before the
-    others, so that what these connect is not tested again. Null and empty texts have the empty set.
+    Links are pairs of shingle sets whose fingerprints lie within RADIUS and whose Jaccard similarity, counted exactly, is ``similarity``
+    or more; a radius of 88 is meant for 0.8 and above. They are looked for among the sets that share a band of ROWS least hashes; a pair at 0.8 shares none of
+    BANDS with a probability of (1 - 0.8 ** ROWS) ** BANDS, three in a million. First each set is tested against one centre of its keys, so that a large group is
+    joined at the cost of its size; then the sets of a key that are still in different components meet in a bucket's BK-tree, those of the FIRST bands before
+    the others, so that what these connect is not tested again. Null and empty texts have the empty set.
     """
     named = docs.select(F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tag")).alias("key"), F.col(f"`{text}`").alias("text"))
     prints = checkpoint(_signatures(named, shingle))
     order = F.struct(F.col("key.doc_id").isNull().alias("none"), F.col("key.doc_id").alias("doc_id"), F.col("key.tag").alias("tag"))
-    nodes = checkpoint(prints.groupBy("s").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    rows = nodes.select(F.posexplode("keys").alias("band", "key"), "s", "size").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    rows = checkpoint(rows.where("n > 1").select("key", "band", "s", "size", F.col("s").alias("label")))
+    nodes = checkpoint(prints.groupBy("s").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("f").alias("f"), F.first("keys").alias("keys")))
+    rows = nodes.select(F.posexplode("keys").alias("band", "key"), "s", "size", "f").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    rows = checkpoint(rows.where("n > 1").select("key", "band", "s", "size", "f", F.col("s").alias("label")))
     # Only sets that share a key are needed whole, each from its first document.
     wanted = nodes.join(rows.select("s").distinct(), "s", "left_semi").select("s", F.col("least.doc_id").alias("first_id"), F.col("least.tag").alias("first_tag"))
     wanted = broadcast_if_small(checkpoint(wanted))

@@ -335,3 +335,27 @@ def test_shards_of_a_bucket_leave_no_pair_out():
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
     got = [(int(r["lx"]), int(r["rx"])) for b in media._match(iter([batch.slice(0, 50), batch.slice(50)])) for r in b.to_pylist()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_similar_sets_meet_in_trees_of_fingerprints():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(16)
+    base, rows = rng.integers(0, 2**63, 200), []
+    for i in range(80):  # two families, of which the second holds pairs under the similarity as well, in two parts of a bucket
+        x = base + (i % 2)
+        x[rng.permutation(200)[: int(rng.integers(0, 30))]] = rng.integers(0, 2**63, 1)
+        rows.append(np.unique(x.view(np.uint64)))
+    prints = np.array([simhash.print_of(x, simhash.WORDS) for x in rows], np.int64)
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    for left, right in ((0, 0), (0, 1), (1, 1)):
+        at = [i for i in range(80) if (i // 2) % 2 in (left, right)]
+        keys = [[7]] * len(at)
+        columns = [at, [len(rows[i]) for i in at], at, [(i // 2) % 2 for i in at], keys, prints[at].tolist(), [rows[i].view(np.int64).tolist() for i in at]]
+        bucket = simhash._Bucket([pa.array(c, pa.list_(pa.int64()) if isinstance(c[0], list) else pa.int64()) for c in columns])
+        far = {(min(i, j), max(i, j)) for i in range(len(at)) for j in range(i) if (bucket.part[i], bucket.part[j]) in ((left, right), (right, left)) and simhash.hamming(prints[at].view(np.uint64)[[i]], prints[at].view(np.uint64)[j])[0] <= simhash.RADIUS}
+        assert {(min(i, int(j)), max(i, int(j))) for i, near in bucket.near(left, right) for j in near} == far
+        found = list(bucket.links(7, left, right, 0.8))
+        assert all(alike(rows[a], rows[b]) for a, b in found)
+        want = reach(at, lambda a, b: ((a // 2) % 2, (b // 2) % 2) in ((left, right), (right, left)) and alike(rows[a], rows[b]))
+        assert reach(at, lambda a, b: (a, b) in found or (b, a) in found) == want
