@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,13 +58,22 @@ def decayed_state(sequences: DataFrame, width: int, decay: float = 0.9) -> DataF
     return read.groupBy("key").applyInPandasWithState(run, "key string, seq bigint, state array<array<double>>", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-#: Groups that the ids of a repository are dealt into, each with a state of its own.
-BUCKETS = 16
+#: Groups that the ids of a repository are dealt into, each with a state of its own, and entries that a group's items are dealt into.
+BUCKETS, SLICES = 16, 256
 _STATUS = "repo string, commit_no int, id string, status string"
 
 
+def _slice(i: str) -> int:
+    return zlib.crc32(i.encode("utf-8", "surrogatepass")) % SLICES
+
+
 class _Commits(StatefulProcessor):
-    """The digests of the last commit's items, an entry each, and the commits that wait for their predecessor, by its number."""
+    """The digests of the last commit's items, an entry for each slice of ids, and the commits that wait for their predecessor, by its
+    number.
+
+    Each access to the state is a call to the JVM, so a call reads the items once, takes all commits whose turn it is, and writes the
+    slices that differ. A commit whose turn it is doesn't wait in the state.
+    """
 
     def __init__(self, patience: float | None):
         self.patience = patience
@@ -70,48 +81,82 @@ class _Commits(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "commit_no int")
-        self.items = handle.getMapState("items", "id string", "digest bigint")
+        self.items = handle.getMapState("items", "slice int", "ids array<string>, digests array<bigint>")
         self.waiting = handle.getMapState("waiting", "prev_no int", "commit_no int, ids array<string>, digests array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._open()
         for frame in rows:
-            for r in frame.itertuples():
-                before = NONE if pd.isna(r.prev_no) else int(r.prev_no)
-                self.waiting.updateValue((before,), (int(r.commit_no), [str(i) for i in r.ids], [int(d) for d in r.digests]))
-        yield from self._settle(key[0])
-        if self.patience is not None and any(True for _ in self.waiting.keys()) and not list(self.handle.listTimers()):
+            for r in frame.sort_values("commit_no", kind="stable").itertuples():
+                before, commit = NONE if pd.isna(r.prev_no) else int(r.prev_no), (int(r.commit_no), [str(i) for i in r.ids], [int(d) for d in r.digests])
+                if before == self.at:
+                    if before in self.queue:
+                        self._leave(before)
+                    yield from self._take(key[0], *commit)
+                    yield from self._settle(key[0])
+                else:
+                    self.waiting.updateValue((before,), commit)
+                    self.queue.add(before)
+        self._close()
+        if self.patience is not None and self.queue and not list(self.handle.listTimers()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = {no: c for (no,), c in self.waiting.iterator()}
+        self._open()
+        waiting = {no: c[0] for (no,), c in self.waiting.iterator()}
         if waiting:  # the predecessor is given up: the earliest that waits follows what came last
-            before = min(waiting, key=lambda no: waiting[no][0])
-            commit = waiting[before]
-            self.waiting.removeKey((before,))
-            self.waiting.updateValue((self._at(),), tuple(commit))
+            before = min(waiting, key=waiting.get)
+            commit = self.waiting.getValue((before,))
+            self._leave(before)
+            yield from self._take(key[0], *commit)
             yield from self._settle(key[0])
-        if any(True for _ in self.waiting.keys()):
+        self._close()
+        if self.queue:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
 
-    def _at(self) -> int:
-        return self.last.get()[0] if self.last.exists() else NONE
+    def _open(self) -> None:
+        self.at = self.last.get()[0] if self.last.exists() else NONE
+        self.queue = {no for (no,) in self.waiting.keys()}
+        self.held: dict[str, int] | None = None  # read when a commit's turn comes
+        self.touched: set[int] = set()
+
+    def _close(self) -> None:
+        """Writes the slices that differ from what was read, no others."""
+        if self.held is not None:
+            self.last.update((self.at,))
+        if not self.touched:
+            return
+        slices = defaultdict(lambda: ([], []))
+        for i, d in self.held.items():
+            if (k := _slice(i)) in self.touched:
+                slices[k][0].append(i)
+                slices[k][1].append(d)
+        for k in self.touched:
+            if k in slices:
+                self.items.updateValue((k,), slices[k])
+            else:
+                self.items.removeKey((k,))
+
+    def _leave(self, before: int) -> None:
+        self.waiting.removeKey((before,))
+        self.queue.discard(before)
 
     def _settle(self, repo: str) -> Iterator[pd.DataFrame]:
-        """What the commits changed whose turn it is; each entry of the state that differs is written, no other."""
-        while self.waiting.containsKey((self._at(),)):
-            at = self._at()
-            no, ids, digests = self.waiting.getValue((at,))
-            self.waiting.removeKey((at,))
-            now, held = dict(zip(ids, digests, strict=True)), {i: d for (i,), (d,) in self.items.iterator()}
-            out = [(i, "modified" if i in held else "added") for i, d in now.items() if held.get(i) != d] + [(i, "removed") for i in held if i not in now]
-            for i, status in out:
-                if status == "removed":
-                    self.items.removeKey((i,))
-                else:
-                    self.items.updateValue((i,), (now[i],))
-            self.last.update((no,))
-            if at != NONE and out:
-                yield pd.DataFrame({"repo": repo, "commit_no": no, "id": [i for i, _ in out], "status": [s for _, s in out]})
+        """What the waiting commits changed whose turn it is."""
+        while self.at in self.queue:
+            commit = self.waiting.getValue((self.at,))
+            self._leave(self.at)
+            yield from self._take(repo, *commit)
+
+    def _take(self, repo: str, no: int, ids: list[str], digests: list[int]) -> Iterator[pd.DataFrame]:
+        if self.held is None:
+            self.held = {i: d for _, (own, those) in self.items.iterator() for i, d in zip(own, those, strict=True)}
+        now, held = dict(zip(ids, digests, strict=True)), self.held
+        out = [(i, "modified" if i in held else "added") for i, d in now.items() if held.get(i) != d] + [(i, "removed") for i in held if i not in now]
+        self.touched |= {_slice(i) for i, _ in out}
+        first, self.at, self.held = self.at == NONE, no, now
+        if not first and out:
+            yield pd.DataFrame({"repo": repo, "commit_no": no, "id": [i for i, _ in out], "status": [s for _, s in out]})
 
     def close(self) -> None:
         pass
@@ -127,7 +172,7 @@ def commit_diffs(commits: DataFrame, buckets: int = BUCKETS, patience: float | N
 
     items are all of a commit (id, code); a repository's first commit has a null prev_no and gives nothing. A commit waits in the state
     until the one before it has been taken, with patience for so many seconds: then it follows what came last. The state is kept by
-    repository and bucket of ids, an entry per item, so a commit writes what it changes. A commit that comes again is taken once, if
+    repository and bucket of ids, an entry per slice of a bucket, so a commit writes the slices that it changes. A commit that comes again is taken once, if
     its predecessor isn't expected any more it waits. Call store.use_rocksdb before the stream starts.
     """
     bucket = lambda i: F.pmod(F.xxhash64(i), F.lit(buckets)).cast("int")

@@ -90,3 +90,56 @@ def test_retrieval_from_few_chunks(spark, tmp_path, n):
     rows = [{"head": 0, "call": 0, "pos": i, "key": [1.0, float(i)], "val": [0.0]} for i in range(4 * n)]
     found, _ = run(spark, tmp_path, [rows or [{"head": 0, "call": 0}], [{"head": 0, "call": 1, "query_id": 5, "q": [0.0, 2.0]}]])
     assert [(r["rank"], r["slot"], r["score"]) for r in found.collect()] == [(1, 0, 3.0)] * n
+
+
+class _CountedState:
+    """State of a key in a dict; counts what is written."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        return self.held[None]
+
+    def update(self, v):
+        self.updateValue(None, v)
+
+    def getValue(self, k):
+        return self.held[k]
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def updateValue(self, k, v):
+        self.writes += 1
+        self.held[k] = v
+
+    def removeKey(self, k):
+        self.writes += 1
+        del self.held[k]
+
+
+def test_commits_write_slices_not_items():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from spindrift.streaming import stateful
+
+    states = {}
+    made = lambda name, *_: states.setdefault(name, _CountedState())
+    p = stateful._Commits(None)
+    p.init(SimpleNamespace(getValueState=made, getMapState=made))
+    codes = [{f"i{k}": k * (n + 1) for k in range(3000) if k % (n + 2)} for n in range(4)]
+    rows = pd.DataFrame([(n, n - 1 if n else None, list(c), list(c.values())) for n, c in enumerate(codes)], columns=["commit_no", "prev_no", "ids", "digests"])
+    found = [*p.handleInputRows(("r",), iter([rows.iloc[[3, 1]]]), None), *p.handleInputRows(("r",), iter([rows.iloc[[2, 0]]]), None)]
+    want = [(n, i, "removed" if i not in codes[n] else "modified" if i in codes[n - 1] else "added") for n in (1, 2, 3) for i in codes[n] | codes[n - 1] if codes[n].get(i) != codes[n - 1].get(i)]
+    assert sorted(r for f in found for r in f[["commit_no", "id", "status"]].itertuples(index=False, name=None)) == sorted(want)
+    assert {i: d for own, those in states["items"].held.values() for i, d in zip(own, those, strict=True)} == codes[3]
+    assert not states["waiting"].held and states["last"].get() == (3,) and sum(s.writes for s in states.values()) < 300
