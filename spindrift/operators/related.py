@@ -14,6 +14,8 @@ from ..functions import text
 COMMIT = ["repo", "commit_no"]
 #: Letters to a gram of a name.
 GRAM = 3
+#: Short names up to which all of them go to every task, so that the parts of the others aren't dealt.
+MOST_SHORT = 200_000
 #: Active elements under which, and share settled by a round under which, a scan in order takes over from the rounds.
 FEW, SLOW = 20_000, 0.1
 
@@ -37,13 +39,16 @@ def containing(names: DataFrame, scope: list[str], name: str = "name") -> DataFr
     """
     own = storage.checkpoint(names.select(*scope, F.col(name).alias("whole")).dropna().distinct())
     keys = [*scope, "gram"]
-    long = own.where(F.char_length("whole") >= GRAM).select(*scope, "whole", F.explode(_grams(F.col("whole"), GRAM)).alias("gram"))
-    rarest = long.join(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys).groupBy(*scope, "whole").agg(F.min(F.struct("n", "gram")).alias("g"))
-    probes = rarest.select(*scope, F.col("g.gram").alias("gram"), F.col("whole").alias("part"))
+    long = own.where(F.char_length("whole") >= GRAM).select(*scope, "whole", F.posexplode(_grams(F.col("whole"), GRAM)).alias("at", "gram"))
+    # How many names have a gram and where it stands are one number: its least is kept by a hash table, without sorting the grams of all names.
+    seen = (F.col("n") * (1 << 31) + F.col("at")).alias("seen")
+    rarest = long.join(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys).select(*scope, "whole", seen).groupBy(*scope, "whole").agg(F.min("seen").alias("seen"))
+    probes = rarest.select(*scope, F.get(_grams(F.col("whole"), GRAM), (F.col("seen") % (1 << 31)).cast("int")).alias("gram"), F.col("whole").alias("part"))
     found = long.join(probes, keys).where(F.contains("whole", "part"))
-    short = own.where(F.char_length("whole") < GRAM).select(*scope, F.col("whole").alias("part"))
+    short = storage.checkpoint(own.where(F.char_length("whole") < GRAM).select(*scope, F.col("whole").alias("part")))
+    sent = F.broadcast if short.count() <= MOST_SHORT else lambda df: df
     parts = F.array_union(F.array(F.lit("")), F.flatten(F.array(*[_grams(F.col("whole"), n) for n in range(1, GRAM)])))
-    small = own.join(short.select(*scope).distinct(), scope, "left_semi").select(*scope, "whole", F.explode(parts).alias("part")).join(short, [*scope, "part"])
+    small = own.join(sent(short.select(*scope).distinct()), scope, "left_semi").select(*scope, "whole", F.explode(parts).alias("part")).join(sent(short), [*scope, "part"])
     return found.select(*scope, "part", "whole").unionByName(small.select(*scope, "part", "whole"))
 
 

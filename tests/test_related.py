@@ -103,3 +103,11 @@ def test_odd_elements(spark):
     assert sorted((r.ast_id, r.group_no, r.place) for r in related.related_groups(df).collect()) == [("f::", 0, 0), ("f::a", 1, 0), ("f::ab", 1, 1), ("f::x", 2, 0)]
     none = spark.createDataFrame([], SCHEMA)
     assert related.related_pairs(none).count() == 0 and related.related_groups(none).count() == 0
+
+
+def test_rarest_parts_are_found_without_sorting_all_parts(spark):
+    rows = [("r", n) for n in ("abcabc", "cab", "xabcabcx", "b", "bc", "abx", "zz", "xyzxyz")]
+    df = related.containing(spark.createDataFrame(rows, "s string, name string"), ["s"])
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b) for _, a in rows for _, b in rows if a in b}
+    assert sorted((r.part, r.whole) for r in df.collect()) == sorted(want)
