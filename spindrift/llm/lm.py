@@ -23,15 +23,14 @@ import base64
 import itertools
 import math
 import re
-import sys
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +46,10 @@ SINGLES, CLUSTERS, OWN, BANDS = 128, 8, 2048, 64
 BEFORE = 512
 #: Positions of a window, of which the first ones only give context; sizes of the network.
 WINDOW, CONTEXT, WIDTH, HIDDEN = 32, 8, 16, 32
-#: Words sent to every task; a task's cache of words.
-FREQUENT, CACHE = 300_000, 450_000
-#: Rounds that all windows are dealt to, windows to a training task.
-ROUNDS, TASK_WINDOWS = 4, 8192
+#: Words sent to every task.
+FREQUENT = 300_000
+#: Rounds that all windows are dealt to, windows that are trained on in a row, windows stored together (their words fit two bytes).
+ROUNDS, TASK_WINDOWS, PACK = 4, 8192, 512
 #: Weight of the subword ids of all words beside those of a cluster's words.
 COMMON = 50.0
 _OTHER_SPACE = re.compile(r"[^\S ]")
@@ -70,7 +69,7 @@ class Pieces:
     """Subword ids of words, each with the blank before it. Hold it: finding it again compares the whole vocabulary."""
 
     def __init__(self, ranks: bytes):
-        self.encode = _encoder(ranks).encode_ordinary
+        self.encode, self.encode_all = _encoder(ranks).encode_ordinary, _encoder(ranks).encode_to_numpy
         table = {int(r): len(base64.b64decode(a)) for a, r in map(bytes.split, ranks.splitlines())}
         self.length = np.zeros(max(table) + 1, np.int64)
         self.length[list(table)] = list(table.values())
@@ -93,34 +92,60 @@ class Pieces:
         sizes[[i for i, w in enumerate(words) if w]] = n
         return flat, sizes
 
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of an array of binaries, without a Python object per word."""
+        length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        full = length > 0
+        if not full.any():
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        held = words if full.all() else words.filter(pa.array(full))
+        try:
+            whole = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), b" ")[0].as_py().decode()
+        except UnicodeDecodeError:
+            return self(words.to_pylist())
+        if _OTHER_SPACE.search(whole):
+            return self(words.to_pylist())
+        flat, sizes = self.encode_all(whole).astype(np.int64), np.zeros(len(words), np.int64)
+        sizes[full] = np.diff(np.searchsorted(np.cumsum(self.length[flat]), np.cumsum(length[full] + 1)) + 1, prepend=0)
+        return flat, sizes
+
 
 def text_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts end to end, as text_words() has them, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, n = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # none before white space at the beginning, or after that at the end
+    if not full.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+        words = words.filter(pa.array(full))
+    return words, n
+
+
+def _groups(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Rows of a batch in groups of about so many bytes, with their words end to end and how many each has."""
+    for b in batches:
+        texts = b.column(b.schema.get_field_index(text))
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1
+        for first, stop in itertools.pairwise([0, *cuts.tolist(), len(b)] if len(b) else []):
+            yield b.slice(first, stop - first), *split_words(texts.slice(first, stop - first))
+
+
 def _binary(column: pa.Array) -> pa.Array:
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).cast(pa.binary())
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n over all rows of docs; the word '' counts the texts, one end each. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
-
-        for b in batches:
-            for t in _binary(b.column(0)):
-                seen.update(text_words(t.as_py()))
-                seen[b""] += 1
-                if len(seen) > 500_000:
-                    yield flush()
-        if seen:
-            yield flush()
+        for b, words, _ in _groups(batches, text, 1 << 24):
+            seen = words.value_counts()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([b""]), seen.field(0)]).cast(pa.string()), pa.concat_arrays([pa.array([len(b)]), seen.field(1)])], names=["word", "n"])
 
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -133,7 +158,7 @@ def count_ids(counts: DataFrame, ranks: bytes) -> np.ndarray:
         pieces = Pieces(shared.value)
         sums = np.zeros(len(pieces.length), np.int64)
         for b in batches:
-            ids, sizes = pieces(_binary(b.column(0)).to_pylist())
+            ids, sizes = pieces.of(_binary(b.column(0)))
             sums += np.bincount(ids, np.repeat(np.asarray(b.column(1)), sizes), len(sums)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], names=["id", "n"])
 
@@ -167,13 +192,21 @@ class Classes:
     points: np.ndarray
     level: np.ndarray
 
-    def of(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def single(self, words: pa.Array) -> np.ndarray:
+        """The class of each word that is one, -1 for the others."""
+        return pc.fill_null(pc.index_in(words, value_set=pa.array(list(self.singles), pa.binary())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def clusters(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The cluster of each word by its rows, end to end."""
+        text_of = np.repeat(np.arange(len(sizes)), sizes)
+        points = self.points[rows]
+        score = np.stack([np.bincount(text_of, points[:, k], len(sizes)) for k in range(points.shape[1])], axis=1) / np.maximum(sizes, 1)[:, None]
+        return SINGLES + np.argmax(score - self.level, axis=1)
+
+    def of(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The class of each word; ids: their subword ids end to end (END has none)."""
-        text_of = np.repeat(np.arange(len(words)), sizes)
-        points = self.points[self.rows[ids]]
-        score = np.stack([np.bincount(text_of, points[:, k], len(words)) for k in range(points.shape[1])], axis=1) / np.maximum(sizes, 1)[:, None]
-        cluster = SINGLES + np.argmax(score - self.level, axis=1)
-        return np.array([self.singles.get(w, c) for w, c in zip(words, cluster.tolist(), strict=True)], np.int64)
+        single = self.single(words)
+        return np.where(single >= 0, single, self.clusters(self.rows[ids], sizes))
 
 
 def make_clusters(met: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -280,21 +313,30 @@ class Lists:
 
     def vectors(self, emb: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The mean of the rows' vectors of each word at."""
-        rows, size = self.expand(at)
-        return np.add.reduceat(emb[rows], np.cumsum(size) - size) / size[:, None].astype(emb.dtype)
+        return means(emb, *self.expand(at))
+
+
+def means(emb: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(emb.take(rows, axis=0), np.cumsum(size) - size) / size[:, None].astype(emb.dtype)
 
 
-def forward(w: dict[str, np.ndarray], words: Lists, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Words (windows, WINDOW) -> (windows, WINDOW, WIDTH) before the output layer; what the gradient needs."""
-    e = words.vectors(w["emb"], x.ravel()).reshape(*x.shape, WIDTH) + w["pos"]
-    q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(1 / math.sqrt(WIDTH)) + _HIDE
-    a = np.exp(s - s.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    c = a @ v
-    h = e + c @ w["o"]
-    m = np.maximum(h @ w["w1"] + w["b1"], 0)
-    return h + m @ w["w2"], (e, q, k, v, a, c, h, m)
+def forward(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple]:
+    """Words (windows, WINDOW) -> (windows, WINDOW, WIDTH) before the output layer; what the gradient needs. held: words.expand(x)."""
+    e = means(w["emb"], *(held or words.expand(x.ravel()))).reshape(*x.shape, WIDTH)
+    e += w["pos"]
+    flat = e.reshape(-1, WIDTH)
+    qkv = (flat @ np.concatenate([w["q"] * w["q"].dtype.type(1 / math.sqrt(WIDTH)), w["k"], w["v"]], axis=1)).reshape(*x.shape, 3 * WIDTH)
+    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    a = q @ k.transpose(0, 2, 1)
+    a += _HIDE
+    _exp(a, _longest(qkv.reshape(-1, 3 * WIDTH)[:, :WIDTH]) * _longest(qkv.reshape(-1, 3 * WIDTH)[:, WIDTH : 2 * WIDTH]))
+    a /= np.einsum("bij->bi", a)[..., None]
+    c = (a @ v).reshape(-1, WIDTH)
+    h = flat + c @ w["o"]
+    m = h @ w["w1"]
+    m += w["b1"]
+    np.maximum(m, 0, out=m)
+    return (h + m @ w["w2"]).reshape(*x.shape, WIDTH), (flat, q, k, v, a, c, h, m)
 
 
 def log_probs(w: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -305,32 +347,43 @@ def log_probs(w: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
 
 def gradient(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the scored positions and its gradient."""
-    y, (e, q, k, v, a, c, h, m) = forward(w, words, x)
-    n = max(int(scored.sum()), 1)
-    lp = log_probs(w, y[scored])
-    t = target[scored]
-    loss = -float(lp[np.arange(len(t)), t].sum()) / n
-    dz = np.exp(lp)
-    dz[np.arange(len(t)), t] -= 1
-    dz /= n
-    g = {"out": y[scored].T @ dz, "bias": dz.sum(axis=0)}
+    rows, size = held = words.expand(x.ravel())
+    y, (e, q, k, v, a, c, h, m) = forward(w, words, x, held)
+    y, at, t = y.reshape(-1, WIDTH), np.flatnonzero(scored), target[scored]
+    n, ys, each = max(len(t), 1), y[at], np.arange(len(t))
+    z = ys @ w["out"]
+    z += w["bias"]
+    aim = z[each, t]
+    z, shift = _exp(z, _longest(ys) * _longest(w["out"].T) + float(np.abs(w["bias"]).max()))
+    total = z @ np.ones(z.shape[1], z.dtype)
+    loss = float((np.log(total) + np.ravel(shift) - aim).sum()) / n
+    z *= (1 / (n * total))[:, None]
+    z[each, t] -= 1 / n
+    g = {"out": ys.T @ z, "bias": np.ones(len(z), z.dtype) @ z}
     dy = np.zeros_like(y)
-    dy[scored] = dz @ w["out"].T
-    flat = lambda b: b.reshape(-1, b.shape[-1])
-    g["w2"] = flat(m).T @ flat(dy)
-    dm = (dy @ w["w2"].T) * (m > 0)
-    g["w1"], g["b1"] = flat(h).T @ flat(dm), flat(dm).sum(axis=0)
-    dh = dy + dm @ w["w1"].T
-    g["o"] = flat(c).T @ flat(dh)
-    dc = dh @ w["o"].T
-    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(WIDTH))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = flat(e).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    g["pos"] = de.sum(axis=0)
-    rows, size = words.expand(x.ravel())
-    each = np.repeat(flat(de) / size[:, None].astype(de.dtype), size, axis=0)
+    dy[at] = z @ w["out"].T
+    g["w2"] = m.T @ dy
+    dm = dy @ w["w2"].T
+    dm *= m > 0
+    g["w1"], g["b1"] = h.T @ dm, dm.sum(axis=0)
+    dh = dy
+    dh += dm @ w["w1"].T
+    g["o"] = c.T @ dh
+    dc = (dh @ w["o"].T).reshape(*x.shape, WIDTH)
+    dqkv = np.empty((*x.shape, 3 * WIDTH), y.dtype)
+    ds = dc @ v.transpose(0, 2, 1)
+    np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[..., 2 * WIDTH :])
+    ds *= a
+    ds -= a * np.einsum("bij->bi", ds)[..., None]
+    np.matmul(ds, k, out=dqkv[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
+    scale = y.dtype.type(1 / math.sqrt(WIDTH))
+    dqkv[:, :WIDTH] *= scale
+    g["q"], g["k"], g["v"] = np.split(e.T @ dqkv, 3, axis=1)
+    de = dh + dqkv @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
+    g["pos"] = de.reshape(*x.shape, WIDTH).sum(axis=0)
+    each = np.repeat(de / size[:, None].astype(de.dtype), size, axis=0)
     place = rows[:, None] * WIDTH + np.arange(WIDTH)
     g["emb"] = np.bincount(place.ravel(), each.ravel(), w["emb"].size).reshape(w["emb"].shape).astype(de.dtype)
     return loss, g
@@ -349,18 +402,29 @@ def windows(lengths: np.ndarray, overlap: int = CONTEXT) -> tuple[np.ndarray, np
 
 def train(w: dict[str, np.ndarray], words: Lists, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, rate: float = 8e-3, batch: int = 16, seed: int = 0) -> tuple[dict[str, np.ndarray], int]:
     """One pass of Adam over windows (inputs: words, targets: classes, of which the first lengths count); the new weights and the positions seen."""
-    w = {k: v.copy() for k, v in w.items()}
-    mean, square = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    shapes = {k: v.shape for k, v in w.items()}
+    all_w = np.concatenate([v.ravel() for v in w.values()])
+    w = dict(zip(shapes, (p.reshape(s) for p, s in zip(np.split(all_w, np.cumsum([v.size for v in w.values()])[:-1]), shapes.values(), strict=True)), strict=True))  # views
+    mean, square, step = np.zeros_like(all_w), np.zeros_like(all_w), np.empty_like(all_w)
     order = np.random.default_rng(seed).permutation(len(inputs))
     steps = -(-len(order) // batch)
     for i in range(steps):
         part = order[i * batch : (i + 1) * batch]
         _, g = gradient(w, words, inputs[part], targets[part], np.arange(WINDOW) < lengths[part][:, None])
         now = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
-        for k in w:
-            mean[k] = 0.9 * mean[k] + 0.1 * g[k]
-            square[k] = 0.99 * square[k] + 0.01 * g[k] ** 2
-            w[k] -= (now * (mean[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(square[k] / (1 - 0.99 ** (i + 1))) + 1e-8)).astype(np.float32)
+        g = np.concatenate([g[k].ravel() for k in w])
+        mean *= 0.9
+        mean += np.multiply(g, 0.1, out=step)
+        g *= g
+        g *= 0.01
+        square *= 0.99
+        square += g
+        np.multiply(square, 1 / (1 - 0.99 ** (i + 1)), out=step)
+        np.sqrt(step, out=step)
+        step += 1e-8
+        np.divide(mean, step, out=step)
+        step *= now / (1 - 0.9 ** (i + 1))
+        all_w -= step
     return w, int(lengths.sum())
 
 
@@ -449,102 +513,55 @@ class Model:
 
 
 class _Words:
-    """The words a worker has met, END first: classes, input rows and, if there are shares, log shares and base terms, as growing arrays."""
+    """The words of a group of texts, END first: classes, input rows and, if there are shares, log shares and base terms."""
 
     def __init__(self, classes: Classes, frequent: dict[bytes, int], shares: Shares | None = None, weights: dict[str, np.ndarray] | None = None):
-        self.pieces, self.classes, self.frequent, self.shares = Pieces(classes.ranks), classes, frequent, shares
+        self.pieces, self.classes, self.shares = Pieces(classes.ranks), classes, shares
+        self.frequent, self.counts = pa.array(list(frequent), pa.binary()), np.append(np.array(list(frequent.values()), np.int64), 0)
         self.reader = Reader(weights) if weights else None
-        self.clear()
 
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.cls, self.start, self.size, self.count = (np.zeros(1024, np.int64) for _ in range(4))
-        self.inside, self.spelled = np.zeros(1024), np.zeros(1024)
-        self.flat, self.used = np.zeros(4096, np.int64), 0
-        self.kept = 0
+    def look(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        """The place of each word (none is END) among the different ones, which replace those of the group before."""
+        coded = pa.array(words, pa.binary()).dictionary_encode() if isinstance(words, list) else words.dictionary_encode()
+        self.words = pa.concat_arrays([pa.array([END.encode()], pa.binary()), coded.dictionary])
+        flat, self.sizes = self.pieces.of(self.words)
+        rows, self.size = self.classes.rows[flat], np.maximum(self.sizes, 1)
+        self.flat, self.start = np.insert(rows, 0, 0), np.cumsum(self.size) - self.size  # the end's own row
+        if self.shares:
+            self.cls = self.classes.of(self.words, flat, self.sizes)
+            self.count = self.counts[pc.fill_null(pc.index_in(self.words, value_set=self.frequent), len(self.frequent)).to_numpy(zero_copy_only=False)]
+            self.spelled = self.shares.spelled(self.cls, flat, rows, self.sizes)
+            self.inside = self.shares.inside(self.cls, self.count, self.spelled)
         if self.reader:
             self.reader.clear()
-        self.add([b"", *(w for w in self.frequent if w)])
-        self.kept, self.kept_rows = len(self.words), self.used
-
-    def forget(self) -> None:
-        """Back to the frequent words."""
-        for w in self.words[self.kept :]:
-            del self.index[w]
-        del self.words[self.kept :]
-        self.used = self.kept_rows
-        if self.reader:
-            self.reader.n = self.kept
+            self.reader.add(self.lists.vectors(self.reader.w["emb"], np.arange(len(self.size))))
+        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
     @property
     def lists(self) -> Lists:
         return Lists(self.flat, self.start, self.size)
 
-    def add(self, words: list[bytes]) -> None:
-        """Words that are not there yet, each once."""
-        first, (flat, sizes) = len(self.words), self.pieces(words)
-        end, rows = first + len(words), self.classes.rows[flat]
-        if first == 0:
-            rows = np.insert(rows, 0, 0)  # the end's own row
-        while end > len(self.start):
-            for name in ("cls", "start", "size", "count", "inside", "spelled"):
-                a = getattr(self, name)
-                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
-        while self.used + len(rows) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(rows)] = rows
-        held = np.maximum(sizes, 1)
-        self.start[first:end], self.size[first:end] = self.used + np.cumsum(held) - held, held
-        self.used += len(rows)
-        cls = self.cls[first:end] = self.classes.of(words, flat, sizes)
-        if self.shares:
-            self.count[first:end] = [self.frequent.get(w, 0) for w in words]
-            self.spelled[first:end] = self.shares.spelled(cls, flat, self.classes.rows[flat], sizes)
-            self.inside[first:end] = self.shares.inside(cls, self.count[first:end], self.spelled[first:end])
-        if self.reader:
-            self.reader.add(self.lists.vectors(self.reader.w["emb"], np.arange(first, end)))
-        self.index.update(zip(words, range(first, end), strict=True))
-        self.words += words
-
-    def look(self, words: list[bytes]) -> np.ndarray:
-        got = list(map(self.index.get, words))
-        if new := [i for i, x in enumerate(got) if x is None]:
-            self.add(list(dict.fromkeys(words[i] for i in new)))
-            for i in new:
-                got[i] = self.index[words[i]]
-        return np.array(got, np.int64)
-
 
 _workers: dict[str, _Words] = {}
 
 
 def _worker(name: str, *tools) -> _Words:
-    """The process's words for one model: a later task of the same worker goes on with them."""
+    """The process's tools for one model: a later task of the same worker goes on with them."""
     if name not in _workers:
         _workers.clear()
         _workers[name] = _Words(*tools)
-    if len(_workers[name].words) > CACHE:
-        _workers[name].forget()
     return _workers[name]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], text: str, words: _Words, most: int = 1 << 20):
-    """Rows of a batch in groups of about so many bytes: (batch, first row, end, the words of all texts, how many each has)."""
-    for b in batches:
-        texts = _binary(b.column(b.schema.get_field_index(text)))
-        held, sizes, first, n = [], [], 0, 0
-        for i, t in enumerate(texts):
-            raw = t.as_py() or b""
-            found = text_words(raw)
-            held += found
-            sizes.append(len(found))
-            n += len(raw)
-            if n >= most or i + 1 == len(texts):
-                if len(words.words) > CACHE:
-                    words.forget()
-                yield b, first, i + 1, words.look(held), np.array(sizes)
-                held, sizes, first, n = [], [], i + 1, 0
+def _dealt(sizes: np.ndarray, rng: np.random.Generator, share: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows that are drawn from texts of so many words: text, number in it, tokens (ends included), turn."""
+    n = -(-(sizes + 1) // WINDOW)
+    turn = (rng.random(n.sum()) * (rounds / share)).astype(np.int64)
+    text = np.repeat(np.arange(len(sizes)), n)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    drawn = turn < rounds
+    text, place = text[drawn], place[drawn]
+    return text, place, np.minimum(sizes[text] + 1 - place * WINDOW, WINDOW), turn[drawn]
 
 
 def draw_windows(docs: DataFrame, text: str = "text", share: float = 1.0, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
@@ -557,47 +574,88 @@ def draw_windows(docs: DataFrame, text: str = "text", share: float = 1.0, rounds
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
         for b in batches:
-            turns, found = [], []
-            for t in _binary(b.column(0)):
-                words = [b"", *text_words(t.as_py()), b""]
-                turn = (rng.random(-(-(len(words) - 1) // WINDOW)) * (rounds / share)).astype(np.int64)
-                for k in np.flatnonzero(turn < rounds).tolist():
-                    turns.append(int(turn[k]))
-                    found.append(b" ".join(words[k * WINDOW : (k + 1) * WINDOW + 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), pa.array(found, pa.binary())], names=["turn", "words"])
+            texts = [[b"", *text_words(t.as_py()), b""] for t in _binary(b.column(0))]
+            text, place, _, turn = _dealt(np.array([len(t) - 2 for t in texts], np.int64), rng, share, rounds)
+            found = [b" ".join(texts[t][k * WINDOW : (k + 1) * WINDOW + 1]) for t, k in zip(text.tolist(), place.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), pa.array(found, pa.binary())], names=["turn", "words"])
 
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "turn int, words binary")
 
 
-def _looked(batches: Iterator[pa.RecordBatch], words: _Words, most_words: int = CACHE, most: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of drawn windows -> the words of some windows end to end, and how many each has."""
-    for b in batches:
-        for i in range(0, len(b), most):
-            held = [w.as_py().split(b" ") for w in b.column(0)[i : i + most]]
-            if len(words.words) > most_words:
-                words.forget()
-            yield words.look(list(itertools.chain.from_iterable(held))), np.array([len(x) for x in held])
+#: Columns of coded windows with the kinds of their numbers: tokens of each window, then its words as places (one more than tokens: the word
+#: before is the first); of each different word the number of its rows, its rows, and its class if it is one by itself, else -1.
+CODED = {"tokens": np.uint8, "words": np.uint16, "sizes": np.uint32, "rows": np.uint16, "single": np.int16}
+
+
+def code_windows(docs: DataFrame, classes: Classes, text: str = "text", share: float = 1.0, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+    """The windows that draw_windows() draws, PACK at most to a row, with input rows for words: turn, n (windows), CODED."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(classes), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, words = np.random.default_rng((seed, TaskContext.get().partitionId())), _worker(name, shared.value, {})
+        for _, found, sizes in _groups(batches, "text"):
+            at, ends = words.look(found), np.cumsum(sizes)
+            padded = np.zeros(len(at) + len(sizes) + 1, np.int64)  # an end before each text and after the last one
+            padded[np.arange(len(at)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = at
+            lists, single = words.lists, words.classes.single(words.words)
+            text, place, tokens, turn = _dealt(sizes, rng, share, rounds)
+            first = (ends - sizes)[text] + text + place * WINDOW
+            out = []
+            for r in range(rounds):
+                of = np.flatnonzero(turn == r)
+                for k in range(0, len(of), PACK):
+                    part = of[k : k + PACK]
+                    size = tokens[part] + 1
+                    where = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    held, entry = np.unique(padded[where], return_inverse=True)
+                    rows, n = lists.expand(held)
+                    coded = zip((tokens[part], entry, n, rows, single[held]), CODED.values(), strict=True)
+                    out.append((r, len(part), *(x.astype(kind).tobytes() for x, kind in coded)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("turn", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in CODED)]))
+
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "turn bigint, n bigint, " + ", ".join(f"{c} binary" for c in CODED))
 
 
-def _met(drawn: DataFrame, classes: Classes) -> np.ndarray:
+@dataclass(frozen=True)
+class Coded:
+    """Windows: tokens of each, words end to end (one more than tokens each) as places in lists and single."""
+
+    tokens: np.ndarray
+    words: np.ndarray
+    lists: Lists
+    single: np.ndarray
+
+
+def _coded(b: pa.RecordBatch) -> Coded:
+    """The windows of the rows of code_windows() together."""
+    got = {c: [np.frombuffer(x.as_py(), kind) for x in b.column(c)] for c, kind in CODED.items()}
+    different = np.array([len(x) for x in got["sizes"]])
+    begin, entries = np.cumsum(different) - different, [len(x) for x in got["words"]]
+    tokens, words, size, rows, single = (np.concatenate(x).astype(np.int64) for x in got.values())
+    return Coded(tokens, words + np.repeat(begin, entries), Lists(rows, np.cumsum(size) - size, size), single)
+
+
+def _met(drawn: DataFrame) -> np.ndarray:
     """(rows, SINGLES): how often each input row stands in a window with each single word."""
-    shared, name = drawn.sparkSession.sparkContext.broadcast(classes), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = _worker(name, shared.value, {}), np.zeros((N_ROWS, SINGLES))
-        for at, n in _looked(batches, words):
-            window = np.repeat(np.arange(len(n)), n)
-            rows, size = words.lists.expand(at)
-            has, near = np.zeros((len(n), N_ROWS), np.float32), np.zeros((len(n), SINGLES), np.float32)
-            has[np.repeat(window, size), rows] = 1
-            single = words.cls[at] < SINGLES
-            near[window[single], words.cls[at][single]] = 1
-            sums += has.T @ near
+        sums = np.zeros((N_ROWS, SINGLES))
+        for b in batches:
+            for i in range(len(b)):
+                c = _coded(b.slice(i, 1))
+                window = np.repeat(np.arange(len(c.tokens)), c.tokens + 1)
+                rows, size = c.lists.expand(c.words)
+                has, near = np.zeros((len(c.tokens), N_ROWS), np.float32), np.zeros((len(c.tokens), SINGLES), np.float32)
+                has[np.repeat(window, size), rows] = 1
+                single = c.single[c.words]
+                near[window[single >= 0], single[single >= 0]] = 1
+                sums += has.T @ near
         row, single = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(single), pa.array(sums[row, single])], names=["row", "single", "n"])
 
     out = np.zeros((N_ROWS, SINGLES))
-    got = drawn.select("words").mapInArrow(run, "row bigint, single bigint, n double").groupBy("row", "single").agg(F.sum("n").alias("n")).toArrow()
+    got = drawn.select(*CODED).mapInArrow(run, "row bigint, single bigint, n double").groupBy("row", "single").agg(F.sum("n").alias("n")).toArrow()
     out[np.asarray(got["row"]), np.asarray(got["single"])] = np.asarray(got["n"])
     return out
 
@@ -609,8 +667,8 @@ def count_shares(counts: DataFrame, classes: Classes, id_counts: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, pieces = shared.value, Pieces(shared.value.ranks)
         for b in batches:
-            words = _binary(b.column(0)).to_pylist()
-            flat, sizes = pieces(words)
+            words = _binary(b.column(0))
+            flat, sizes = pieces.of(words)
             cls = classes.of(words, flat, sizes)
             inner = np.repeat(cls >= SINGLES, sizes)
             steps = spelling_keys(cls[cls >= SINGLES] - SINGLES, classes.rows[flat[inner]], sizes[cls >= SINGLES])
@@ -625,6 +683,20 @@ def count_shares(counts: DataFrame, classes: Classes, id_counts: np.ndarray) ->
     return Shares.make(*by_class, key[what == 2], n[what == 2], id_counts, classes.rows)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with n windows each, gathered to at least TASK_WINDOWS or what is left."""
+    held, n = [], 0
+    for b in batches:
+        for i in range(len(b)):
+            held.append(b.slice(i, 1))
+            n += b.column("n")[i].as_py()
+            if n >= TASK_WINDOWS:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rounds: int = ROUNDS, share: float = 1.0, seed: int = 0) -> Model:
     """The model and the word counts of docs, all rows of which are training texts. An empty table gives a model that knows no word."""
     with open(vocabulary, "rb") as f:
@@ -643,39 +715,41 @@ def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rou
     frequent = {w.encode(): n for w, n in zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)}
     most = [r["word"].encode() for r in counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(SINGLES - 1).collect()]
     singles = {w: i for i, w in enumerate([b"", *most])}
-    drawn = checkpoint(draw_windows(docs, text, share, rounds, seed))
     ids = count_ids(counts, ranks)
     classes = Classes(ranks, singles, input_rows(ids), np.zeros((N_ROWS, CLUSTERS), np.float32), np.zeros(CLUSTERS, np.float32))
-    classes = Classes(ranks, singles, classes.rows, *make_clusters(_met(drawn, classes)))
+    # Windows of a part come from many texts. There are no more of them than one to so many tokens and one to a text.
+    parts = -(-(tokens // WINDOW + ends) // (TASK_WINDOWS * rounds))
+    drawn = checkpoint(code_windows(docs, classes, text, share, rounds, seed).repartition(max(1, int(parts))))
+    classes = Classes(ranks, singles, classes.rows, *make_clusters(_met(drawn)))
     shares = count_shares(counts, classes, ids)
     weights = start_weights(shares.n)
 
     shapes = {k: v.shape for k, v in weights.items()}
-    name, tools = uuid.uuid4().hex, sc.broadcast(classes)
-    sizes = {r["turn"]: r["count"] for r in drawn.groupBy("turn").count().collect()}
+    tools = sc.broadcast(Classes(b"", {}, classes.rows, classes.points, classes.level))
     for turn in range(rounds):
         now = sc.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            words = _worker(name, tools.value, {})
-            words.forget()  # and not again: the task's windows stay
-            held = [np.split(at, np.cumsum(n)[:-1]) for at, n in _looked(batches, words, sys.maxsize)]
-            if held := list(itertools.chain.from_iterable(held)):
-                lengths = np.array([len(a) - 1 for a in held])
-                inputs, targets = np.zeros((2, len(held), WINDOW), np.int64)
-                for i, a in enumerate(held):
-                    inputs[i, : len(a) - 1], targets[i, : len(a) - 1] = a[:-1], words.cls[a[1:]]
-                new, seen = train(now.value, words.lists, inputs, targets, lengths, seed=turn)
-                flat = np.concatenate([new[k].ravel() for k in shapes]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "x", "seen"])
-
-        dealt = drawn.where(F.col("turn") == turn).select("words").repartition(max(1, -(-sizes.get(turn, 0) // TASK_WINDOWS)))
-        got = dealt.mapInArrow(run, "i bigint, x double, seen double").groupBy("i").agg((F.sum("x") / F.sum("seen")).alias("x")).toArrow()
+            total, seen = 0.0, 0
+            for b in _runs(batches):
+                c = _coded(b)
+                cls = np.where(c.single >= 0, c.single, tools.value.clusters(c.lists.flat, c.lists.size))
+                inside = np.arange(WINDOW) < c.tokens[:, None]
+                inputs, targets = np.zeros((2, *inside.shape), np.int64)
+                ends = np.cumsum(c.tokens + 1)
+                inputs[inside], targets[inside] = np.delete(c.words, ends - 1), cls[np.delete(c.words, ends - c.tokens - 1)]
+                new, n = train(now.value, c.lists, inputs, targets, c.tokens, seed=turn)
+                total, seen = total + n * np.concatenate([new[k].ravel() for k in shapes]).astype(np.float64), seen + n
+            if seen:
+                flat = np.append(total, seen)  # the last one counts
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
+
+        got = drawn.where(F.col("turn") == turn).select("n", *CODED).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
         if got.num_rows:
-            flat = np.empty(got.num_rows, np.float32)
+            flat = np.empty(got.num_rows)
             flat[np.asarray(got["i"])] = np.asarray(got["x"])
             cuts = np.cumsum([math.prod(s) for s in shapes.values()])[:-1]
-            weights = {k: v.reshape(s) for (k, s), v in zip(shapes.items(), np.split(flat, cuts), strict=True)}
+            weights = {k: v.reshape(s) for (k, s), v in zip(shapes.items(), np.split((flat[:-1] / flat[-1]).astype(np.float32), cuts), strict=True)}
     return Model(weights, classes, shares, counts, int(tokens), int(distinct), frequent, len(frequent) == distinct, int(ends))
 
 
@@ -693,20 +767,18 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _worker(name, *shared.value)
-        for b, first, stop, at, n in _groups(batches, "text", words):
-            text_of = np.repeat(np.arange(len(n)), n)
+        for part, found, n in _groups(batches, "text"):
+            at, text_of = words.look(found), np.repeat(np.arange(len(n)), n)
             c = words.count[at]
             known = np.bincount(text_of, c > 0, len(n)).astype(np.int64) + (end_count > 0)
-            base = np.bincount(text_of, np.log10(c + 1.0), len(n)) + math.log10(end_count + 1)
+            base = np.bincount(text_of, np.log10(words.count + 1.0)[at], len(n)) + math.log10(end_count + 1)
             total = (np.bincount(text_of, words.inside[at], len(n)) - words.reader.nll(at, words.cls[at], n)) / ln10
             # The words that the task knows no count of, each once for each text.
             unknown = (c == 0) & (not whole)
             pair, times = np.unique(text_of[unknown] * len(words.words) + at[unknown], return_counts=True)
             word = pair % len(words.words)
-            spelled = pa.array([words.words[j] for j in word.tolist()], pa.binary()).cast(pa.string())
-            rare = pa.StructArray.from_arrays([spelled, pa.array(times), pa.array(words.spelled[word])], names=["word", "n", "spelled"])
+            rare = pa.StructArray.from_arrays([words.words.take(pa.array(word)).cast(pa.string()), pa.array(times), pa.array(words.spelled[word])], names=["word", "n", "spelled"])
             ends = np.searchsorted(pair // len(words.words), np.arange(len(n) + 1))
-            part = b.slice(first, stop - first)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], names=["row", "row_id", "n_tokens", "n_known", "base", "score", "rare"])
 
     kind = read.schema["row"].dataType.simpleString()

@@ -285,6 +285,33 @@ def test_windows_are_drawn_whole(spark):
     assert lm.draw_windows(d.where("false")).count() == 0
 
 
+def test_coded_windows_are_those_drawn(spark):
+    """Words are looked up once: the stored windows hold the rows and single classes of the words that draw_windows() gives."""
+    with open(lm.VOCABULARY, "rb") as f:
+        ranks = f.read()
+    rows, pieces = np.arange(len(ranks.splitlines())) % (lm.N_ROWS - 1) + 1, lm.Pieces(ranks)
+    classes = lm.Classes(ranks, {b"": 0, b"the": 1}, rows, np.zeros((lm.N_ROWS, lm.CLUSTERS), np.float32), np.zeros(lm.CLUSTERS, np.float32))
+    texts = [None, "", " The end.\t", "a\u00a0b THE x", "x" * 3000, " ".join(f"w{i} the" for i in range(700)), "\x1c \u3000 é"] * 2
+    d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = []
+    for r in lm.draw_windows(d).collect():
+        words = r.words.split(b" ")
+        flat, sizes = pieces(words)
+        lists = np.split(rows[flat], np.cumsum(sizes)[:-1])
+        want.append((r.turn, [(x.tolist() or [0], {b"": 0, b"the": 1}.get(w, -1)) for w, x in zip(words, lists, strict=True)]))
+    got = []
+    for b in lm.code_windows(d, classes).toArrow().to_batches():
+        for i in range(len(b)):
+            c = lm._coded(b.slice(i, 1))
+            assert b.column("n")[i].as_py() == len(c.tokens) <= lm.PACK
+            flat, size = c.lists.expand(c.words)
+            words = [(x.tolist(), k) for x, k in zip(np.split(flat, np.cumsum(size)[:-1]), c.single[c.words].tolist(), strict=True)]
+            ends = np.cumsum(c.tokens + 1).tolist()
+            got += [(b.column("turn")[i].as_py(), words[e - n - 1 : e]) for e, n in zip(ends, c.tokens.tolist(), strict=True)]
+    assert sorted(got) == sorted(want) and len(got) > 60
+    assert lm.code_windows(d.where("false"), classes).count() == 0
+
+
 def test_the_network_learns_from_all_windows(spark):
     words = [f"w{i}" for i in range(400)]
     d = spark.createDataFrame([(" ".join(words[:n]),) for n in (400, 200, 5)], "text string")
