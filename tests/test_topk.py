@@ -78,3 +78,17 @@ def test_odd_input(spark):
     assert topk.search(topk.build(rows), odd, 8).count() == 0
     null = rows.unionByName(rows.selectExpr("head", "slot + 10 as slot", "cast(null as array<double>) as rep"))
     assert topk.search(topk.build(null, 2), queries, 8).count() == 3
+
+
+def test_visits_come_in_bounded_batches():
+    """A query that visits all of many blocks repeats its vector for each: a task holds VISITS of them, not a whole batch's."""
+    import pyarrow as pa
+
+    rng, n, blocks = np.random.default_rng(4), 3000, 100
+    batch = pa.record_batch([pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array(rng.standard_normal((n, 4)).tolist())], names=["query_id", "head", "q"])
+    index = {0: (rng.standard_normal((blocks, 4)), np.ones(blocks), np.ones(blocks, int))}
+    everything = lambda part, centres, radii, count: np.divmod(np.arange(part.num_rows * len(centres)), len(centres))
+    got = list(topk._chosen(index, everything)(iter([batch])))
+    assert max(b.num_rows for b in got) <= topk.VISITS < n * blocks
+    pairs = [(i, j) for b in got for i, j in zip(b.column("query_id").to_pylist(), b.column("block").to_pylist(), strict=True)]
+    assert pairs == [(i, j) for i in range(n) for j in range(blocks)]
