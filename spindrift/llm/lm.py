@@ -272,8 +272,10 @@ class Shares:
         steps = spelling_keys(cluster, rows, sizes)
         terms = self.left[steps // N_ROWS] + self.log_rows[steps // N_ROWS // (BEFORE + 2), steps % N_ROWS]
         if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, steps), len(self.keys) - 1)
-            terms = np.where(self.keys[at] == steps, self.pairs[at], terms)
+            order = np.argsort(steps)  # neighbours are looked up near each other
+            at = np.minimum(np.searchsorted(self.keys, steps[order]), len(self.keys) - 1)
+            met = self.keys[at] == steps[order]
+            terms[order[met]] = self.pairs[at[met]]
         word_of = np.arange(len(classes))
         log = np.bincount(np.repeat(word_of, sizes + 1), terms, len(classes)) + np.bincount(np.repeat(word_of, sizes), self.in_row[ids], len(classes))
         return np.where(classes >= SINGLES, (self.types[classes] + 1) * np.exp(np.maximum(log, -600.0)), 0.0)
@@ -317,6 +319,18 @@ class Lists:
 
 
 def means(emb: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The mean vector of each of the groups of rows that lie end to end."""
+    if len(size) > 4096 and size.max() <= 64:  # row by row of all groups
+        order, start = np.argsort(-size.astype(np.int8), kind="stable"), np.cumsum(size) - size
+        out, left = np.zeros((len(size), emb.shape[1]), emb.dtype), np.cumsum(np.bincount(size)[::-1])[::-1]
+        first = start[order]
+        for j in range(int(size.max())):
+            n = int(left[j + 1])
+            out[:n] += emb.take(rows[first[:n] + j], axis=0)
+        out /= size[order, None].astype(emb.dtype)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
     return np.add.reduceat(emb.take(rows, axis=0), np.cumsum(size) - size) / size[:, None].astype(emb.dtype)
 
 
@@ -600,14 +614,17 @@ def code_windows(docs: DataFrame, classes: Classes, text: str = "text", share: f
             lists, single = words.lists, words.classes.single(words.words)
             text, place, tokens, turn = _dealt(sizes, rng, share, rounds)
             first = (ends - sizes)[text] + text + place * WINDOW
-            out = []
+            out, met, number = [], np.zeros(len(words.words), bool), np.zeros(len(words.words), np.int64)
             for r in range(rounds):
                 of = np.flatnonzero(turn == r)
                 for k in range(0, len(of), PACK):
                     part = of[k : k + PACK]
                     size = tokens[part] + 1
                     where = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    held, entry = np.unique(padded[where], return_inverse=True)
+                    met[padded[where]] = True
+                    held = np.flatnonzero(met)
+                    met[held], number[held] = False, np.arange(len(held))
+                    entry = number[padded[where]]
                     rows, n = lists.expand(held)
                     coded = zip((tokens[part], entry, n, rows, single[held]), CODED.values(), strict=True)
                     out.append((r, len(part), *(x.astype(kind).tobytes() for x, kind in coded)))
