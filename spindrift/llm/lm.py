@@ -12,8 +12,8 @@ windows of the training texts, another part of them in each round: every task im
 results are averaged by tokens after the round.
 
 A text is scored in windows of ``WINDOW`` tokens that overlap: every token is predicted once, by the window that gives it most
-context. Windows of many texts go through the model together, with the causal mask. The subwords of a word are looked up once per
-word, not per occurrence. Words of the training corpus beyond the ``FREQUENT`` most frequent ones are not sent to the tasks: their
+context. Windows of many texts go through the model together, with the causal mask. The subwords of a word are looked up once for
+some megabytes of text, not per occurrence. Words of the training corpus beyond the ``FREQUENT`` most frequent ones are not sent to the tasks: their
 counts meet the texts in a join on the word.
 """
 
