@@ -50,6 +50,8 @@ WINDOW, CONTEXT, WIDTH, HIDDEN = 32, 8, 16, 32
 FREQUENT = 300_000
 #: Rounds that all windows are dealt to, windows that are trained on in a row, windows stored together (their words fit two bytes).
 ROUNDS, TASK_WINDOWS, PACK = 4, 8192, 512
+#: Parts of the weights that are summed apart from each other.
+SLICES = 64
 #: Weight of the subword ids of all words beside those of a cluster's words.
 COMMON = 50.0
 _OTHER_SPACE = re.compile(r"[^\S ]")
@@ -125,7 +127,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, n
 
 
-def _groups(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 23) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
     """Rows of a batch in groups of about so many bytes, with their words end to end and how many each has."""
     for b in batches:
         texts = b.column(b.schema.get_field_index(text))
@@ -313,9 +315,27 @@ class Lists:
         size = self.size[at]
         return self.flat[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
+    def steps(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What step_means() takes the rows of the words at by: the first rows of all, then the second rows of those that have two, and so on.
+
+        rows; the word that each is of, as its place in order; how many have a first row, a second one, ...; order: words by falling size; back:
+        the place of each in order; size of each in order. A very long word is no reason for many short steps: None for all but rows, places, size.
+        """
+        size = self.size[at]
+        if (most := int(size.max(initial=1))) > 64:
+            rows, size = self.expand(at)
+            return rows, np.repeat(np.arange(len(size)), size), None, None, None, size
+        order = np.argsort(-size.astype(np.int8), kind="stable")
+        size, back = size[order], np.empty_like(order)
+        back[order] = np.arange(len(order))
+        left = len(at) - np.cumsum(np.bincount(size, minlength=most + 1))[:most]
+        first = np.cumsum(left) - left
+        place = np.arange(first[-1] + left[-1]) - np.repeat(first, left)
+        return self.flat[self.start[at[order]][place] + np.repeat(np.arange(most), left)], place, left, order, back, size
+
     def vectors(self, emb: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The mean of the rows' vectors of each word at."""
-        return means(emb, *self.expand(at))
+        return step_means(emb, self.steps(at))
 
 
 def means(emb: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -334,23 +354,48 @@ def means(emb: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.add.reduceat(emb.take(rows, axis=0), np.cumsum(size) - size) / size[:, None].astype(emb.dtype)
 
 
-def forward(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple]:
-    """Words (windows, WINDOW) -> (windows, WINDOW, WIDTH) before the output layer; what the gradient needs. held: words.expand(x)."""
-    e = means(w["emb"], *(held or words.expand(x.ravel()))).reshape(*x.shape, WIDTH)
+def step_means(emb: np.ndarray, held: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The mean vectors of the words that Lists.steps() gave."""
+    rows, _, left, _, back, size = held
+    if left is None:
+        return means(emb, rows, size)
+    got = emb.take(rows, axis=0)
+    out, first = got[: len(size)], len(size)
+    for n in left[1:].tolist():
+        out[:n] += got[first : first + n]
+        first += n
+    out *= (1 / size).astype(emb.dtype)[:, None]
+    return out.take(back, axis=0)
+
+
+def forward(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, held: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, tuple]:
+    """Words (windows, WINDOW) -> (windows, WINDOW, WIDTH) before the output layer; what the gradient needs. held: words.steps(x)."""
+    flat = step_means(w["emb"], held or words.steps(x.ravel()))
+    e = flat.reshape(*x.shape, WIDTH)
     e += w["pos"]
-    flat = e.reshape(-1, WIDTH)
-    qkv = (flat @ np.concatenate([w["q"] * w["q"].dtype.type(1 / math.sqrt(WIDTH)), w["k"], w["v"]], axis=1)).reshape(*x.shape, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    a = q @ k.transpose(0, 2, 1)
+    mix = _mix(w)
+    qkv = (flat @ mix).reshape(*x.shape, -1)
+    qkv[..., 3 * WIDTH] = 1  # sums over rows ride along in the products: a column of ones beside the values
+    a = qkv[..., :WIDTH] @ qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+    tame = _tame(a)
     a += _HIDE
-    _exp(a, _longest(qkv.reshape(-1, 3 * WIDTH)[:, :WIDTH]) * _longest(qkv.reshape(-1, 3 * WIDTH)[:, WIDTH : 2 * WIDTH]))
-    a /= np.einsum("bij->bi", a)[..., None]
-    c = (a @ v).reshape(-1, WIDTH)
-    h = flat + c @ w["o"]
+    _exp(a, tame)
+    c = (a @ qkv[..., 2 * WIDTH :]).reshape(-1, WIDTH + 1)
+    r = 1 / c[:, WIDTH:]
+    c = c[:, :WIDTH] * r
+    h = c @ w["o"]
+    h += flat
     m = h @ w["w1"]
     m += w["b1"]
     np.maximum(m, 0, out=m)
-    return (h + m @ w["w2"]).reshape(*x.shape, WIDTH), (flat, q, k, v, a, c, h, m)
+    y = m @ w["w2"]
+    y += h
+    return y.reshape(*x.shape, WIDTH), (flat, mix, qkv, a, r, c, h, m)
+
+
+def _mix(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Queries (scaled), keys and values in one product, and a column for ones."""
+    return np.concatenate([w["q"] * w["q"].dtype.type(1 / math.sqrt(WIDTH)), w["k"], w["v"], np.zeros((WIDTH, 1), w["q"].dtype)], axis=1)
 
 
 def log_probs(w: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -359,47 +404,63 @@ def log_probs(w: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+_PLACES = np.arange(N_ROWS * WIDTH).reshape(N_ROWS, WIDTH)
+
+
 def gradient(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the scored positions and its gradient."""
-    rows, size = held = words.expand(x.ravel())
-    y, (e, q, k, v, a, c, h, m) = forward(w, words, x, held)
-    y, at, t = y.reshape(-1, WIDTH), np.flatnonzero(scored), target[scored]
-    n, ys, each = max(len(t), 1), y[at], np.arange(len(t))
-    z = ys @ w["out"]
-    z += w["bias"]
+    rows, place, _, order, _, size = held = words.steps(x.ravel())
+    y, (e, mix, qkv, a, r, c, h, m) = forward(w, words, x, held)
+    y, every = y.reshape(-1, WIDTH), bool(scored.all())
+    at, t = (slice(None), target.ravel()) if every else (np.flatnonzero(scored), target[scored])
+    n, each = max(len(t), 1), np.arange(len(t))
+    ys = np.ones((len(t), WIDTH + 1), y.dtype)  # one more for the bias
+    ys[:, :WIDTH] = y[at]
+    z = ys @ np.concatenate([w["out"], w["bias"][None]])
     aim = z[each, t]
-    z, shift = _exp(z, _longest(ys) * _longest(w["out"].T) + float(np.abs(w["bias"]).max()))
+    z, shift = _exp(z, _tame(z))
     total = z @ np.ones(z.shape[1], z.dtype)
     loss = float((np.log(total) + np.ravel(shift) - aim).sum()) / n
-    z *= (1 / (n * total))[:, None]
-    z[each, t] -= 1 / n
-    g = {"out": ys.T @ z, "bias": np.ones(len(z), z.dtype) @ z}
-    dy = np.zeros_like(y)
-    dy[at] = z @ w["out"].T
+    z[each, t] -= total
+    part = (1 / (n * total))[:, None].astype(z.dtype)
+    ys *= part
+    head = ys.T @ z
+    g = {"out": head[:WIDTH], "bias": head[WIDTH]}
+    dy = z @ w["out"].T
+    dy *= part
+    if not every:
+        dy, some = np.zeros_like(y), dy
+        dy[at] = some
     g["w2"] = m.T @ dy
     dm = dy @ w["w2"].T
     dm *= m > 0
-    g["w1"], g["b1"] = h.T @ dm, dm.sum(axis=0)
-    dh = dy
-    dh += dm @ w["w1"].T
+    g["w1"], g["b1"] = h.T @ dm, np.ones(len(dm), dm.dtype) @ dm
+    dh = dm @ w["w1"].T
+    dh += dy
     g["o"] = c.T @ dh
-    dc = (dh @ w["o"].T).reshape(*x.shape, WIDTH)
-    dqkv = np.empty((*x.shape, 3 * WIDTH), y.dtype)
-    ds = dc @ v.transpose(0, 2, 1)
-    np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[..., 2 * WIDTH :])
+    # What a row of the softmax takes off is the product of its result and that one's gradient; it rides along as the ones' column.
+    dc = np.empty((len(c), WIDTH + 1), c.dtype)
+    np.matmul(dh, w["o"].T, out=dc[:, :WIDTH])
+    dc[:, WIDTH] = -np.einsum("ij,ij->i", dc[:, :WIDTH], c)
+    dc *= r
+    dc = dc.reshape(*x.shape, WIDTH + 1)
+    q, k, v1 = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    ds = dc @ v1.transpose(0, 2, 1)
     ds *= a
-    ds -= a * np.einsum("bij->bi", ds)[..., None]
+    dqkv = np.empty((*x.shape, 3 * WIDTH), y.dtype)
     np.matmul(ds, k, out=dqkv[..., :WIDTH])
     np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dc[..., :WIDTH], out=dqkv[..., 2 * WIDTH :])
     dqkv = dqkv.reshape(-1, 3 * WIDTH)
-    scale = y.dtype.type(1 / math.sqrt(WIDTH))
-    dqkv[:, :WIDTH] *= scale
-    g["q"], g["k"], g["v"] = np.split(e.T @ dqkv, 3, axis=1)
-    de = dh + dqkv @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
+    parts = e.T @ dqkv
+    g["q"], g["k"], g["v"] = parts[:, :WIDTH] * y.dtype.type(1 / math.sqrt(WIDTH)), parts[:, WIDTH : 2 * WIDTH], parts[:, 2 * WIDTH :]
+    de = dqkv @ mix[:, : 3 * WIDTH].T
+    de += dh
     g["pos"] = de.reshape(*x.shape, WIDTH).sum(axis=0)
-    each = np.repeat(de / size[:, None].astype(de.dtype), size, axis=0)
-    place = rows[:, None] * WIDTH + np.arange(WIDTH)
-    g["emb"] = np.bincount(place.ravel(), each.ravel(), w["emb"].size).reshape(w["emb"].shape).astype(de.dtype)
+    if order is not None:
+        de = de.take(order, axis=0)
+    de *= (1 / size).astype(de.dtype)[:, None]
+    g["emb"] = np.bincount(_PLACES.take(rows, axis=0).ravel(), de.take(place, axis=0).ravel(), w["emb"].size).reshape(w["emb"].shape)
     return loss, g
 
 
@@ -419,51 +480,52 @@ def train(w: dict[str, np.ndarray], words: Lists, inputs: np.ndarray, targets: n
     shapes = {k: v.shape for k, v in w.items()}
     all_w = np.concatenate([v.ravel() for v in w.values()])
     w = dict(zip(shapes, (p.reshape(s) for p, s in zip(np.split(all_w, np.cumsum([v.size for v in w.values()])[:-1]), shapes.values(), strict=True)), strict=True))  # views
-    mean, square, step = np.zeros_like(all_w), np.zeros_like(all_w), np.empty_like(all_w)
+    # mean and square: the running sums of Adam, ten and a hundred times the usual ones.
+    mean, square, step, flat = np.zeros_like(all_w), np.zeros_like(all_w), np.empty_like(all_w), np.empty_like(all_w)
+    slots = {k: p.reshape(w[k].shape) for k, p in zip(w, np.split(flat, np.cumsum([v.size for v in w.values()])[:-1]), strict=True)}
     order = np.random.default_rng(seed).permutation(len(inputs))
-    steps = -(-len(order) // batch)
+    steps, inside = -(-len(order) // batch), np.arange(WINDOW) < lengths[:, None]
     for i in range(steps):
         part = order[i * batch : (i + 1) * batch]
-        _, g = gradient(w, words, inputs[part], targets[part], np.arange(WINDOW) < lengths[part][:, None])
+        _, g = gradient(w, words, inputs[part], targets[part], inside[part])
         now = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
-        g = np.concatenate([g[k].ravel() for k in w])
+        for k, slot in slots.items():
+            slot[...] = g[k]
         mean *= 0.9
-        mean += np.multiply(g, 0.1, out=step)
-        g *= g
-        g *= 0.01
+        mean += flat
+        flat *= flat
         square *= 0.99
-        square += g
-        np.multiply(square, 1 / (1 - 0.99 ** (i + 1)), out=step)
-        np.sqrt(step, out=step)
-        step += 1e-8
+        square += flat
+        np.sqrt(square, out=step)
+        size = math.sqrt(0.01 / (1 - 0.99 ** (i + 1)))
+        step += 1e-8 / size
         np.divide(mean, step, out=step)
-        step *= now / (1 - 0.9 ** (i + 1))
+        step *= now * 0.1 / ((1 - 0.9 ** (i + 1)) * size)
         all_w -= step
     return w, int(lengths.sum())
 
 
-def _exp(z: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray | float]:
-    """exp(z - shift) in place and the shift, by which no row overflows: none if the bound says that no entry is large."""
+def _tame(z: np.ndarray) -> bool:
+    """Whether no entry is so large or small that its exponential, or a sum of them, leaves single precision."""
+    return bool(z.max(initial=0) < 60 and z.min(initial=0) > -60)
+
+
+def _exp(z: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp(z - shift) in place and the shift, by which no row overflows: none if tame."""
     shift = 0.0
-    if not bound < 60:
+    if not tame:
         shift = z.max(axis=-1, keepdims=True)
         z -= shift
     return np.exp(z, out=z), shift
 
 
-def _longest(a: np.ndarray) -> float:
-    """Length of the longest row."""
-    return float(np.sqrt(np.einsum("ij,ij->i", a, a).max(initial=0.0)))
-
-
 class Reader:
     """The network, ready to score: the vectors of words as a growing table."""
 
     def __init__(self, w: dict[str, np.ndarray]):
-        self.w = w
-        self.qkv = np.concatenate([w["q"] * np.float32(1 / math.sqrt(WIDTH)), w["k"], w["v"], np.zeros((WIDTH, 1), np.float32)], axis=1)
+        self.w, self.qkv = w, _mix(w)
         self.head = np.concatenate([w["out"], w["bias"][None]])
-        self.reach, self.ones = _longest(self.head.T), np.ones(self.head.shape[1], np.float32)
+        self.ones = np.ones(self.head.shape[1], np.float32)
         self.clear()
 
     def clear(self) -> None:
@@ -485,29 +547,34 @@ class Reader:
         first, stop, scored_from = windows(lengths + 1)
         text = np.repeat(np.arange(len(lengths)), lengths + 1)
         steps, out = np.arange(WINDOW), np.zeros(len(inputs))
-        for i in range(0, len(first), batch):
-            at = first[i : i + batch][:, None] + steps
-            end = stop[i : i + batch][:, None]
-            scored = np.flatnonzero((at < end) & (at >= scored_from[i : i + batch][:, None]))
-            e = self.table[inputs[np.minimum(at, end - 1)]]
-            e += w["pos"]
-            x = (e.reshape(-1, WIDTH) @ self.qkv).reshape(*at.shape, -1)
-            x[..., 3 * WIDTH] = 1  # sums over rows ride along in the products: a column of ones beside the values
-            s = x[..., :WIDTH] @ x[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
-            s += _HIDE
-            a, _ = _exp(s, _longest(x[..., :WIDTH].reshape(-1, WIDTH)) * _longest(x[..., WIDTH : 2 * WIDTH].reshape(-1, WIDTH)))
-            c = (a @ x[..., 2 * WIDTH :]).reshape(-1, WIDTH + 1)[scored]
-            h = e.reshape(-1, WIDTH)[scored]
-            h += (c[:, :-1] / c[:, -1:]) @ w["o"]
-            m = h @ w["w1"]
-            m += w["b1"]
-            y = np.ones((len(h), WIDTH + 1), np.float32)  # one more for the bias
-            y[:, :-1] = h + np.maximum(m, 0, out=m) @ w["w2"]
-            z = y @ self.head
-            place = at.ravel()[scored]
-            aim = z[np.arange(len(place)), targets[place]].astype(np.float64)
-            z, shift = _exp(z, _longest(y) * self.reach)
-            out[place] = np.log(z @ self.ones) + np.ravel(shift) - aim
+        later, full = scored_from > first, first + WINDOW <= stop
+        # Windows of one kind go together: those that begin a text, or only read the first positions; those that a text fills, or not.
+        for lead, whole in itertools.product((0, CONTEXT), (True, False)):
+            kind = np.flatnonzero((later == (lead > 0)) & (full == whole))
+            for i in range(0, len(kind), batch):
+                at = first[kind[i : i + batch]][:, None] + steps
+                end = stop[kind[i : i + batch]][:, None]
+                e = self.table.take(inputs.take(at if whole else np.minimum(at, end - 1)), axis=0)
+                e += w["pos"]
+                x = (e.reshape(-1, WIDTH) @ self.qkv).reshape(*at.shape, -1)
+                x[..., 3 * WIDTH] = 1  # sums over rows ride along in the products: a column of ones beside the values
+                s = x[:, lead:, :WIDTH] @ x[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+                tame = _tame(s)
+                s += _HIDE[lead:]
+                a, _ = _exp(s, tame)
+                c, h, place = (a @ x[..., 2 * WIDTH :]).reshape(-1, WIDTH + 1), e[:, lead:].reshape(-1, WIDTH), at[:, lead:].ravel()
+                if not whole:
+                    scored = np.flatnonzero((at < end)[:, lead:])
+                    c, h, place = c.take(scored, axis=0), h.take(scored, axis=0), place.take(scored)
+                h += (c[:, :-1] / c[:, -1:]) @ w["o"]
+                m = h @ w["w1"]
+                m += w["b1"]
+                y = np.ones((len(h), WIDTH + 1), np.float32)  # one more for the bias
+                np.add(h, np.maximum(m, 0, out=m) @ w["w2"], out=y[:, :-1])
+                z = y @ self.head
+                aim = z[np.arange(len(place)), targets.take(place)].astype(np.float64)
+                z, shift = _exp(z, _tame(z))
+                out[place] = np.log(z @ self.ones) + np.ravel(shift) - aim
         return np.bincount(text, out, len(lengths))
 
 
@@ -527,29 +594,63 @@ class Model:
 
 
 class _Words:
-    """The words of a group of texts, END first: classes, input rows and, if there are shares, log shares and base terms."""
+    """The different words of a group of texts: classes, input rows and, if there are shares, log shares and base terms.
+
+    END comes first, then the frequent words, which are looked at once, then those of the group that are none of them.
+    """
 
     def __init__(self, classes: Classes, frequent: dict[bytes, int], shares: Shares | None = None, weights: dict[str, np.ndarray] | None = None):
         self.pieces, self.classes, self.shares = Pieces(classes.ranks), classes, shares
-        self.frequent, self.counts = pa.array(list(frequent), pa.binary()), np.append(np.array(list(frequent.values()), np.int64), 0)
         self.reader = Reader(weights) if weights else None
+        counts = np.fromiter(frequent.values(), np.int64, len(frequent))
+        order = np.argsort(-counts, kind="stable")  # what is read most lies together
+        self.frequent, counts = pa.array(list(frequent), pa.binary()).take(pa.array(order)), counts[order]
+        self.kept = self._made(pa.concat_arrays([pa.array([END.encode()], pa.binary()), self.frequent]), np.append(frequent.get(END.encode(), 0), counts))
+        self._hold(self.kept)
+
+    def _made(self, words: pa.Array, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """What is known of each word."""
+        flat, sizes = self.pieces.of(words)
+        rows, size = self.classes.rows[flat], np.maximum(sizes, 1)
+        if (none := np.flatnonzero(sizes == 0)).size:
+            rows = np.insert(rows, (np.cumsum(sizes) - sizes)[none], 0)  # the end's own row
+        out = {"flat": rows, "size": size}
+        if self.shares:
+            full = rows if not none.size else self.classes.rows[flat]
+            cls = self.classes.of(words, flat, sizes)
+            spelled = self.shares.spelled(cls, flat, full, sizes)
+            out |= {"cls": cls, "count": counts, "spelled": spelled, "inside": self.shares.inside(cls, counts, spelled)}
+        else:
+            out["single"] = self.classes.single(words)
+        if self.reader:
+            out["vectors"] = means(self.reader.w["emb"], rows, size)
+        return out
+
+    def _hold(self, got: dict[str, np.ndarray]) -> None:
+        self.flat, self.size = got["flat"], got["size"]
+        self.start = np.cumsum(self.size) - self.size
+        for k in ("cls", "count", "spelled", "inside", "single"):
+            setattr(self, k, got.get(k))
+        if self.reader:
+            self.reader.table = got["vectors"]
 
     def look(self, words: list[bytes] | pa.Array) -> np.ndarray:
-        """The place of each word (none is END) among the different ones, which replace those of the group before."""
+        """The place of each word (none is END) among the different ones; those of the group before are no longer held."""
         coded = pa.array(words, pa.binary()).dictionary_encode() if isinstance(words, list) else words.dictionary_encode()
-        self.words = pa.concat_arrays([pa.array([END.encode()], pa.binary()), coded.dictionary])
-        flat, self.sizes = self.pieces.of(self.words)
-        rows, self.size = self.classes.rows[flat], np.maximum(self.sizes, 1)
-        self.flat, self.start = np.insert(rows, 0, 0), np.cumsum(self.size) - self.size  # the end's own row
-        if self.shares:
-            self.cls = self.classes.of(self.words, flat, self.sizes)
-            self.count = self.counts[pc.fill_null(pc.index_in(self.words, value_set=self.frequent), len(self.frequent)).to_numpy(zero_copy_only=False)]
-            self.spelled = self.shares.spelled(self.cls, flat, rows, self.sizes)
-            self.inside = self.shares.inside(self.cls, self.count, self.spelled)
-        if self.reader:
-            self.reader.clear()
-            self.reader.add(self.lists.vectors(self.reader.w["emb"], np.arange(len(self.size))))
-        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        place = 1 + pc.fill_null(pc.index_in(coded.dictionary, value_set=self.frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place == 0)
+        place[new] = 1 + len(self.frequent) + np.arange(len(new))
+        self.rest = coded.dictionary.take(pa.array(new))
+        made = self._made(self.rest, np.zeros(len(new), np.int64))
+        self._hold({k: np.concatenate([v, made[k]]) for k, v in self.kept.items()})
+        return place[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def unheard(self, places: np.ndarray) -> pa.Array:
+        """The words at these places, none of which is a frequent one."""
+        return self.rest.take(pa.array(places - 1 - len(self.frequent)))
 
     @property
     def lists(self) -> Lists:
@@ -601,20 +702,20 @@ def draw_windows(docs: DataFrame, text: str = "text", share: float = 1.0, rounds
 CODED = {"tokens": np.uint8, "words": np.uint16, "sizes": np.uint32, "rows": np.uint16, "single": np.int16}
 
 
-def code_windows(docs: DataFrame, classes: Classes, text: str = "text", share: float = 1.0, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+def code_windows(docs: DataFrame, classes: Classes, text: str = "text", share: float = 1.0, rounds: int = ROUNDS, seed: int = 0, frequent: dict[bytes, int] | None = None) -> DataFrame:
     """The windows that draw_windows() draws, PACK at most to a row, with input rows for words: turn, n (windows), CODED."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(classes), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast((classes, frequent or {})), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng, words = np.random.default_rng((seed, TaskContext.get().partitionId())), _worker(name, shared.value, {})
+        rng, words = np.random.default_rng((seed, TaskContext.get().partitionId())), _worker(name, *shared.value)
         for _, found, sizes in _groups(batches, "text"):
             at, ends = words.look(found), np.cumsum(sizes)
             padded = np.zeros(len(at) + len(sizes) + 1, np.int64)  # an end before each text and after the last one
             padded[np.arange(len(at)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = at
-            lists, single = words.lists, words.classes.single(words.words)
+            lists, single = words.lists, words.single
             text, place, tokens, turn = _dealt(sizes, rng, share, rounds)
             first = (ends - sizes)[text] + text + place * WINDOW
-            out, met, number = [], np.zeros(len(words.words), bool), np.zeros(len(words.words), np.int64)
+            out, met, number = [], np.zeros(len(words), bool), np.zeros(len(words), np.int64)
             for r in range(rounds):
                 of = np.flatnonzero(turn == r)
                 for k in range(0, len(of), PACK):
@@ -714,6 +815,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def _slices(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "x"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the doubles of each slice, of which there are few and of bounded size."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            x = np.frombuffer(x.as_py())
+            sums[i] = sums[i] + x if i in sums else x
+    yield _slices(sums)
+
+
 def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rounds: int = ROUNDS, share: float = 1.0, seed: int = 0) -> Model:
     """The model and the word counts of docs, all rows of which are training texts. An empty table gives a model that knows no word."""
     with open(vocabulary, "rb") as f:
@@ -736,7 +851,7 @@ def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rou
     classes = Classes(ranks, singles, input_rows(ids), np.zeros((N_ROWS, CLUSTERS), np.float32), np.zeros(CLUSTERS, np.float32))
     # Windows of a part come from many texts. There are no more of them than one to so many tokens and one to a text.
     parts = -(-(tokens // WINDOW + ends) // (TASK_WINDOWS * rounds))
-    drawn = checkpoint(code_windows(docs, classes, text, share, rounds, seed).repartition(max(1, int(parts))))
+    drawn = checkpoint(code_windows(docs, classes, text, share, rounds, seed, frequent).repartition(max(1, int(parts))))
     classes = Classes(ranks, singles, classes.rows, *make_clusters(_met(drawn)))
     shares = count_shares(counts, classes, ids)
     weights = start_weights(shares.n)
@@ -758,13 +873,11 @@ def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rou
                 new, n = train(now.value, c.lists, inputs, targets, c.tokens, seed=turn)
                 total, seen = total + n * np.concatenate([new[k].ravel() for k in shapes]).astype(np.float64), seen + n
             if seen:
-                flat = np.append(total, seen)  # the last one counts
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
+                yield _slices(dict(enumerate(np.array_split(np.append(total, seen), SLICES))))  # the last one counts
 
-        got = drawn.where(F.col("turn") == turn).select("n", *CODED).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-        if got.num_rows:
-            flat = np.empty(got.num_rows)
-            flat[np.asarray(got["i"])] = np.asarray(got["x"])
+        got = drawn.where(F.col("turn") == turn).select("n", *CODED).mapInArrow(run, "slice int, x binary").repartition(SLICES, "slice").mapInArrow(_added, "slice int, x binary").collect()
+        if got:
+            flat = np.concatenate([np.frombuffer(r["x"]) for r in sorted(got, key=lambda r: r["slice"])])
             cuts = np.cumsum([math.prod(s) for s in shapes.values()])[:-1]
             weights = {k: v.reshape(s) for (k, s), v in zip(shapes.items(), np.split((flat[:-1] / flat[-1]).astype(np.float32), cuts), strict=True)}
     return Model(weights, classes, shares, counts, int(tokens), int(distinct), frequent, len(frequent) == distinct, int(ends))
@@ -792,10 +905,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             total = (np.bincount(text_of, words.inside[at], len(n)) - words.reader.nll(at, words.cls[at], n)) / ln10
             # The words that the task knows no count of, each once for each text.
             unknown = (c == 0) & (not whole)
-            pair, times = np.unique(text_of[unknown] * len(words.words) + at[unknown], return_counts=True)
-            word = pair % len(words.words)
-            rare = pa.StructArray.from_arrays([words.words.take(pa.array(word)).cast(pa.string()), pa.array(times), pa.array(words.spelled[word])], names=["word", "n", "spelled"])
-            ends = np.searchsorted(pair // len(words.words), np.arange(len(n) + 1))
+            pair, times = np.unique(text_of[unknown] * len(words) + at[unknown], return_counts=True)
+            word = pair % len(words)
+            rare = pa.StructArray.from_arrays([words.unheard(word).cast(pa.string()), pa.array(times), pa.array(words.spelled[word])], names=["word", "n", "spelled"])
+            ends = np.searchsorted(pair // len(words), np.arange(len(n) + 1))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], names=["row", "row_id", "n_tokens", "n_known", "base", "score", "rare"])
 
     kind = read.schema["row"].dataType.simpleString()
