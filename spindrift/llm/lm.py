@@ -24,7 +24,7 @@ import itertools
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, store
 
 #: File of a public byte-pair vocabulary: one base64 token and its rank per line. Another one is a parameter of learn().
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -50,7 +50,7 @@ WINDOW, CONTEXT, WIDTH, HIDDEN = 32, 8, 16, 32
 FREQUENT = 300_000
 #: Rounds that all windows are dealt to, windows that are trained on in a row, windows stored together (their words fit two bytes).
 ROUNDS, TASK_WINDOWS, PACK = 4, 8192, 512
-#: Parts of the weights that are summed apart from each other.
+#: Parts of the weights, and of other arrays of the tasks, that are summed apart from each other.
 SLICES = 64
 #: Weight of the subword ids of all words beside those of a cluster's words.
 COMMON = 50.0
@@ -112,6 +112,12 @@ class Pieces:
         return flat, sizes
 
 
+@cache
+def pieces_of(ranks: bytes) -> Pieces:
+    """Those of a vocabulary, made once a process."""
+    return Pieces(ranks)
+
+
 def text_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
@@ -157,7 +163,7 @@ def count_ids(counts: DataFrame, ranks: bytes) -> np.ndarray:
     shared = counts.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(shared.value)
+        pieces = pieces_of(shared.value)
         sums = np.zeros(len(pieces.length), np.int64)
         for b in batches:
             ids, sizes = pieces.of(_binary(b.column(0)))
@@ -333,6 +339,26 @@ class Lists:
         place = np.arange(first[-1] + left[-1]) - np.repeat(first, left)
         return self.flat[self.start[at[order]][place] + np.repeat(np.arange(most), left)], place, left, order, back, size
 
+    def all_steps(self, at: np.ndarray, each: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """steps() of each group of so many words (the last one may have fewer), found together."""
+        groups, group = -(-len(at) // each), np.arange(len(at)) // each
+        size = self.size[at]
+        long = np.maximum.reduceat(size, np.arange(groups) * each) > 64
+        size = np.minimum(size, 64)
+        most = int(size.max(initial=1))
+        order = np.argsort(group * 128 - size)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        order, back, sorted_at, sizes = order - group * each, back - group * each, at[order], size[order]
+        left = np.bincount(group, minlength=groups)[:, None] - np.cumsum(np.bincount(group * (most + 1) + size, minlength=groups * (most + 1)).reshape(groups, -1), axis=1)[:, :most]
+        n = left.ravel()
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rows = self.flat[self.start[sorted_at[place + np.repeat(np.repeat(np.arange(groups) * each, most), n)]] + np.repeat(np.tile(np.arange(most), groups), n)]
+        ends = np.cumsum(left.sum(axis=1)).tolist()
+        for g, (first, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            own = slice(g * each, (g + 1) * each)
+            yield self.steps(at[own]) if long[g] else (rows[first:end], place[first:end], left[g, : sizes[g * each]], order[own], back[own], sizes[own])
+
     def vectors(self, emb: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The mean of the rows' vectors of each word at."""
         return step_means(emb, self.steps(at))
@@ -376,11 +402,14 @@ def forward(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, held: tuple[n
     mix = _mix(w)
     qkv = (flat @ mix).reshape(*x.shape, -1)
     qkv[..., 3 * WIDTH] = 1  # sums over rows ride along in the products: a column of ones beside the values
-    a = qkv[..., :WIDTH] @ qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
-    tame = _tame(a)
-    a += _HIDE
-    _exp(a, tame)
-    c = (a @ qkv[..., 2 * WIDTH :]).reshape(-1, WIDTH + 1)
+
+    def near() -> np.ndarray:
+        out = qkv[..., :WIDTH] @ qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+        out += _HIDE
+        return out
+
+    a, c, _ = _exps(near(), near, lambda a: a @ qkv[..., 2 * WIDTH :])
+    c = c.reshape(-1, WIDTH + 1)
     r = 1 / c[:, WIDTH:]
     c = c[:, :WIDTH] * r
     h = c @ w["o"]
@@ -407,26 +436,41 @@ def log_probs(w: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
 _PLACES = np.arange(N_ROWS * WIDTH).reshape(N_ROWS, WIDTH)
 
 
-def gradient(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the scored positions and its gradient."""
-    rows, place, _, order, _, size = held = words.steps(x.ravel())
+def _tall(a: np.ndarray, b: np.ndarray, piece: int = 256) -> np.ndarray:
+    """a @ b for many rows of a, by pieces of so many: BLAS has a quicker path for small products."""
+    if len(a) <= piece or len(a) % piece:
+        return a @ b
+    return (a.reshape(-1, piece, a.shape[1]) @ b).reshape(len(a), b.shape[1])
+
+
+def _over_rows(a: np.ndarray, b: np.ndarray, piece: int = 128) -> np.ndarray:
+    """a.T @ b likewise."""
+    if len(a) <= piece or len(a) % piece:
+        return a.T @ b
+    return (a.reshape(-1, piece, a.shape[1]).transpose(0, 2, 1) @ b.reshape(-1, piece, b.shape[1])).sum(axis=0)
+
+
+def gradient(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, target: np.ndarray, scored: np.ndarray, held: tuple[np.ndarray, ...] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the scored positions and its gradient. held: words.steps(x)."""
+    rows, place, _, order, _, size = held = held or words.steps(x.ravel())
     y, (e, mix, qkv, a, r, c, h, m) = forward(w, words, x, held)
     y, every = y.reshape(-1, WIDTH), bool(scored.all())
     at, t = (slice(None), target.ravel()) if every else (np.flatnonzero(scored), target[scored])
     n, each = max(len(t), 1), np.arange(len(t))
     ys = np.ones((len(t), WIDTH + 1), y.dtype)  # one more for the bias
     ys[:, :WIDTH] = y[at]
-    z = ys @ np.concatenate([w["out"], w["bias"][None]])
+    head = np.concatenate([w["out"], w["bias"][None]])
+    z, ones = _tall(ys, head), np.ones((head.shape[1], 1), head.dtype)
     aim = z[each, t]
-    z, shift = _exp(z, _tame(z))
-    total = z @ np.ones(z.shape[1], z.dtype)
+    z, total, shift = _exps(z, lambda: ys @ head, lambda z: z @ ones)
+    total = total[:, 0]
     loss = float((np.log(total) + np.ravel(shift) - aim).sum()) / n
     z[each, t] -= total
     part = (1 / (n * total))[:, None].astype(z.dtype)
     ys *= part
-    head = ys.T @ z
-    g = {"out": head[:WIDTH], "bias": head[WIDTH]}
-    dy = z @ w["out"].T
+    sums = _over_rows(ys, z)
+    g = {"out": sums[:WIDTH], "bias": sums[WIDTH]}
+    dy = _tall(z, np.ascontiguousarray(w["out"].T))
     dy *= part
     if not every:
         dy, some = np.zeros_like(y), dy
@@ -459,7 +503,7 @@ def gradient(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, target: np.n
     g["pos"] = de.reshape(*x.shape, WIDTH).sum(axis=0)
     if order is not None:
         de = de.take(order, axis=0)
-    de *= (1 / size).astype(de.dtype)[:, None]
+    de = de * (1 / size)[:, None]
     g["emb"] = np.bincount(_PLACES.take(rows, axis=0).ravel(), de.take(place, axis=0).ravel(), w["emb"].size).reshape(w["emb"].shape)
     return loss, g
 
@@ -486,8 +530,10 @@ def train(w: dict[str, np.ndarray], words: Lists, inputs: np.ndarray, targets: n
     order = np.random.default_rng(seed).permutation(len(inputs))
     steps, inside = -(-len(order) // batch), np.arange(WINDOW) < lengths[:, None]
     for i in range(steps):
+        if i % 64 == 0:
+            held = words.all_steps(inputs[order[i * batch : (i + 64) * batch]].ravel(), batch * WINDOW)
         part = order[i * batch : (i + 1) * batch]
-        _, g = gradient(w, words, inputs[part], targets[part], inside[part])
+        _, g = gradient(w, words, inputs[part], targets[part], inside[part], next(held))
         now = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
         for k, slot in slots.items():
             slot[...] = g[k]
@@ -505,18 +551,19 @@ def train(w: dict[str, np.ndarray], words: Lists, inputs: np.ndarray, targets: n
     return w, int(lengths.sum())
 
 
-def _tame(z: np.ndarray) -> bool:
-    """Whether no entry is so large or small that its exponential, or a sum of them, leaves single precision."""
-    return bool(z.max(initial=0) < 60 and z.min(initial=0) > -60)
+def _exps(z: np.ndarray, again: Callable[[], np.ndarray], sums: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - shift) in place, sums() of it, of which the last column has the rows' own, and the shift: none where no sum is very large or small.
 
-
-def _exp(z: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray | float]:
-    """exp(z - shift) in place and the shift, by which no row overflows: none if tame."""
-    shift = 0.0
-    if not tame:
-        shift = z.max(axis=-1, keepdims=True)
-        z -= shift
-    return np.exp(z, out=z), shift
+    Where one is, again() makes z once more.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        got = sums(np.exp(z, out=z))
+    if got[..., -1].min(initial=1.0) > 1e-20 and got[..., -1].max(initial=1.0) < 1e20:
+        return z, got, 0.0
+    z = again()
+    shift = z.max(axis=-1, keepdims=True)
+    z -= shift
+    return z, sums(np.exp(z, out=z)), shift
 
 
 class Reader:
@@ -525,7 +572,7 @@ class Reader:
     def __init__(self, w: dict[str, np.ndarray]):
         self.w, self.qkv = w, _mix(w)
         self.head = np.concatenate([w["out"], w["bias"][None]])
-        self.ones = np.ones(self.head.shape[1], np.float32)
+        self.ones = np.ones((self.head.shape[1], 1), np.float32)
         self.clear()
 
     def clear(self) -> None:
@@ -558,11 +605,14 @@ class Reader:
                 e += w["pos"]
                 x = (e.reshape(-1, WIDTH) @ self.qkv).reshape(*at.shape, -1)
                 x[..., 3 * WIDTH] = 1  # sums over rows ride along in the products: a column of ones beside the values
-                s = x[:, lead:, :WIDTH] @ x[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
-                tame = _tame(s)
-                s += _HIDE[lead:]
-                a, _ = _exp(s, tame)
-                c, h, place = (a @ x[..., 2 * WIDTH :]).reshape(-1, WIDTH + 1), e[:, lead:].reshape(-1, WIDTH), at[:, lead:].ravel()
+
+                def near(x=x, lead=lead) -> np.ndarray:
+                    s = x[:, lead:, :WIDTH] @ x[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+                    s += _HIDE[lead:]
+                    return s
+
+                _, c, _ = _exps(near(), near, lambda a, x=x: a @ x[..., 2 * WIDTH :])
+                c, h, place = c.reshape(-1, WIDTH + 1), e[:, lead:].reshape(-1, WIDTH), at[:, lead:].ravel()
                 if not whole:
                     scored = np.flatnonzero((at < end)[:, lead:])
                     c, h, place = c.take(scored, axis=0), h.take(scored, axis=0), place.take(scored)
@@ -571,10 +621,10 @@ class Reader:
                 m += w["b1"]
                 y = np.ones((len(h), WIDTH + 1), np.float32)  # one more for the bias
                 np.add(h, np.maximum(m, 0, out=m) @ w["w2"], out=y[:, :-1])
-                z = y @ self.head
+                z = _tall(y, self.head)
                 aim = z[np.arange(len(place)), targets.take(place)].astype(np.float64)
-                z, shift = _exp(z, _tame(z))
-                out[place] = np.log(z @ self.ones) + np.ravel(shift) - aim
+                _, total, shift = _exps(z, lambda y=y: y @ self.head, lambda z: z @ self.ones)
+                out[place] = np.log(total[:, 0]) + np.ravel(shift) - aim
         return np.bincount(text, out, len(lengths))
 
 
@@ -600,7 +650,7 @@ class _Words:
     """
 
     def __init__(self, classes: Classes, frequent: dict[bytes, int], shares: Shares | None = None, weights: dict[str, np.ndarray] | None = None):
-        self.pieces, self.classes, self.shares = Pieces(classes.ranks), classes, shares
+        self.pieces, self.classes, self.shares = pieces_of(classes.ranks), classes, shares
         self.reader = Reader(weights) if weights else None
         counts = np.fromiter(frequent.values(), np.int64, len(frequent))
         order = np.argsort(-counts, kind="stable")  # what is read most lies together
@@ -758,24 +808,30 @@ def _met(drawn: DataFrame) -> np.ndarray:
     """(rows, SINGLES): how often each input row stands in a window with each single word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((N_ROWS, SINGLES))
+        sums, held = np.zeros(N_ROWS * SINGLES), []
         for b in batches:
             for i in range(len(b)):
                 c = _coded(b.slice(i, 1))
                 window = np.repeat(np.arange(len(c.tokens)), c.tokens + 1)
                 rows, size = c.lists.expand(c.words)
-                has, near = np.zeros((len(c.tokens), N_ROWS), np.float32), np.zeros((len(c.tokens), SINGLES), np.float32)
-                has[np.repeat(window, size), rows] = 1
+                has, near = np.zeros((len(c.tokens), N_ROWS), bool), np.zeros((len(c.tokens), SINGLES), bool)
+                has[np.repeat(window, size), rows] = True
                 single = c.single[c.words]
-                near[window[single >= 0], single[single >= 0]] = 1
-                sums += has.T @ near
-        row, single = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(single), pa.array(sums[row, single])], names=["row", "single", "n"])
-
-    out = np.zeros((N_ROWS, SINGLES))
-    got = drawn.select(*CODED).mapInArrow(run, "row bigint, single bigint, n double").groupBy("row", "single").agg(F.sum("n").alias("n")).toArrow()
-    out[np.asarray(got["row"]), np.asarray(got["single"])] = np.asarray(got["n"])
-    return out
+                near[window[single >= 0], single[single >= 0]] = True
+                # Each different row of a window meets each different single word of it.
+                (window, row), n = np.divmod(np.flatnonzero(has), N_ROWS), near.sum(axis=1)
+                first, n = (np.cumsum(n) - n)[window], n[window]
+                place = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+                held.append(np.repeat(row * SINGLES, n) + (np.flatnonzero(near) % SINGLES)[place])
+                if sum(map(len, held)) > 1 << 20:
+                    sums += np.bincount(np.concatenate(held), minlength=len(sums))
+                    held = []
+        if held:
+            sums += np.bincount(np.concatenate(held), minlength=len(sums))
+        yield _slices(dict(enumerate(np.array_split(sums, SLICES))))
+
+    got = _summed(drawn.select(*CODED).mapInArrow(run, "slice int, x binary"))
+    return (np.zeros(N_ROWS * SINGLES) if got is None else got).reshape(N_ROWS, SINGLES)
 
 
 def count_shares(counts: DataFrame, classes: Classes, id_counts: np.ndarray) -> Shares:
@@ -783,7 +839,7 @@ def count_shares(counts: DataFrame, classes: Classes, id_counts: np.ndarray) ->
     shared = counts.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, pieces = shared.value, Pieces(shared.value.ranks)
+        classes, pieces = shared.value, pieces_of(shared.value.ranks)
         for b in batches:
             words = _binary(b.column(0))
             flat, sizes = pieces.of(words)
@@ -829,6 +885,12 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _slices(sums)
 
 
+def _summed(found: DataFrame) -> np.ndarray | None:
+    """The sum of the arrays that tasks gave in _slices(); None if there are none."""
+    got = found.repartition(SLICES, "slice").mapInArrow(_added, "slice int, x binary").collect()
+    return np.concatenate([np.frombuffer(r["x"]) for r in sorted(got, key=lambda r: r["slice"])]) if got else None
+
+
 def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rounds: int = ROUNDS, share: float = 1.0, seed: int = 0) -> Model:
     """The model and the word counts of docs, all rows of which are training texts. An empty table gives a model that knows no word."""
     with open(vocabulary, "rb") as f:
@@ -851,7 +913,7 @@ def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rou
     classes = Classes(ranks, singles, input_rows(ids), np.zeros((N_ROWS, CLUSTERS), np.float32), np.zeros(CLUSTERS, np.float32))
     # Windows of a part come from many texts. There are no more of them than one to so many tokens and one to a text.
     parts = -(-(tokens // WINDOW + ends) // (TASK_WINDOWS * rounds))
-    drawn = checkpoint(code_windows(docs, classes, text, share, rounds, seed, frequent).repartition(max(1, int(parts))))
+    drawn, drop = store(code_windows(docs, classes, text, share, rounds, seed, frequent).repartition(max(1, int(parts))), "lm_windows")
     classes = Classes(ranks, singles, classes.rows, *make_clusters(_met(drawn)))
     shares = count_shares(counts, classes, ids)
     weights = start_weights(shares.n)
@@ -875,11 +937,11 @@ def learn(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rou
             if seen:
                 yield _slices(dict(enumerate(np.array_split(np.append(total, seen), SLICES))))  # the last one counts
 
-        got = drawn.where(F.col("turn") == turn).select("n", *CODED).mapInArrow(run, "slice int, x binary").repartition(SLICES, "slice").mapInArrow(_added, "slice int, x binary").collect()
-        if got:
-            flat = np.concatenate([np.frombuffer(r["x"]) for r in sorted(got, key=lambda r: r["slice"])])
+        flat = _summed(drawn.where(F.col("turn") == turn).select("n", *CODED).mapInArrow(run, "slice int, x binary"))
+        if flat is not None:
             cuts = np.cumsum([math.prod(s) for s in shapes.values()])[:-1]
             weights = {k: v.reshape(s) for (k, s), v in zip(shapes.items(), np.split((flat[:-1] / flat[-1]).astype(np.float32), cuts), strict=True)}
+    drop()
     return Model(weights, classes, shares, counts, int(tokens), int(distinct), frequent, len(frequent) == distinct, int(ends))
 
 
