@@ -450,8 +450,8 @@ def _over_rows(a: np.ndarray, b: np.ndarray, piece: int = 128) -> np.ndarray:
     return (a.reshape(-1, piece, a.shape[1]).transpose(0, 2, 1) @ b.reshape(-1, piece, b.shape[1])).sum(axis=0)
 
 
-def gradient(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, target: np.ndarray, scored: np.ndarray, held: tuple[np.ndarray, ...] | None = None) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the scored positions and its gradient. held: words.steps(x)."""
+def gradient(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, target: np.ndarray, scored: np.ndarray, held: tuple[np.ndarray, ...] | None = None, measured: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the scored positions (if measured) and its gradient. held: words.steps(x)."""
     rows, place, _, order, _, size = held = held or words.steps(x.ravel())
     y, (e, mix, qkv, a, r, c, h, m) = forward(w, words, x, held)
     y, every = y.reshape(-1, WIDTH), bool(scored.all())
@@ -461,10 +461,10 @@ def gradient(w: dict[str, np.ndarray], words: Lists, x: np.ndarray, target: np.n
     ys[:, :WIDTH] = y[at]
     head = np.concatenate([w["out"], w["bias"][None]])
     z, ones = _tall(ys, head), np.ones((head.shape[1], 1), head.dtype)
-    aim = z[each, t]
+    aim = z[each, t] if measured else 0.0
     z, total, shift = _exps(z, lambda: ys @ head, lambda z: z @ ones)
     total = total[:, 0]
-    loss = float((np.log(total) + np.ravel(shift) - aim).sum()) / n
+    loss = float((np.log(total) + np.ravel(shift) - aim).sum()) / n if measured else math.nan
     z[each, t] -= total
     part = (1 / (n * total))[:, None].astype(z.dtype)
     ys *= part
@@ -533,7 +533,7 @@ def train(w: dict[str, np.ndarray], words: Lists, inputs: np.ndarray, targets: n
         if i % 64 == 0:
             held = words.all_steps(inputs[order[i * batch : (i + 64) * batch]].ravel(), batch * WINDOW)
         part = order[i * batch : (i + 1) * batch]
-        _, g = gradient(w, words, inputs[part], targets[part], inside[part], next(held))
+        _, g = gradient(w, words, inputs[part], targets[part], inside[part], next(held), measured=False)
         now = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
         for k, slot in slots.items():
             slot[...] = g[k]
@@ -571,7 +571,7 @@ class Reader:
 
     def __init__(self, w: dict[str, np.ndarray]):
         self.w, self.qkv = w, _mix(w)
-        self.head = np.concatenate([w["out"], w["bias"][None]])
+        self.head, self.o = np.concatenate([w["out"], w["bias"][None]]), np.concatenate([w["o"], np.zeros((1, WIDTH), np.float32)])
         self.ones = np.ones((self.head.shape[1], 1), np.float32)
         self.clear()
 
@@ -616,7 +616,9 @@ class Reader:
                 if not whole:
                     scored = np.flatnonzero((at < end)[:, lead:])
                     c, h, place = c.take(scored, axis=0), h.take(scored, axis=0), place.take(scored)
-                h += (c[:, :-1] / c[:, -1:]) @ w["o"]
+                read = c @ self.o
+                read *= 1 / c[:, WIDTH:]
+                h += read
                 m = h @ w["w1"]
                 m += w["b1"]
                 y = np.ones((len(h), WIDTH + 1), np.float32)  # one more for the bias
@@ -643,19 +645,25 @@ class Model:
     ends: int
 
 
+def _listed(frequent: dict[bytes, int]) -> tuple[pa.Array, np.ndarray]:
+    """Words and counts, by falling count: what is read most lies together, and tasks hold no object per word."""
+    counts = np.fromiter(frequent.values(), np.int64, len(frequent))
+    order = np.argsort(-counts, kind="stable")
+    return pa.array(list(frequent), pa.binary()).take(pa.array(order)), counts[order]
+
+
 class _Words:
     """The different words of a group of texts: classes, input rows and, if there are shares, log shares and base terms.
 
     END comes first, then the frequent words, which are looked at once, then those of the group that are none of them.
     """
 
-    def __init__(self, classes: Classes, frequent: dict[bytes, int], shares: Shares | None = None, weights: dict[str, np.ndarray] | None = None):
+    def __init__(self, classes: Classes, frequent: dict[bytes, int] | tuple[pa.Array, np.ndarray], shares: Shares | None = None, weights: dict[str, np.ndarray] | None = None):
         self.pieces, self.classes, self.shares = pieces_of(classes.ranks), classes, shares
         self.reader = Reader(weights) if weights else None
-        counts = np.fromiter(frequent.values(), np.int64, len(frequent))
-        order = np.argsort(-counts, kind="stable")  # what is read most lies together
-        self.frequent, counts = pa.array(list(frequent), pa.binary()).take(pa.array(order)), counts[order]
-        self.kept = self._made(pa.concat_arrays([pa.array([END.encode()], pa.binary()), self.frequent]), np.append(frequent.get(END.encode(), 0), counts))
+        self.frequent, counts = _listed(frequent) if isinstance(frequent, dict) else frequent
+        ends = counts[pc.binary_length(self.frequent).to_numpy(zero_copy_only=False) == 0].sum()
+        self.kept = self._made(pa.concat_arrays([pa.array([END.encode()], pa.binary()), self.frequent]), np.append(ends, counts))
         self._hold(self.kept)
 
     def _made(self, words: pa.Array, counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -754,7 +762,7 @@ CODED = {"tokens": np.uint8, "words": np.uint16, "sizes": np.uint32, "rows": np.
 
 def code_windows(docs: DataFrame, classes: Classes, text: str = "text", share: float = 1.0, rounds: int = ROUNDS, seed: int = 0, frequent: dict[bytes, int] | None = None) -> DataFrame:
     """The windows that draw_windows() draws, PACK at most to a row, with input rows for words: turn, n (windows), CODED."""
-    shared, name = docs.sparkSession.sparkContext.broadcast((classes, frequent or {})), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast((classes, _listed(frequent or {}))), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng, words = np.random.default_rng((seed, TaskContext.get().partitionId())), _worker(name, *shared.value)
@@ -887,7 +895,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _summed(found: DataFrame) -> np.ndarray | None:
     """The sum of the arrays that tasks gave in _slices(); None if there are none."""
-    got = found.repartition(SLICES, "slice").mapInArrow(_added, "slice int, x binary").collect()
+    got = found.repartition("slice").mapInArrow(_added, "slice int, x binary").collect()
     return np.concatenate([np.frombuffer(r["x"]) for r in sorted(got, key=lambda r: r["slice"])]) if got else None
 
 
@@ -954,7 +962,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     own = [f for f in docs.schema.fields if f.name != text and f.name not in made]
     read = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in own]).alias("row") if own else F.lit(0).alias("row"), F.monotonically_increasing_id().alias("row_id"), F.col(f"`{text}`").alias("text"))
-    shared, name, whole = sc.broadcast((model.classes, model.frequent, model.shares, model.weights)), uuid.uuid4().hex, model.whole
+    shared, name, whole = sc.broadcast((model.classes, _listed(model.frequent), model.shares, model.weights)), uuid.uuid4().hex, model.whole
     end_count, ln10 = model.ends, math.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -979,7 +987,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         found = checkpoint(found)
         each = found.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", F.col("r.n").alias("times"), "r.spelled")
         least = min(model.frequent.values(), default=1 << 62)
-        met = each.join(model.counts.where(F.col("n") < least), "word")
+        met = each.join(model.counts.where(F.col("n") < least).hint("shuffle_hash"), "word")  # none of these words is frequent, so no part is large
         # What the counts add to the terms that the tasks gave the words as unheard of.
         gain = F.when(F.col("spelled") > 0, F.log10(1 + F.col("n") / F.nullif("spelled", F.lit(0.0)))).otherwise(0.0)  # a class of one word: none
         met = met.groupBy("row_id").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("terms"), F.sum(F.col("times") * gain).alias("gain"))

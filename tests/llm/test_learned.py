@@ -318,6 +318,63 @@ def test_the_network_learns_from_all_windows(spark):
     assert lm.draw_windows(d).count() == sum(-(-(n + 1) // lm.WINDOW) for n in (400, 200, 5))
 
 
+def test_frequent_words_are_looked_up_once():
+    """A group of texts costs the encoding of the words that are not frequent, however many the frequent ones are."""
+    with open(lm.VOCABULARY, "rb") as f:
+        ranks = f.read()
+    classes = lm.Classes(ranks, {b"": 0}, np.arange(len(ranks.splitlines())) % (lm.N_ROWS - 1) + 1, np.zeros((lm.N_ROWS, lm.CLUSTERS), np.float32), np.zeros(lm.CLUSTERS, np.float32))
+    frequent = {b"the": 9, b"": 4, b"of": 7}
+    words, alone, seen = lm._Words(classes, frequent), lm._Words(classes, {}), []
+    of = words.pieces.of
+    words.pieces = type("Counted", (), {"of": staticmethod(lambda w: (seen.extend(w.to_pylist()), of(w))[1])})
+    for text in ([b"the", b"rare", b"of", b"the"], [b"of", b"unheard-of", b"rare"], []):
+        seen.clear()
+        got, want = words.lists.expand(at) if len(at := words.look(text)) else (), alone.lists.expand(x) if len(x := alone.look(text)) else ()
+        assert seen == [w for w in dict.fromkeys(text) if w not in frequent] and all((a == b).all() for a, b in zip(got, want, strict=True))
+    assert words.lists.expand(np.array([0]))[0].tolist() == [0]
+
+
+def test_steps_of_groups_together():
+    rng = np.random.default_rng(6)
+    size = np.append(rng.integers(1, 6, 30), [70, 3])
+    words = lm.Lists(rng.integers(0, 30, size.sum()), np.cumsum(size) - size, size)
+    at = np.concatenate([rng.integers(0, 30, 40), [30], rng.integers(0, 30, 20)])
+    emb = rng.random((30, lm.WIDTH))
+    groups = list(words.all_steps(at, 16))
+    assert len(groups) == 4
+    for g, held in enumerate(groups):
+        own = at[g * 16 : (g + 1) * 16]
+        want = [emb[words.expand(np.array([i]))[0]].mean(axis=0) for i in own]
+        assert np.allclose(lm.step_means(emb, held), want) and np.allclose(words.vectors(emb, own), want)
+
+
+def test_large_weights_stay_finite():
+    """Where a sum of exponentials leaves single precision, rows are shifted."""
+    rng = np.random.default_rng(7)
+    words, x = some_words(rng, 25), rng.integers(0, 25, (2, lm.WINDOW))
+    for of in (np.float32, np.float64):
+        w = {k: v.astype(of) * 40 for k, v in lm.start_weights(np.ones(20), 30).items()}
+        loss, g = lm.gradient(w, words, x, x % 20, np.ones(x.shape, bool))
+        assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+    reader = lm.Reader({k: v.astype(np.float32) for k, v in w.items()})
+    reader.add(words.vectors(reader.w["emb"], np.arange(25)))
+    assert np.isfinite(reader.nll(x.ravel(), x.ravel() % 20, np.array([5, 59]))).all()
+
+
+def test_rows_met_by_a_loop(spark):
+    with open(lm.VOCABULARY, "rb") as f:
+        ranks = f.read()
+    singles = {b"": 0, b"the": 1, b"of": 2}
+    classes = lm.Classes(ranks, singles, np.arange(len(ranks.splitlines())) % (lm.N_ROWS - 1) + 1, np.zeros((lm.N_ROWS, lm.CLUSTERS), np.float32), np.zeros(lm.CLUSTERS, np.float32))
+    d = spark.createDataFrame([(" ".join(f"w{i % 40} the of"[: 9 + i % 3] for i in range(n)),) for n in (0, 3, 50, 200)], "text string")
+    drawn, want = lm.code_windows(d, classes, frequent={b"the": 5, b"w1": 2}).localCheckpoint(), np.zeros((lm.N_ROWS, lm.SINGLES))
+    for b in drawn.toArrow().to_batches():
+        c = lm._coded(b)
+        for words in np.split(c.words, np.cumsum(c.tokens + 1)[:-1]):
+            want[np.ix_(np.unique(c.lists.expand(words)[0]), np.unique(c.single[words][c.single[words] >= 0]))] += 1
+    assert want.sum() > 100 and (lm._met(drawn) == want).all() and not lm._met(drawn.where("false")).any()
+
+
 def test_model_beats_the_word_counts(spark):
     got = QUERIES["op5_lm_scoring"](spark, "/root/testdata/sf0.1").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()
     assert len(got) == 2 and all(r.score > r.base for r in got)
