@@ -35,18 +35,19 @@ def containing(names: DataFrame, scope: list[str], name: str = "name") -> DataFr
 
     An index has the grams of all names. A name of GRAM letters or more is looked up by its rarest gram, whose names are then
     tested; a shorter one by itself, which is all that it asks of a name. So a pair is made only of names that share their rarest part. Null
-    names and scopes take no part.
+    names and scopes take no part. Only short names that were counted are sent to every task: the hints keep the others from being sent
+    there by way of the driver, as Spark takes their size from that of the compressed files, far under what they take in memory.
     """
     own = storage.checkpoint(names.select(*scope, F.col(name).alias("whole")).dropna().distinct())
     keys = [*scope, "gram"]
     long = own.where(F.char_length("whole") >= GRAM).select(*scope, "whole", F.posexplode(_grams(F.col("whole"), GRAM)).alias("at", "gram"))
     # How many names have a gram and where it stands are one number: its least is kept by a hash table, without sorting the grams of all names.
     seen = (F.col("n") * (1 << 31) + F.col("at")).alias("seen")
-    rarest = long.join(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys).select(*scope, "whole", seen).groupBy(*scope, "whole").agg(F.min("seen").alias("seen"))
+    rarest = long.join(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).hint("merge"), keys).select(*scope, "whole", seen).groupBy(*scope, "whole").agg(F.min("seen").alias("seen"))
     probes = rarest.select(*scope, F.get(_grams(F.col("whole"), GRAM), (F.col("seen") % (1 << 31)).cast("int")).alias("gram"), F.col("whole").alias("part"))
-    found = long.join(probes, keys).where(F.contains("whole", "part"))
+    found = long.join(probes.hint("merge"), keys).where(F.contains("whole", "part"))
     short = storage.checkpoint(own.where(F.char_length("whole") < GRAM).select(*scope, F.col("whole").alias("part")))
-    sent = F.broadcast if short.count() <= MOST_SHORT else lambda df: df
+    sent = F.broadcast if short.count() <= MOST_SHORT else lambda df: df.hint("merge")
     parts = F.array_union(F.array(F.lit("")), F.flatten(F.array(*[_grams(F.col("whole"), n) for n in range(1, GRAM)])))
     small = own.join(sent(short.select(*scope).distinct()), scope, "left_semi").select(*scope, "whole", F.explode(parts).alias("part")).join(sent(short), [*scope, "part"])
     return found.select(*scope, "part", "whole").unionByName(small.select(*scope, "part", "whole"))
@@ -56,15 +57,16 @@ def related_pairs(elements: DataFrame, group: list[str] = COMMIT) -> DataFrame:
     """Pairs (a, b), a < b, of elements (ast_id, operation_type, retrieved_labels) that are related.
 
     Either names the other in its labels, or both are in one file with the same operation and one short name contains the other.
-    The first meets by an equi join on the named id; the second by the grams of the distinct names (``containing``).
+    The first meets by an equi join on the named id; the second by the grams of the distinct names (``containing``). As there, no side
+    of these joins is sent to every task.
     """
     scope = [*group, "file", "op"]
     e = elements.select(*group, F.col("ast_id").alias("a"), file_of(F.col("ast_id")).alias("file"), text.last_segment(F.col("ast_id")).alias("name"), F.col("operation_type").alias("op"))
     named = elements.select(*group, F.col("ast_id").alias("x"), F.explode("retrieved_labels").alias("y")).where("x <> y")
     known = elements.select(*group, F.col("ast_id").alias("y"))
-    by_label = named.join(known, [*group, "y"]).select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    by_label = named.join(known.hint("merge"), [*group, "y"]).select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     held = e.select(*scope, F.col("name").alias("whole"), F.col("a").alias("y"))
-    near = containing(e, scope).join(e.withColumnRenamed("name", "part"), [*scope, "part"]).join(held, [*scope, "whole"]).where(F.col("a") != F.col("y"))
+    near = containing(e, scope).join(e.withColumnRenamed("name", "part").hint("merge"), [*scope, "part"]).join(held.hint("merge"), [*scope, "whole"]).where(F.col("a") != F.col("y"))
     return near.select(*group, F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).unionByName(by_label).distinct()
 
 

@@ -111,3 +111,13 @@ def test_rarest_parts_are_found_without_sorting_all_parts(spark):
     assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
     want = {(a, b) for _, a in rows for _, b in rows if a in b}
     assert sorted((r.part, r.whole) for r in df.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize(("most", "sent"), [(200_000, 2), (-1, 0)])
+def test_only_counted_short_names_are_sent_to_every_task(spark, monkeypatch, most, sent):
+    """Spark takes these tables for small ones, as it does with any compressed file under its threshold."""
+    monkeypatch.setattr(related, "MOST_SHORT", most)
+    rows = random_rows(7, 150, 7, 30)
+    df = related.related_pairs(spark.createDataFrame(rows, SCHEMA))
+    assert {tuple(r) for r in df.collect()} == plain_pairs(rows)
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("BroadcastHashJoin") == sent
